@@ -21,7 +21,7 @@ from tidewheel.session import scratch_path, streaming_session
 from tidewheel.sources import lake, load, model_store, topics
 from tidewheel.streaming import counts
 from tidewheel.streaming import scoring as st
-from tidewheel.streaming.correlation import replay_roundtrip
+from tidewheel.streaming.correlation import replay_roundtrip, time_cuts
 from tidewheel.streaming.runner import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,15 +539,12 @@ def reply_one_off(spark, sf_dir):
 @query
 def reply_roundtrip_stream(spark, sf_dir):
     session = streaming_session(spark)
-
-    def events():
-        return tb.zoned(tb.table_stream(session, sf_dir, "events"))
-
+    events = tb.zoned(tb.table(session, sf_dir, "events"))
     out = replay_roundtrip(
-        session,
-        lambda: tb.requests(events()),
-        lambda: tb.replies(events()),
+        tb.requests(events),
+        tb.replies(events),
         scratch_path(spark, "roundtrip"),
+        time_cuts(events, "ts", pieces=2),
     )
     return spark.read.parquet(out).drop("ts")
 

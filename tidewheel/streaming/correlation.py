@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import timedelta
+from collections.abc import Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.schemas import REPLY_TIMEOUT_SECONDS
@@ -14,6 +14,8 @@ from tidewheel.streaming.runner import run_available
 
 # Copies of a request to meet its replies in, so one id's replies spread over tasks.
 SALTS = 4
+# Seconds since 1970 no stored row reaches: the year 2100.
+FAR_AHEAD = 4_102_444_800
 
 
 def reply_roundtrip_stream(
@@ -78,45 +80,71 @@ def reply_roundtrip_stream(
     )
 
 
+def time_cuts(rows: DataFrame, at: str, pieces: int) -> list[datetime]:
+    """Times that cut the rows' span into equal lengths."""
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return []
+    return [first + (last - first) * i / pieces for i in range(1, pieces)]
+
+
 def replay_roundtrip(
-    session: SparkSession,
-    requests: Callable[[], DataFrame],
-    replies: Callable[[], DataFrame],
+    requests: DataFrame,
+    replies: DataFrame,
     folder: str,
+    cuts: Sequence[datetime] = (),
     timeout: float | None = None,
     **options,
 ) -> str:
     """Run the round trip over stored streams to the end; returns the output path.
 
-    The last requests would wait for a watermark that never comes. So the stored
-    data runs first, and then, from the same checkpoint, one marker without an id on
-    each side whose time lies far ahead. The watermark passes every request but
-    never the markers, so they stay out of the output.
+    The stored rows arrive piece by piece, cut at the given times and in time order,
+    so state holds about one piece and no row comes late. Tables laid out by time
+    are read once over all pieces. The last requests would wait for a watermark that
+    never comes, so one marker on each side follows whose time lies far ahead. The
+    watermark passes every request but never the markers, so they stay out of the
+    output. A marker has an id: Spark drops rows without one before it looks at
+    their times.
     """
-    markers = f"{folder}/markers"
-    columns = "cid string, inst bigint, ts timestamp"
-    ahead = session.range(1).select(
-        F.lit(None).cast("string").alias("cid"),
-        F.lit(None).cast("bigint").alias("inst"),
-        F.timestamp_seconds(F.lit(4_102_444_800)).alias("ts"),
+    session = requests.sparkSession
+    out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
+    sides = (
+        (requests.select("cid", "inst", "ts"), "ts", f"{folder}/requests"),
+        (
+            replies.select("cid", "inst", "result", "reply_ts"),
+            "reply_ts",
+            f"{folder}/replies",
+        ),
     )
-    ahead.limit(0).write.parquet(markers)
-
-    def query() -> DataFrame:
-        def marked(stream, at, *extra):
-            marker = file_topic(session, markers, columns).select(
-                "cid", "inst", F.col("ts").alias(at), *extra
-            )
-            return stream.select(*marker.columns).unionByName(marker)
-
-        return reply_roundtrip_stream(
-            marked(requests(), "ts"),
-            marked(replies(), "reply_ts", F.lit(None).cast("boolean").alias("result")),
-            **options,
+
+    def run() -> None:
+        asked, answered = (
+            file_topic(session, path, side.schema) for side, _, path in sides
+        )
+        run_available(
+            reply_roundtrip_stream(asked, answered, **options),
+            checkpoint,
+            out,
+            timeout=timeout,
         )
 
-    out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
-    run_available(query(), checkpoint, out, timeout=timeout)
-    ahead.write.mode("append").parquet(markers)
-    run_available(query(), checkpoint, out, timeout=timeout)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        for side, at, path in sides:
+            piece = side
+            if low is not None:
+                piece = piece.where(F.col(at) >= F.lit(low))
+            if high is not None:
+                piece = piece.where(F.col(at) < F.lit(high))
+            piece.write.mode("append").parquet(path)
+        run()
+
+    for side, at, path in sides:
+        ahead = {"cid": F.lit("marker"), at: F.timestamp_seconds(F.lit(FAR_AHEAD))}
+        session.range(1).select(
+            *[
+                ahead.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name)
+                for f in side.schema
+            ]
+        ).write.mode("append").parquet(path)
+    run()
     return out
