@@ -147,6 +147,11 @@ def test_score_messages(spark, form):
         ('{"f0": 1}', None, "feature_count"),
         ('{"f0": 1, "f1": 2, "f2": 3}', None, "feature_count"),
         ("{}", None, "feature_count"),
+        ('{"f0": 1, "f0": 2}', None, "repeated_key"),
+        ('{"f0": 1, "f1": 2} x', None, "bad_value"),
+        ('{"f0": {"f1": 2}, "f2": 1}', None, "bad_value"),
+        ('{"f0": [1], "f1": 2}', None, "bad_feature"),
+        (' {"f0": 0, "f1": 0}\n', False, None),
         ("not json", None, "bad_value"),
         (None, None, "bad_value"),
         ('{"f0": "NaN", "f1": 1}', False, None),
@@ -158,7 +163,7 @@ def test_score_messages(spark, form):
     assert [(r["result"], r["error"]) for r in found] == [c[1:] for c in cases]
     assert all(r["out_headers"][0]["key"] == "correlationId" for r in found)
     good = [bytes(r["value"]) for r in st.result_messages(scored).collect()]
-    assert good == [b"true", b"true", b"false", b"false", b"false"]
+    assert good == [b"true", b"true", b"false", b"false", b"false", b"false"]
     assert st.rejected_messages(scored).count() + len(good) == len(cases)
 
 

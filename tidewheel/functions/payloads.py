@@ -19,22 +19,30 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def feature_texts(value: str | Column) -> Column:
-    """Values of a JSON object as texts, in the object's own order."""
-    return F.map_values(F.from_json(_column(value).cast("string"), "map<string,string>"))
+# A JSON object without nested ones, and nothing after it.
+_FLAT_OBJECT = r"^\s*\{[^{}]*\}\s*$"
+
+
+def feature_map(value: str | Column) -> Column:
+    """A flat JSON object as a map of texts, in the object's own order."""
+    text = _column(value).cast("string")
+    return F.when(
+        text.rlike(_FLAT_OBJECT), F.from_json(text, "map<string,string>")
+    )
 
 
 def json_features(value: str | Column) -> Column:
     """Values of a JSON object as doubles; one that is no number becomes NULL."""
-    return feature_texts(value).try_cast("array<double>")
+    return F.map_values(feature_map(value)).try_cast("array<double>")
 
 
-def feature_error(features: str | Column, n_features: int) -> Column:
-    """Why a feature array cannot be scored; NULL if it can."""
-    x = _column(features)
+def feature_error(names: str | Column, features: str | Column, n_features: int) -> Column:
+    """Why a message's features cannot be scored; NULL if they can."""
+    keys, x = _column(names), _column(features)
     return (
-        F.when(x.isNull(), F.lit("bad_value"))
-        .when(F.size(x) != n_features, F.lit("feature_count"))
+        F.when(keys.isNull(), F.lit("bad_value"))
+        .when(F.size(keys) != n_features, F.lit("feature_count"))
+        .when(F.size(F.array_distinct(keys)) != n_features, F.lit("repeated_key"))
         .when(F.exists(x, lambda v: v.isNull()), F.lit("bad_feature"))
     )
 
@@ -85,8 +93,9 @@ def parse_int_prefix(text: str | Column) -> Column:
     sign = F.when(F.regexp_extract(t, _HEXADECIMAL, 1) == "-", -1).otherwise(1)
     from_hex = F.conv(hex_digits, 16, 10).try_cast("bigint") * sign
     from_decimal = F.regexp_extract(t, _DECIMAL, 1).try_cast("bigint")
+    maybe_hex = F.contains(t, F.lit("0x")) | F.contains(t, F.lit("0X"))
     return F.coalesce(
-        F.when(hex_digits != "", from_hex).otherwise(from_decimal),
+        F.when(maybe_hex & (hex_digits != ""), from_hex).otherwise(from_decimal),
         F.lit(0).cast("bigint"),
     )
 

@@ -37,7 +37,7 @@ def _usable(cid: str) -> Column:
     return F.coalesce(F.col(cid).cast("string"), F.lit("")) != ""
 
 
-def _keys(match_instance: bool) -> list[str]:
+def correlation_keys(match_instance: bool) -> list[str]:
     return ["cid", "inst"] if match_instance else ["cid"]
 
 
@@ -56,7 +56,7 @@ def _prepare(requests, replies, timeout_seconds, match_instance, hot_rows, twice
     ``twice`` names the side whose rows, if hot, go to a second slot: replies also to
     the slot before their own, or requests also to the slot after.
     """
-    keys = _keys(match_instance)
+    keys = correlation_keys(match_instance)
     usable = replies.where(_usable("cid"))
     if match_instance:
         usable = usable.where(F.col("inst").isNotNull())

@@ -104,6 +104,7 @@ def topic_source(spark, sf_dir):
     session = streaming_session(spark)
     folder = scratch_path(spark, "topic-source")
     lines = tb.table_stream(session, sf_dir, "lineitem", TRIGGER_BYTES)
+    lines = tb.spread(lines, tb.table(spark, sf_dir, "lineitem"))
     run_available(tb.line_messages(lines), f"{folder}/checkpoint", f"{folder}/out")
     received = spark.read.parquet(f"{folder}/out")
     return received.select(
@@ -117,6 +118,7 @@ def _scored_stream(spark, sf_dir) -> DataFrame:
         model_store.model_json_read(spark, _stored_model(spark, sf_dir))
     )
     lines = tb.table_stream(streaming_session(spark), sf_dir, "lineitem", TRIGGER_BYTES)
+    lines = tb.spread(lines, tb.table(spark, sf_dir, "lineitem"))
     return st.score_messages(tb.line_messages(lines), model)
 
 
@@ -175,13 +177,17 @@ def _message_shape(messages: DataFrame, in_range) -> DataFrame:
 
 @query
 def synthetic_load(spark, sf_dir):
-    messages = load.synthetic_load(_events(spark, sf_dir), "event_id")
+    messages = load.synthetic_load(
+        tb.spread_table(spark, sf_dir, "events"), "event_id"
+    )
     return _message_shape(messages, lambda v: v.cast("double").between(0, 1 - 2.0**-53))
 
 
 @query
 def form_random_fill(spark, sf_dir):
-    messages = load.form_random_fill(_events(spark, sf_dir), "event_id")
+    messages = load.form_random_fill(
+        tb.spread_table(spark, sf_dir, "events"), "event_id"
+    )
     return _message_shape(messages, lambda v: v.rlike(r"^(0\.\d\d|1\.00)$"))
 
 
@@ -215,7 +221,7 @@ def lake_ingest(spark, sf_dir):
 
 @query
 def event_log(spark, sf_dir):
-    messages = tb.line_messages(tb.table(spark, sf_dir, "lineitem"))
+    messages = tb.line_messages(tb.spread_table(spark, sf_dir, "lineitem"))
     scored = st.score_messages(messages, tb.line_model(spark, sf_dir))
     return st.event_log(scored, "l_orderkey", "l_linenumber")
 
@@ -319,7 +325,7 @@ def nb_model_array(spark, sf_dir):
 
 @query
 def json_features(spark, sf_dir):
-    messages = tb.line_messages(tb.table(spark, sf_dir, "lineitem"))
+    messages = tb.line_messages(tb.spread_table(spark, sf_dir, "lineitem"))
     x = pl.json_features("value")
     return messages.select("l_orderkey", "l_linenumber", x.alias("x")).select(
         "l_orderkey", "l_linenumber", *[F.col("x")[i].alias(f"x{i}") for i in range(4)]
@@ -454,7 +460,7 @@ def header_encode(spark, sf_dir):
 
 @query
 def json_or_raw(spark, sf_dir):
-    texts = tb.result_texts(_events(spark, sf_dir))
+    texts = tb.result_texts(tb.spread_table(spark, sf_dir, "events"))
     return texts.select(
         "event_id",
         pl.json_or_raw("value").alias("parsed"),
@@ -464,7 +470,7 @@ def json_or_raw(spark, sf_dir):
 
 @query
 def json_or_raw_text(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return tb.spread_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(pl.json_or_raw("text").cast("binary")).alias("digest"),
         pl.parsed_json("text").isNotNull().alias("is_json"),
@@ -480,7 +486,7 @@ def correlation_id(spark, sf_dir):
 
 @query
 def parse_int_prefix(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+    return tb.spread_table(spark, sf_dir, "events").select(
         "event_id",
         pl.parse_int_prefix(F.concat("event_id", "event_type")).alias("leading"),
         pl.parse_int_prefix("props").alias("not_a_number"),

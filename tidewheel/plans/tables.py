@@ -28,6 +28,21 @@ def table_stream(
     return file_topic(spark, f"{sf_dir}/{name}.parquet*", schema, max_bytes)
 
 
+def spread(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Deal rows out over all cores if their table has fewer splits than there are
+    cores, ahead of work that is heavy per row. A large table keeps its splits and
+    is not shuffled."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    stored = table(spark, sf_dir, name)
+    return spread(stored, stored)
+
+
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled table: four features and a label with one unmapped value."""
     return table(spark, sf_dir, "lineitem").withColumn(

@@ -8,12 +8,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators.correlation import correlation_keys
+from tidewheel.operators.skew import HOT_ROWS, hot_buckets, in_buckets
 from tidewheel.schemas import REPLY_TIMEOUT_SECONDS
 from tidewheel.sources.topics import file_topic
 from tidewheel.streaming.runner import run_available
 
-# Copies of a request to meet its replies in, so one id's replies spread over tasks.
-SALTS = 4
+# Copies of a hot request to meet its replies in, so these spread over tasks.
+SALTS = 64
 # Seconds since 1970 no stored row reaches: the year 2100.
 FAR_AHEAD = 4_102_444_800
 
@@ -24,24 +26,37 @@ def reply_roundtrip_stream(
     timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
     lateness: str = "10 seconds",
     match_instance: bool = True,
+    hot: Sequence[int] = (),
     salts: int = SALTS,
 ) -> DataFrame:
     """Every request (cid, inst, ts) once, with ``ok``, ``result`` and ``wait_us``.
 
+    ``hot`` names the hash buckets of ids known to get a large share of the replies,
+    as ``hot_buckets`` finds them in stored rows; only their requests are copied.
+
     A request comes out once the watermark has passed its time-out, and its state
     goes with it. The last step keeps the earliest reply, so what is kept does not
     depend on how replies fall into micro-batches.
     """
+    keys = correlation_keys(match_instance)
+    one = F.lit(0)
+    if hot:
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        copies = F.explode(F.when(in_buckets(keys, hot), every).otherwise(F.array(one)))
+        salt = F.pmod(F.xxhash64("reply_ts"), F.lit(salts)).cast("int")
+        salt = F.when(in_buckets(keys, hot), salt).otherwise(one)
+    else:
+        copies = salt = one
     asked = (
         requests.select("cid", "inst", "ts")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("salt", copies)
         .withWatermark("ts", lateness)
         .alias("q")
     )
     answers = (
         replies.where(F.coalesce(F.col("cid").cast("string"), F.lit("")) != "")
         .select("cid", "inst", "reply_ts", "result")
-        .withColumn("salt", F.pmod(F.xxhash64("reply_ts"), F.lit(salts)).cast("int"))
+        .withColumn("salt", salt)
         .withWatermark("reply_ts", lateness)
         .alias("p")
     )
@@ -94,6 +109,8 @@ def replay_roundtrip(
     folder: str,
     cuts: Sequence[datetime] = (),
     timeout: float | None = None,
+    match_instance: bool = True,
+    hot_rows: int | None = HOT_ROWS,
     **options,
 ) -> str:
     """Run the round trip over stored streams to the end; returns the output path.
@@ -107,6 +124,9 @@ def replay_roundtrip(
     their times.
     """
     session = requests.sparkSession
+    keys = correlation_keys(match_instance)
+    ids = requests.select(*keys).unionByName(replies.select(*keys))
+    hot = hot_buckets(ids, keys, hot_rows) if hot_rows else []
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     sides = (
         (requests.select("cid", "inst", "ts"), "ts", f"{folder}/requests"),
@@ -122,7 +142,9 @@ def replay_roundtrip(
             file_topic(session, path, side.schema) for side, _, path in sides
         )
         run_available(
-            reply_roundtrip_stream(asked, answered, **options),
+            reply_roundtrip_stream(
+                asked, answered, match_instance=match_instance, hot=hot, **options
+            ),
             checkpoint,
             out,
             timeout=timeout,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.headers import header_decode, header_forward
-from tidewheel.functions.payloads import feature_error, json_features
+from tidewheel.functions.payloads import feature_error, feature_map
 from tidewheel.functions.scoring import Model, nb_predict_batch
 
 
@@ -17,30 +17,57 @@ def score_messages(messages: DataFrame, model: Model, form: str = "auto") -> Dat
     A message that cannot be scored has a NULL result and says why in ``error``; the
     others go on.
     """
-    parsed = messages.withColumn("_x", json_features("value")).withColumn(
-        "error", feature_error("_x", model.n_features)
+    parsed = messages.withColumn("_m", feature_map("value")).withColumn(
+        "_x", F.map_values("_m").try_cast("array<double>")
+    )
+    parsed = parsed.withColumn(
+        "error", feature_error(F.map_keys("_m"), "_x", model.n_features)
     )
     scorable = F.when(F.col("error").isNull(), F.col("_x"))
     scored = nb_predict_batch(
         parsed.withColumn("_x", scorable), "_x", model, form, "_class", "result"
     )
     return scored.withColumn("out_headers", header_forward("headers")).drop(
-        "_x", "_class"
+        "_m", "_x", "_class"
     )
 
 
-def result_messages(scored: DataFrame, *keep: str) -> DataFrame:
-    """Scored rows as result messages: a JSON boolean and the forwarded headers."""
-    return scored.where(F.col("error").isNull()).select(
-        *keep,
-        F.col("result").cast("string").cast("binary").alias("value"),
-        F.col("out_headers").alias("headers"),
+def observe_events(scored: DataFrame, name: str = "events") -> DataFrame:
+    """The same rows, with their counts reported in the query's progress: what to
+    watch where a line per event is too much."""
+    return scored.observe(
+        name,
+        F.count(F.lit(1)).alias("received"),
+        F.count("result").alias("scored"),
+        F.count("error").alias("rejected"),
+        F.count_if(F.col("result")).alias("positive"),
     )
 
 
-def rejected_messages(scored: DataFrame) -> DataFrame:
+def result_messages(scored: DataFrame, *keep: str, name: str = "results") -> DataFrame:
+    """Scored rows as result messages: a JSON boolean and the forwarded headers.
+
+    Rows are counted before they are filtered. The count also keeps the filter where
+    it is; moved down to the scan it would parse every message once more per use.
+    """
+    return (
+        observe_events(scored, name)
+        .where(F.col("error").isNull())
+        .select(
+            *keep,
+            F.col("result").cast("string").cast("binary").alias("value"),
+            F.col("out_headers").alias("headers"),
+        )
+    )
+
+
+def rejected_messages(scored: DataFrame, name: str = "rejected") -> DataFrame:
     """Messages that could not be scored, with the reason."""
-    return scored.where(F.col("error").isNotNull()).drop("result", "out_headers")
+    return (
+        observe_events(scored, name)
+        .where(F.col("error").isNotNull())
+        .drop("result", "out_headers")
+    )
 
 
 def _headers_text(headers: str) -> Column:
@@ -66,15 +93,3 @@ def event_log(scored: DataFrame, *keep: str) -> DataFrame:
             F.concat(F.lit("to=["), _headers_text("out_headers"), F.lit("]")),
         ).alias("line"),
     )
-
-
-def observe_events(scored: DataFrame, name: str = "events") -> DataFrame:
-    """The same rows, with their counts reported in the query's progress: what to
-    watch where a line per event is too much."""
-    return scored.observe(
-        name,
-        F.count(F.lit(1)).alias("received"),
-        F.count("result").alias("scored"),
-        F.count("error").alias("rejected"),
-        F.count_if(F.col("result")).alias("positive"),
-    )
