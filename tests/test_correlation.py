@@ -194,17 +194,18 @@ def test_hot_buckets_find_every_hot_key(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
     )
-    assert len(hot_buckets(df, ["k"], 1000)) == 1
-    assert hot_buckets(df, ["k"], 7000) == []
-    assert hot_buckets(spark.range(20_000), ["id"], 10) == []
+    (rows,) = hot_buckets(df, ["k"], 1000).values()
+    assert rows >= 6667
+    assert hot_buckets(df, ["k"], 7000) == {}
+    assert hot_buckets(spark.range(20_000), ["id"], 10) == {}
 
 
 def test_metrics(spark):
     rows = [
         ("replicas", {"deployment": "a", "ns": "x"}, at(1), 1.0),
         ("replicas", {"ns": "x", "deployment": "a"}, at(2), 3.0),
-        ("replicas", {"deployment": "b", "ns": "x"}, at(5), 2.0),
         ("replicas", {"deployment": "b", "ns": "x"}, at(5), 4.0),
+        ("replicas", {"deployment": "b", "ns": "x"}, at(4), 8.0),
         ("cpu", {"deployment": "a"}, at(9), 9.0),
     ]
     df = spark.createDataFrame(

@@ -65,7 +65,7 @@ def _prepare(requests, replies, timeout_seconds, match_instance, hot_rows, twice
             requests.select(*keys).unionByName(usable.select(*keys)), keys, hot_rows
         )
         if hot_rows
-        else []
+        else {}
     )
 
     def slots(df: DataFrame, at: str, step: int | None) -> Column:
@@ -96,7 +96,9 @@ def _prepare(requests, replies, timeout_seconds, match_instance, hot_rows, twice
         hot_answers = (
             answers.where(in_buckets(keys, hot))
             .groupBy(*keys, "slot", "at")
-            .agg(F.min("reply").alias("reply"))
+            .agg(F.min("reply.result").alias("result"))
+            .withColumn("reply", F.struct(F.col("at").alias("reply_ts"), "result"))
+            .drop("result")
         )
         answers = answers.where(~in_buckets(keys, hot)).unionByName(hot_answers)
     return asked.unionByName(answers, allowMissingColumns=True), keys

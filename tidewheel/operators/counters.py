@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidewheel.operators.skew import HOT_ROWS, hot_buckets, in_buckets
 from tidewheel.session import scratch_path
 
+# Also the bound on the offsets that are broadcast: one per slice.
+MAX_SLICES = 100_000
+
 
 def visit_count(visits: DataFrame, page: str = "page") -> DataFrame:
     return visits.groupBy(page).agg(F.count(F.lit(1)).alias("visits"))
@@ -27,10 +30,14 @@ def visit_number(
     ``order`` must be unique within a page. Pages that fit a task are numbered by a
     window. Hot pages are numbered in slices.
     """
-    hot = hot_buckets(visits, [page], hot_rows) if hot_rows else []
+    hot = hot_buckets(visits, [page], hot_rows) if hot_rows else {}
     by_page = Window.partitionBy(page).orderBy(*order)
     if not hot:
         return visits.withColumn("visit", _row_number(by_page))
+    if slices is None:
+        usual = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(usual, sum(hot.values()) // hot_rows + 1)
+        slices = min(slices, MAX_SLICES)
     cool = visits.where(~in_buckets([page], hot))
     return cool.withColumn("visit", _row_number(by_page)).unionByName(
         _number_in_slices(visits.where(in_buckets([page], hot)), page, order, slices)
@@ -42,7 +49,7 @@ def _row_number(window: WindowSpec) -> Column:
 
 
 def _number_in_slices(
-    visits: DataFrame, page: str, order: Sequence[str], slices: int | None
+    visits: DataFrame, page: str, order: Sequence[str], slices: int
 ) -> DataFrame:
     """Number rows within slices of the sorted rows, then add what came before.
 
@@ -51,7 +58,6 @@ def _number_in_slices(
     the same cut even if tasks are run again.
     """
     spark = visits.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "visit-slices")
     visits.repartitionByRange(slices, page, *order).withColumn(
         "slice", F.spark_partition_id()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +16,13 @@ def bucket_of(keys: Sequence[Column]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hash buckets of the keys that hold far more rows than their share.
+def hot_buckets(
+    rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> dict[int, int]:
+    """Hash buckets of the keys that hold far more rows than their share, and how
+    many rows that is.
 
-    Each task sends at most BUCKETS counts, and at most BUCKETS / 4 numbers come
+    Each task sends at most BUCKETS counts, and at most BUCKETS / 4 of them come
     back, whatever the data. Every key with more than ``hot_rows`` rows and more
     than 4 / BUCKETS of all rows lies in such a bucket; a cool key may share one,
     which costs its rows the longer way but changes no result.
@@ -31,8 +34,8 @@ def hot_buckets(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS)
     hot = census.withColumn("share", share).where(
         (F.col("n") > hot_rows) & (F.col("n") > F.col("share"))
     )
-    return sorted(row["bucket"] for row in hot.select("bucket").collect())
+    return {row["bucket"]: row["n"] for row in hot.orderBy("bucket").collect()}
 
 
-def in_buckets(keys: Sequence[str], buckets: Sequence[int]) -> Column:
+def in_buckets(keys: Sequence[str], buckets: Iterable[int]) -> Column:
     return bucket_of([F.col(k) for k in keys]).isin(list(buckets))

@@ -29,6 +29,18 @@ def recode_label(column: str, codes: dict[str, int] = LABEL_CODES) -> Column:
     return recoded
 
 
+def labelled_rows(
+    df: DataFrame,
+    column: str,
+    codes: dict[str, int] = LABEL_CODES,
+    label: str = LABEL_COLUMN,
+) -> DataFrame:
+    """Rows to train on: the label recoded, unmapped ones left out by a filter on the
+    texts, which reaches the scan."""
+    known = df.where(F.col(column).isin(*codes))
+    return known.withColumn(label, recode_label(column, codes))
+
+
 def label_counts(df: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
     """Rows with and without a usable label; the latter are not trained on."""
     return df.agg(
@@ -37,34 +49,33 @@ def label_counts(df: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
     )
 
 
-def feature_columns(
+def with_features(
     df: DataFrame, features: str | Sequence[str], n_features: int | None = None
-) -> list[Column]:
-    """The features as one column each, a missing value being NaN.
+) -> tuple[DataFrame, int]:
+    """Add the features as one array column ``_features``; also returns its width.
 
     ``features`` is a list of columns or the name of one array column. The width of
     an array column is taken from one row unless given; a row of any other width
     fails the job.
     """
-    if isinstance(features, str):
-        array = F.col(features)
-        if n_features is None:
-            first = df.where(array.isNotNull()).select(F.size(array)).first()
-            n_features = first[0] if first else 0
-        checked = F.when(F.size(array) == n_features, array).otherwise(
-            F.raise_error(F.lit(f"feature_count: expected {n_features}"))
-        )
-        parts = [F.get(checked, F.lit(i)) for i in range(n_features)]
-    else:
-        parts = [F.col(name) for name in features]
-    return [F.coalesce(p.cast("double"), F.lit(float("nan"))) for p in parts]
+    if not isinstance(features, str):
+        parts = [F.col(name).cast("double") for name in features]
+        return df.withColumn("_features", F.array(*parts)), len(parts)
+    array = F.col(features)
+    if n_features is None:
+        first = df.where(array.isNotNull()).select(F.size(array)).first()
+        n_features = first[0] if first else 0
+    checked = F.when(F.size(array) == n_features, array).otherwise(
+        F.raise_error(F.lit(f"feature_count: expected {n_features}"))
+    )
+    return df.withColumn("_features", checked), n_features
 
 
 def feature_assembly(
     df: DataFrame, features: Sequence[str], label: str = LABEL_COLUMN
 ) -> DataFrame:
     """Features in order as one array ``x``, next to the label."""
-    return df.select(F.array(*feature_columns(df, features)).alias("x"), label)
+    return with_features(df, features)[0].select(F.col("_features").alias("x"), label)
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -108,33 +119,31 @@ def class_moments(
 ) -> DataFrame:
     """Count, mean and population variance per class and feature.
 
-    Rows are (class_, pos, n, theta, sigma). One scan and one shuffle: each task
-    sends at most classes x chunks rows of partial sums, whatever share of the rows
-    a class holds.
+    Rows are (class_, pos, n, theta, sigma); a missing value counts as NaN. One scan
+    and one shuffle: each task sends at most classes x chunks rows of partial sums,
+    whatever share of the rows a class holds.
     """
-    columns = feature_columns(df, features, n_features)
-    size = (
-        len(columns) if len(columns) <= SINGLE_CHUNK_LIMIT else FEATURES_PER_CHUNK
+    labelled, width = with_features(
+        df.where(F.col(label).isNotNull()), features, n_features
     )
-    chunks = [columns[i : i + size] for i in range(0, len(columns), size)]
+    size = width if width <= SINGLE_CHUNK_LIMIT else FEATURES_PER_CHUNK
+    chunk = F.lit(0)
+    if width > size:
+        chunk = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // size)))
     names = [f"x{i}" for i in range(size)]
-    labelled = df.where(F.col(label).isNotNull())
-
-    if len(chunks) == 1:
-        rows = labelled.select(
-            F.col(label).alias("class_"),
-            F.lit(0).alias("chunk"),
-            *[c.alias(n) for c, n in zip(columns, names)],
-        )
-    else:
-        padding = F.lit(None).cast("double")
-        cells = []
-        for number, chunk in enumerate(chunks):
-            cells += [F.lit(number), *chunk, *[padding] * (size - len(chunk))]
-        rows = labelled.select(
-            F.col(label).alias("class_"),
-            F.stack(F.lit(len(chunks)), *cells).alias("chunk", *names),
-        )
+    missing = F.lit(float("nan"))
+    rows = labelled.select(
+        F.col(label).alias("class_"), "_features", chunk.alias("chunk")
+    ).select(
+        "class_",
+        "chunk",
+        *[
+            F.coalesce(
+                F.get("_features", F.col("chunk") * size + i).cast("double"), missing
+            ).alias(name)
+            for i, name in enumerate(names)
+        ],
+    )
 
     moments = rows.groupBy("class_", "chunk").agg(
         F.count(F.lit(1)).alias("n"),
@@ -154,7 +163,7 @@ def class_moments(
             "s.theta",
             "s.sigma",
         )
-        .where(F.col("pos") < len(columns))
+        .where(F.col("pos") < width)
     )
 
 

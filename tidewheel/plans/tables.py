@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidewheel.functions.headers import header, header_encode
 from tidewheel.functions.scoring import Model, load_model
-from tidewheel.operators.training import nb_model, recode_label
+from tidewheel.operators.training import labelled_rows, nb_model, recode_label
 from tidewheel.schemas import CORRELATION_HEADER, INSTANCE_HEADER
 from tidewheel.sources.topics import file_topic
 
@@ -51,7 +51,8 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nb_model(line_rows(spark, sf_dir), LINE_FEATURES)
+    lines = table(spark, sf_dir, "lineitem")
+    return nb_model(labelled_rows(lines, "l_returnflag", LINE_CODES), LINE_FEATURES)
 
 
 def line_model(spark: SparkSession, sf_dir: str) -> Model:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.operators.training import drop_column, nb_model, recode_label
+from tidewheel.operators.training import drop_column, labelled_rows, nb_model
 from tidewheel.schemas import FEATURE_COLUMNS, ID_COLUMN, LABEL_COLUMN
 from tidewheel.sources.lake import csv_named_scan
 from tidewheel.sources.model_store import model_json_read, model_json_write
@@ -13,6 +13,6 @@ from tidewheel.sources.model_store import model_json_read, model_json_write
 def train_from_csv(spark: SparkSession, csv_path: str, model_path: str) -> DataFrame:
     """Train on a headerless file, store the model and return the stored record."""
     rows = drop_column(csv_named_scan(spark, csv_path), ID_COLUMN)
-    rows = rows.withColumn(LABEL_COLUMN, recode_label(LABEL_COLUMN))
+    rows = labelled_rows(rows, LABEL_COLUMN)
     model_json_write(nb_model(rows, FEATURE_COLUMNS), model_path)
     return model_json_read(spark, model_path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ def reply_roundtrip_stream(
     timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
     lateness: str = "10 seconds",
     match_instance: bool = True,
-    hot: Sequence[int] = (),
+    hot: Iterable[int] = (),
     salts: int = SALTS,
 ) -> DataFrame:
     """Every request (cid, inst, ts) once, with ``ok``, ``result`` and ``wait_us``.
@@ -126,7 +126,7 @@ def replay_roundtrip(
     session = requests.sparkSession
     keys = correlation_keys(match_instance)
     ids = requests.select(*keys).unionByName(replies.select(*keys))
-    hot = hot_buckets(ids, keys, hot_rows) if hot_rows else []
+    hot = hot_buckets(ids, keys, hot_rows) if hot_rows else {}
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     sides = (
         (requests.select("cid", "inst", "ts"), "ts", f"{folder}/requests"),
