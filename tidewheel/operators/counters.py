@@ -36,7 +36,7 @@ def visit_number(
         return visits.withColumn("visit", _row_number(by_page))
     if slices is None:
         usual = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices = max(usual, sum(hot.values()) // hot_rows + 1)
+        slices = max(usual, sum(hot.values()) // HOT_ROWS + 1)
         slices = min(slices, MAX_SLICES)
     cool = visits.where(~in_buckets([page], hot))
     return cool.withColumn("visit", _row_number(by_page)).unionByName(
