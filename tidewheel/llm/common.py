@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,21 @@ from tidewheel.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the library to the Python workers, as --py-files would, once a session."""
+    context = spark.sparkContext
+    if any(name.endswith("/tidewheel.zip") for name in context.listFiles):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tidewheel-")) / "tidewheel.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import line_dedup, packing, quality, secret_scan, sharding
+from tidewheel.llm import contamination, jaccard_join, line_dedup, packing, quality, secret_scan, sharding
 from tidewheel.llm import token_counts as tokens
 from tidewheel.llm import toxicity
 from tidewheel.llm.common import crc32_of, public_path, table, text_or_empty
@@ -52,6 +52,11 @@ def op4_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "text")
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def _of_kind(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
 
@@ -77,6 +82,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     cleaned = line_dedup.drop_boilerplate(
@@ -99,8 +111,10 @@ QUERIES = {
         op2_token_counts,
         op3_interleaved_shards,
         op4_fertility_quality,
+        op5_benchmark_leaks,
         op6_entropy_secrets,
         op7_best_fit_packing,
+        op8_jaccard_join,
         op9_site_lines,
     )
 }
