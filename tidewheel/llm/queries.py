@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import contamination, jaccard_join, line_dedup, packing, quality, secret_scan, sharding
+from tidewheel.llm import contamination, jaccard_join, line_dedup, packing
+from tidewheel.llm import quality, secret_scan, sharding, substring_dedup
 from tidewheel.llm import token_counts as tokens
 from tidewheel.llm import toxicity
 from tidewheel.llm.common import crc32_of, public_path, table, text_or_empty
@@ -104,6 +105,16 @@ def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,5 +127,6 @@ QUERIES = {
         op7_best_fit_packing,
         op8_jaccard_join,
         op9_site_lines,
+        op10_fm_index_dedup,
     )
 }
