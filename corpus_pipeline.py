@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import line_dedup, packing, quality
+from tidewheel.llm import contamination, jaccard_join, line_dedup, packing, quality
 from tidewheel.llm.common import public_path, table, written
 
 
@@ -16,12 +16,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are boilerplate of their source."""
+    """Texts without the lines that are boilerplate of their source; documents of
+    nothing else go."""
     cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"))
+    left = cleaned.where("n_dropped = 0 or n_dropped < n_lines")
     text = F.col("clean_text")
-    return cleaned.withColumn("text", text).withColumn(
-        "n_chars", F.length(text).cast("bigint")
-    ).select(*docs.columns)
+    return left.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(
+        *docs.columns
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    hits = contamination.contaminated(
+        keyed, table(spark, sf_dir, "benchmark"), keys=["doc_id", "text_key"]
+    )
+    gone = hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    return keyed.join(gone.distinct(), same, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +50,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", site_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
     ("best-fit packing", packed),
 ]
 ORACLE_SQL = None

@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import utf8_column, written
+from tidewheel.llm.common import WORD, utf8_column, written
 from tidewheel.llm.components import components
 
 WIDTH = 5
@@ -205,12 +205,14 @@ def near_duplicates(
     width: int = WIDTH,
     frequent: int = FREQUENT,
 ) -> DataFrame:
-    """(doc_id, place, n_shingles, component_id) of every row of ``docs``.
+    """(doc_id, place, n_shingles, component_id, component) of every row of ``docs``.
 
     Rows link when the intersection of their shingle sets is at least ``percent`` per
     cent of the union; ``component_id`` is the least id reachable over links, the row's
     own included. ``place`` is a hash of the text, with which repeated ids can be told
-    apart. Texts without words, empty or null, link with nothing. A null id is
+    apart. ``component`` is a key of the
+    component. Texts without words, empty or null, link with nothing and have no key. A
+    null id is
     reachable like any other but is no component's id unless all of its ids are null.
     Other columns are not looked at; an empty table gives no row.
     """
@@ -259,13 +261,47 @@ def near_duplicates(
         roots.withColumnRenamed("node", "digest"), "digest", "left"
     ).withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_kind = labelled.join(least, "root").select("digest", "component_id")
+    of_kind = labelled.join(least, "root").select(
+        "digest", "component_id", F.col("root").alias("component")
+    )
     return found.select("id", "place", "n", "digest").join(of_kind, "digest", "left").select(
         F.col("id").alias("doc_id"),
         "place",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
+        "component",
+    )
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component one row does: that of the
+    least id, of rows that share it the one of the least text hash and then of the
+    least hash of all columns. Rows whose text has no words all stay. Columns are kept
+    whatever their names; a null id comes last."""
+    found = near_duplicates(docs, doc_id, text, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    winners = (
+        found.where("component is not null")
+        .groupBy("component")
+        .agg(F.min(place).alias("first"))
+        .select(F.col("first.doc_id").alias("_id"), F.col("first.place").alias("_at"))
+    )
+    words = F.rlike(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD))
+    rows = docs.where(words).select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+        F.col(doc_id).alias("_own"),
+        F.xxhash64(F.col(text).cast("string")).alias("_place"),
+    )
+    met = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_place") == F.col("_at"))
+    among = Window.partitionBy("_id", "_at").orderBy(F.xxhash64("_row"))
+    stay = (
+        rows.join(winners, met)
+        .withColumn("_nth", F.row_number().over(among))
+        .where("_nth = 1")
     )
+    return stay.select("_row.*").unionByName(docs.where(~words))
 
 
 def _shared_tokens(kinds: DataFrame) -> DataFrame:
