@@ -11,15 +11,20 @@ from tidewheel.llm import token_counts as tokens
 from tidewheel.llm import toxicity
 from tidewheel.llm.common import crc32_of, public_path, table, text_or_empty
 
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+def held_out() -> Column:
+    """Rows whose labels nothing is learnt from."""
+    remainder = F.pmod(crc32_of(F.col("doc_id").cast("string")), F.lit(3))
+    return F.coalesce(remainder == 1, F.lit(False))
 
 
 def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model)
-    held_out = F.coalesce(HELD_OUT, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "score", "predicted")
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted"
+    )
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
