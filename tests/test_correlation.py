@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import correlation as co
 from tidewheel.operators import counters as ct
 from tidewheel.operators import metrics as mt
-from tidewheel.operators.skew import hot_buckets
+from tidewheel.session import scratch_path
 
 T0 = datetime(2024, 1, 1)
 REQUESTS = "cid string, inst bigint, ts timestamp_ntz"
@@ -108,12 +108,9 @@ def test_hot_ids_give_the_same_outcomes(spark, seed, match_instance):
     p = spark.createDataFrame(replies, REPLIES)
     options = {"match_instance": match_instance}
     wanted = outcomes(requests, replies, **options)
-    keys = ["cid", "inst"] if match_instance else ["cid"]
-    assert hot_buckets(p.select(*keys), keys, 100)
-    for hot_rows in (100, None):
-        found = co.reply_roundtrip(q, p, hot_rows=hot_rows, **options)
-        assert found.count() == len(requests)
-        assert as_dict(found) == wanted
+    found = co.reply_roundtrip(q, p, **options)
+    assert found.count() == len(requests)
+    assert as_dict(found) == wanted
 
 
 def test_hot_ids_give_the_same_matches(spark):
@@ -128,22 +125,43 @@ def test_hot_ids_give_the_same_matches(spark):
         for c, i, r, t in replies
         if c == cid and i == inst and ts <= t < ts + timedelta(seconds=15)
     )
-    for hot_rows in (100, None):
-        rows = co.reply_match(q, p, hot_rows=hot_rows).collect()
-        assert sorted((r["cid"], r["result"], r["reply_ts"]) for r in rows) == wanted
+    rows = co.reply_match(q, p).collect()
+    assert sorted((r["cid"], r["result"], r["reply_ts"]) for r in rows) == wanted
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_a_missing_result_wins_over_others_at_one_instant(spark, order):
+    q = spark.createDataFrame([("a", 1, at(0))], REQUESTS)
+    rows = [("a", 1, None, at(1)), ("a", 1, True, at(1)), ("a", 1, False, at(1))]
+    p = spark.createDataFrame(rows[::order] * 300, REPLIES)
+    (row,) = co.reply_roundtrip(q, p).collect()
+    assert (row["ok"], row["result"], row["reply_ts"]) == (True, None, at(1))
+
+
+def test_requests_without_a_time_stay_unanswered(spark):
+    q = spark.createDataFrame([("a", 1, None), ("b", 1, at(5))], REQUESTS)
+    p = spark.createDataFrame([("a", 1, True, at(1)), ("b", 1, True, None)], REPLIES)
+    assert {r["cid"]: r["ok"] for r in co.reply_roundtrip(q, p).collect()} == {
+        "a": False,
+        "b": False,
+    }
+    assert co.reply_match(q, p).count() == 0
 
 
 def test_a_hot_id_spreads_over_slots(spark):
     _, replies = skewed(4)
     p = spark.createDataFrame(replies, REPLIES).where("cid = 'hot' and inst = 1")
     q = spark.createDataFrame([("hot", 1, at(0))], REQUESTS)
-    rows, _ = co._prepare(q, p, 15, True, 100, "replies")
+    rows, _ = co._prepare(q, p, 15, True)
     sizes = [r["count"] for r in rows.groupBy("slot").count().collect()]
     assert len(sizes) > 30
     assert max(sizes) < p.count() / 4
     # The 1000 repeats at one instant became one row per slot they matter in.
     repeats = rows.where((F.col("at") == F.lit(at(300)).cast("timestamp_ntz")))
     assert repeats.count() == 2
+    lost = spark.range(5000).selectExpr("cast(null as string) cid", "1L inst", "cast(null as timestamp_ntz) ts", "id n")
+    nowhere, _ = co._prepare(lost, p, 15, True)
+    assert nowhere.where("request is not null").select("slot").distinct().count() > 4000
 
 
 def test_requests_without_id_time_out(spark):
@@ -171,8 +189,8 @@ def test_backlog_with_repeated_results(spark):
     ]
 
 
-@pytest.mark.parametrize("slices", [1, 3, 16])
-def test_visit_numbers_of_hot_pages(spark, slices):
+@pytest.mark.parametrize("slices", [None, 1, 3, 16])
+def test_visit_numbers(spark, slices):
     rng = random.Random(5)
     rows = [
         (rng.choice(["a", "a", "a", "b", f"p{i % 40}"]), at(rng.choice([0, 1, 2, i])), i)
@@ -183,21 +201,29 @@ def test_visit_numbers_of_hot_pages(spark, slices):
     seen, wanted = {}, {}
     for page, _, n in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         wanted[n] = seen[page] = seen.get(page, 0) + 1
-    for hot_rows in (300, None):
-        found = ct.visit_number(df, order=("ts", "n"), hot_rows=hot_rows, slices=slices)
-        assert {r["n"]: r["visit"] for r in found.collect()} == wanted
+    folder = scratch_path(spark, "numbers")
+    found = ct.visit_number(df, folder, order=("ts", "n"), slices=slices)
+    assert found.columns == [*df.columns, "visit"]
+    assert {r["n"]: r["visit"] for r in found.collect()} == wanted
+    # A page of a quarter of a per cent and one of a third are cut alike.
+    if slices == 16:
+        sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_slice").count().collect()]
+        assert max(sizes) < 3 * 4000 / 16
     counted = {r["page"]: r["visits"] for r in ct.visit_count(df).collect()}
     assert counted == seen
 
 
-def test_hot_buckets_find_every_hot_key(spark):
-    df = spark.range(20_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
-    )
-    (rows,) = hot_buckets(df, ["k"], 1000).values()
-    assert rows >= 6667
-    assert hot_buckets(df, ["k"], 7000) == {}
-    assert hot_buckets(spark.range(20_000), ["id"], 10) == {}
+@pytest.mark.parametrize("order", [1, -1])
+def test_of_two_samples_at_one_instant_the_greater_counts(spark, order):
+    rows = [("a", {"x": "1"}, at(1), 1.0), ("a", {"x": "1"}, at(1), 2.0)][::order]
+    schema = "name string, labels map<string,string>, ts timestamp_ntz, value double"
+    assert mt.metric_latest(spark.createDataFrame(rows, schema)).first()["value"] == 2.0
+
+
+def test_backlog_counts_requests_without_an_id(spark):
+    q = spark.createDataFrame([(None, 1, at(0)), (None, 1, at(0)), ("a", 1, at(0))], REQUESTS)
+    p = spark.createDataFrame([("a", 1, True, at(1)), (None, 1, True, at(1))], REPLIES)
+    assert [r["backlog"] for r in co.topic_backlog(q, p, F.to_date("ts")).collect()] == [2]
 
 
 def test_metrics(spark):

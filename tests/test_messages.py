@@ -117,6 +117,10 @@ def test_parse_int_prefix(spark):
         "1e3": 1,
         "﻿ 8": 8,
         "١": 0,
+        "99999999999999999999": 2**63 - 1,
+        "-99999999999999999999": -(2**63),
+        "0xFFFFFFFFFFFFFFFFFF": 2**63 - 1,
+        "0x000000000000000000FF": 255,
     }
     df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "s string")
     rows = df.select("s", pl.parse_int_prefix("s").alias("n")).collect()
@@ -156,6 +160,14 @@ def test_score_messages(spark, form):
         (None, None, "bad_value"),
         ('{"f0": "NaN", "f1": 1}', False, None),
         ('{"f0": "inf", "f1": 1}', False, None),
+        ('{"f0": "1d", "f1": 1}', None, "bad_feature"),
+        ('{"f0": "2f", "f1": "1_000"}', None, "bad_feature"),
+        ('{"f0": true, "f1": false}', False, None),
+        ('{"f0": "true", "f1": 1}', None, "bad_feature"),
+        ('{"f{0}": 1.9, "f\\"}1": "2.2"}', True, None),
+        ('{"f0": "{", "f1": 1}', None, "bad_feature"),
+        ("{" + '"' * 30001, None, "bad_value"),
+        ('{"' + "\\\\" * 20000 + '": 1}', None, "feature_count"),
     ]
     rows = [(v.encode() if v is not None else None, cid, None) for v, _, _ in cases]
     scored = st.score_messages(spark.createDataFrame(rows, MESSAGE_SCHEMA).coalesce(1), MODEL, form)
@@ -163,10 +175,17 @@ def test_score_messages(spark, form):
     assert [(r["result"], r["error"]) for r in found] == [c[1:] for c in cases]
     assert all(r["out_headers"][0]["key"] == "correlationId" for r in found)
     good = [bytes(r["value"]) for r in st.result_messages(scored).collect()]
-    assert good == [b"true", b"true", b"false", b"false", b"false", b"false"]
+    assert good == [b"true", b"true", *[b"false"] * 5, b"true"]
     assert st.rejected_messages(scored).count() + len(good) == len(cases)
 
 
+def test_headers_of_any_bytes_are_read(spark):
+    rows = [(b'{"f0": 0, "f1": 0}', [("correlationId", b"\xff\xfe"), ("x", None)], None)]
+    scored = st.score_messages(spark.createDataFrame(rows, MESSAGE_SCHEMA), MODEL)
+    assert "correlationId=" in st.event_log(scored).first()["line"]
+    assert bytes(scored.first()["out_headers"][0]["value"]) == b"\xff\xfe"
+
+
 def test_order_of_values_decides(spark):
     rows = [(b'{"f1": 2.5, "f0": -9.0}',), (b'{"f0": -9.0, "f1": 2.5}',)]
     df = spark.createDataFrame(rows, "value binary").coalesce(1)

@@ -12,6 +12,7 @@ from tidewheel.operators import metrics as mt
 from tidewheel.operators import training as tr
 from tidewheel.plans import tables as tb
 from tidewheel.plans.queries import QUERIES
+from tidewheel.session import scratch_path
 from tidewheel.streaming import scoring as st
 
 
@@ -58,12 +59,17 @@ def test_messages_are_parsed_once(spark, sf_dir):
     assert optimized(results).count("from_json") == 1
 
 
-def test_correlation_takes_one_shuffle_and_no_join(spark, sf_dir):
+def test_matching_keys_by_slot_and_acts_on_nothing(spark, sf_dir):
     events = tb.table(spark, sf_dir, "events")
     sides = tb.requests(events), tb.replies(events)
-    for df in (co.reply_roundtrip(*sides), co.reply_match(*sides)):
-        assert exchanges(df) == 1
-        assert "Join" not in plan(df)
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup(None)
+    roundtrip, matches = co.reply_roundtrip(*sides), co.reply_match(*sides)
+    assert tracker.getJobIdsForGroup(None) == before
+    # One shuffle merges replies of one instant, one brings both sides together.
+    assert exchanges(roundtrip) == 2 and "Join" not in plan(roundtrip)
+    assert "slot" in re.search(r"Window .*", plan(roundtrip)).group()
+    assert "asked_slot" in plan(matches) and "NestedLoop" not in plan(matches)
 
 
 def test_backlog_joins_distinct_ids(spark, sf_dir):
@@ -72,17 +78,34 @@ def test_backlog_joins_distinct_ids(spark, sf_dir):
     assert "LeftAnti" in text and "Cartesian" not in text
 
 
-def test_metrics_add_up_in_hash_tables_below_one_shuffle(spark, sf_dir):
+def test_metrics_add_up_below_one_shuffle(spark, sf_dir):
     latest = mt.metric_latest(tb.samples(tb.table(spark, sf_dir, "events")), "view")
     text = plan(latest)
-    assert exchanges(latest) == 1 and "SortAggregate" not in text
+    assert exchanges(latest) == 1 and "partial_max" in text
     assert "EqualTo(event_type,view)" in text
 
 
-def test_sliced_visit_numbers_broadcast_only_offsets(spark, sf_dir):
+def test_visit_numbers_need_no_window_over_a_page_s_rows(spark, sf_dir):
     visits = tb.visits(tb.table(spark, sf_dir, "events"))
-    text = plan(ct.visit_number(visits, order=("ts", "event_id"), hot_rows=1))
-    assert text.count("BroadcastHashJoin") == 1 and "NestedLoop" not in text
+    numbered = ct.visit_number(visits, scratch_path(spark, "n"), order=("ts", "event_id"))
+    text = plan(numbered)
+    assert text.count("Window") == 1 and "row_number" not in text and "NestedLoop" not in text
+
+
+def test_a_model_is_trained_once(spark, sf_dir):
+    record = tb.line_model_record(spark, sf_dir)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = record.mapInArrow(count, record.schema)
+    sc.load_model(counted)
+    assert seen.value == 1
+    with pytest.raises(ValueError, match="allowed are 1 to 7"):
+        sc.load_model(record, max_terms=7)
 
 
 @pytest.mark.parametrize(

@@ -4,31 +4,21 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, database
-
-ROWS_ONLY = {"lake_listing"}
-
+from tidewheel.plans.oracles import ORACLES
+from tidewheel.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    assert compare(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) is None
-
-
-def test_every_query_but_the_listing_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-
+    assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
 
-def test_listing_names_every_table(spark, sf_dir):
-    import os
 
-    rows = entry.queries()["lake_listing"](spark, sf_dir).collect()
-    assert {(r["name"], r["length"]) for r in rows} == {
-        (f, os.path.getsize(f"{sf_dir}/{f}")) for f in os.listdir(sf_dir)
-    }
+def test_every_query_of_the_library_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_counts_every_line(spark):

@@ -78,12 +78,19 @@ def test_model_with_special_values_survives_storage(spark, tmp_path):
     assert str(model_store.model_json_read(spark, path).collect()) == str(record.collect())
 
 
-def test_ingest_copies_lines(spark, tmp_path):
-    raw = tmp_path / "raw.data"
-    raw.write_text("1,M,0.5\n2,B,x y\n")
-    landed = lake.lake_ingest(spark, str(raw), str(tmp_path / "landing"))
-    assert sorted(r["value"] for r in landed.collect()) == ["1,M,0.5", "2,B,x y"]
-    assert lake.lake_show(spark, str(raw)).count() == 2
+def test_ingest_adds_objects_and_keeps_bytes(spark, tmp_path):
+    raw, landing = tmp_path / "raw.data", tmp_path / "landing"
+    raw.write_bytes(b"1,M,0.5\r\n2,B,x y\r\n\n3")
+    (tmp_path / "b.txt").write_bytes(b"later\n")
+    lake.lake_ingest(spark, str(raw), str(landing))
+    again = lake.lake_ingest(spark, str(tmp_path / "b.txt"), str(landing))
+    assert [r["value"] for r in again.collect()] == ["later"]
+    landed = {
+        p.parent.name: p.read_bytes() for p in landing.glob("*/part-*") if p.stat().st_size
+    }
+    assert landed == {"raw.data": b"1,M,0.5\r\n2,B,x y\r\n\n3\n", "b.txt": b"later\n"}
+    assert lake.lake_show(spark, f"{landing}/*").count() == 5
+    assert lake.lake_show(spark, str(raw)).count() == 4
     assert lake.lake_listing(spark, str(tmp_path), "raw*").count() == 1
 
 

@@ -17,11 +17,11 @@ def header_encode(text: str | Column) -> Column:
 
 
 def header_decode(headers: str | Column) -> Column:
-    """Header values as text; a missing value stays NULL."""
+    """Header values as text, whatever their bytes; a missing value stays NULL."""
     return F.transform(
         _column(headers),
         lambda h: F.struct(
-            h["key"].alias("key"), F.decode(h["value"], "UTF-8").alias("value")
+            h["key"].alias("key"), h["value"].cast("string").alias("value")
         ),
     )
 

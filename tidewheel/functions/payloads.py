@@ -19,21 +19,44 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# A JSON object without nested ones, and nothing after it.
+# A quoted text, and a JSON object without nested ones once texts are empty.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _FLAT_OBJECT = r"^\s*\{[^{}]*\}\s*$"
+# What a decimal number parser takes: digits, a fraction, an exponent, or the names of
+# values that are no finite numbers; no type letters.
+_NUMBER = (
+    r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\s*$"
+    r"|^\s*[+-]?(?:inf|infinity|nan)\s*$"
+)
+_QUOTED_BOOLEAN = r':\s*"(?:true|false)"\s*[,}]'
 
 
 def feature_map(value: str | Column) -> Column:
     """A flat JSON object as a map of texts, in the object's own order."""
     text = _column(value).cast("string")
-    return F.when(
-        text.rlike(_FLAT_OBJECT), F.from_json(text, "map<string,string>")
-    )
+    bare = F.regexp_replace(text, _QUOTED, '""')
+    return F.when(bare.rlike(_FLAT_OBJECT), F.from_json(text, "map<string,string>"))
+
+
+def numbers(texts: str | Column, value: str | Column) -> Column:
+    """Values of a JSON object, taken as texts from ``value``, as doubles. JSON true and
+    false are 1 and 0; the texts "true" and "false", like all that is no number, are
+    NULL."""
+    told = _column(value).cast("string").rlike(_QUOTED_BOOLEAN)
+
+    def number(v: Column) -> Column:
+        return (
+            F.when(v.rlike(_NUMBER), F.trim(v).try_cast("double"))
+            .when(~told & (v == "true"), F.lit(1.0))
+            .when(~told & (v == "false"), F.lit(0.0))
+        )
+
+    return F.transform(_column(texts), number)
 
 
 def json_features(value: str | Column) -> Column:
     """Values of a JSON object as doubles; one that is no number becomes NULL."""
-    return F.map_values(feature_map(value)).try_cast("array<double>")
+    return numbers(F.map_values(feature_map(value)), value)
 
 
 def feature_error(names: str | Column, features: str | Column, n_features: int) -> Column:
@@ -87,12 +110,20 @@ def correlation_id(
 
 
 def parse_int_prefix(text: str | Column) -> Column:
-    """Integer at the start of a text, decimal or 0x-prefixed; 0 if there is none."""
+    """Integer at the start of a text, decimal or 0x-prefixed; 0 if there is none. One
+    beyond a bigint is the bigint nearest to it."""
     t = _column(text)
     hex_digits = F.regexp_extract(t, _HEXADECIMAL, 2)
-    sign = F.when(F.regexp_extract(t, _HEXADECIMAL, 1) == "-", -1).otherwise(1)
-    from_hex = F.conv(hex_digits, 16, 10).try_cast("bigint") * sign
-    from_decimal = F.regexp_extract(t, _DECIMAL, 1).try_cast("bigint")
+    negative = F.regexp_extract(t, _HEXADECIMAL, 1) == "-"
+    sign = F.when(negative, -1).otherwise(1)
+    long_hex = F.length(F.ltrim(hex_digits, F.lit("0"))) > 15
+    from_hex = F.when(long_hex, _limit(negative)).otherwise(
+        F.conv(F.right(hex_digits, F.lit(15)), 16, 10).try_cast("bigint") * sign
+    )
+    digits = F.regexp_extract(t, _DECIMAL, 1)
+    from_decimal = F.when(
+        digits != "", F.coalesce(digits.try_cast("bigint"), _limit(digits.startswith("-")))
+    )
     maybe_hex = F.contains(t, F.lit("0x")) | F.contains(t, F.lit("0X"))
     return F.coalesce(
         F.when(maybe_hex & (hex_digits != ""), from_hex).otherwise(from_decimal),
@@ -100,6 +131,10 @@ def parse_int_prefix(text: str | Column) -> Column:
     )
 
 
+def _limit(negative: Column) -> Column:
+    return F.when(negative, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+
+
 def json_payload(fields: Sequence[str]) -> Column:
     """A record as a JSON object of texts, in field order."""
     return F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]))

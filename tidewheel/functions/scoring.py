@@ -3,7 +3,8 @@
 The model is loaded once and becomes constants of the query, so scoring is map-only:
 no join, no shuffle. A small model is unrolled into plain arithmetic that stays in
 generated code. A larger one would compile into a method too long for the JIT, so it
-runs as an Arrow function over whole batches instead; both give the same numbers.
+runs as an Arrow function over whole batches instead; both add the same terms in the
+same order, so they give the same numbers to the last bit.
 
 Arithmetic follows IEEE rules throughout: a zero variance, a NaN or an infinite
 feature ends in the first class, as an argmax over NaN does.
@@ -62,17 +63,20 @@ class Model:
 
 
 def load_model(record: DataFrame, max_terms: int = MAX_MODEL_TERMS) -> Model:
-    """Fetch the one model record, after checking its size."""
+    """Fetch the one model record in one action; a record above ``max_terms`` stays
+    where it is and is refused."""
+    classes = F.size("theta_")
+    terms = classes * F.coalesce(F.size(F.get("theta_", F.lit(0))), F.lit(0))
+    small = terms.between(1, max_terms)
+    names = ("classes_", "class_count_", "class_prior_", "theta_", "sigma_")
     found = record.select(
-        F.size("theta_").alias("classes"),
-        F.coalesce(F.size(F.get("theta_", F.lit(0))), F.lit(0)).alias("features"),
+        terms.alias("terms"), *[F.when(small, F.col(n)).alias(n) for n in names]
     ).take(2)
     if len(found) != 1:
         raise ValueError(f"expected one model record, found {len(found) or 'none'}")
-    terms = found[0]["classes"] * found[0]["features"]
-    if not 0 < terms <= max_terms:
-        raise ValueError(f"model has {terms} terms, allowed are 1 to {max_terms}")
-    row = record.first()
+    (row,) = found
+    if row["theta_"] is None:
+        raise ValueError(f"model has {row['terms']} terms, allowed are 1 to {max_terms}")
     return Model(
         classes=np.array(row["classes_"]),
         class_count=np.array(row["class_count_"], dtype=float),
@@ -121,9 +125,12 @@ def _batched(features, model: Model, start: np.ndarray) -> Column:
         scores = np.empty((len(x), len(start)))
         with np.errstate(all="ignore"):
             for c in range(len(start)):
-                gap = x - theta[c]
-                gap *= gap
-                scores[:, c] = start[c] + gap @ weight[c]
+                total = np.full(len(x), start[c])
+                # One feature after the other, as the expression adds them.
+                for i in range(width):
+                    gap = x[:, i] - theta[c, i]
+                    total += gap * gap * weight[c, i]
+                scores[:, c] = total
         ends = np.concatenate(([0], np.cumsum(known))) * len(start)
         return pa.ListArray.from_arrays(
             pa.array(ends, pa.int32()), pa.array(scores.ravel()), mask=pa.array(~known)
@@ -161,9 +168,18 @@ def nb_log_joint(features, model: Model, form: str = "auto") -> Column:
 def nb_proba(log_joint: str | Column) -> Column:
     """Class probabilities from log joints, shifted by their maximum first."""
     joint = F.col(log_joint) if isinstance(log_joint, str) else log_joint
-    shifted = F.transform(joint, lambda v: F.exp(v - F.array_max(joint)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(shifted, lambda v: v / total)
+    # The maximum and the total are worked out once a row, as parts of a struct that a
+    # one-element transform binds.
+    def share(parts: Column) -> Column:
+        total = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+        bound = F.transform(F.array(total), lambda t: F.transform(parts, lambda v: v / t))
+        return F.get(bound, F.lit(0))
+
+    def shift(top: Column) -> Column:
+        return F.transform(joint, lambda v: F.exp(v - top))
+
+    shifted = F.get(F.transform(F.array(F.array_max(joint)), shift), F.lit(0))
+    return F.get(F.transform(F.array(shifted), share), F.lit(0))
 
 
 def nb_argmax(log_joint: str | Column, model: Model) -> Column:

@@ -4,11 +4,11 @@ Requests have the columns ``cid``, ``inst``, ``ts`` and any others; replies have
 ``cid``, ``inst``, ``result`` and ``reply_ts``. A correlation id names one request.
 A reply counts if it arrives at or after the request and before the time-out.
 
-Both sides are tagged, put together and sorted by time within each id, so one
-running value answers every row: no pairs are built, and repeated replies cost one
-row each. An id with a large share of all rows is cut into time slots of the
-time-out's length, each row of one side being sent to the two slots it can matter
-in; ids that are not hot take a single shuffle by id.
+Time is cut into slots of the time-out's length, for every id alike, and rows meet by
+id and slot. A row of one side goes to the two slots it can matter in. For the first
+reply of each request both sides are tagged, put together and sorted by time within id
+and slot, so one running value answers every row and no pairs are built; replies of one
+instant are merged before, so an id has a bounded number of them in a slot.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.clock import epoch_micros
-from tidewheel.operators.skew import HOT_ROWS, hot_buckets, in_buckets
 from tidewheel.schemas import REPLY_TIMEOUT_SECONDS
 
 
@@ -50,57 +49,37 @@ def _slot(df: DataFrame, at: str, seconds: float) -> Column:
     return F.floor(epoch_micros(df, at) / width).cast("bigint")
 
 
-def _prepare(requests, replies, timeout_seconds, match_instance, hot_rows, twice):
-    """Tag both sides and put them together as (keys, slot, at, request, reply).
-
-    ``twice`` names the side whose rows, if hot, go to a second slot: replies also to
-    the slot before their own, or requests also to the slot after.
-    """
-    keys = correlation_keys(match_instance)
+def _usable_replies(replies: DataFrame, match_instance: bool) -> DataFrame:
     usable = replies.where(_usable("cid"))
-    if match_instance:
-        usable = usable.where(F.col("inst").isNotNull())
-    hot = (
-        hot_buckets(
-            requests.select(*keys).unionByName(usable.select(*keys)), keys, hot_rows
-        )
-        if hot_rows
-        else {}
-    )
+    return usable.where(F.col("inst").isNotNull()) if match_instance else usable
 
-    def slots(df: DataFrame, at: str, step: int | None) -> Column:
-        if not hot:
-            return F.lit(0).cast("bigint")
-        own = _slot(df, at, timeout_seconds)
-        both = F.array(own) if step is None else F.array(own, own + F.lit(step))
-        cool = F.array(F.lit(0).cast("bigint"))
-        return F.explode(F.when(in_buckets(keys, hot), both).otherwise(cool))
 
+def _prepare(requests, replies, timeout_seconds, match_instance):
+    """Tag both sides and put them together as (keys, slot, at, request, reply); a
+    reply is in its own slot and in the one before."""
+    keys = correlation_keys(match_instance)
     request = F.struct(*[F.col(c) for c in requests.columns])
-    reply = F.struct("reply_ts", "result")
+    # A request without an id or a time meets no reply; any slot does.
+    lone = F.pmod(F.xxhash64(request), F.lit(1 << 20))
+    own = F.coalesce(_slot(requests, "ts", timeout_seconds), lone)
     asked = requests.select(
         *keys,
-        slots(requests, "ts", 1 if twice == "requests" else None).alias("slot"),
+        F.when(_usable("cid"), own).otherwise(lone).alias("slot"),
         F.col("ts").alias("at"),
         request.alias("request"),
     )
-    answers = usable.select(
+    # Of replies at one instant the smallest result counts, a missing one first.
+    usable = _usable_replies(replies, match_instance)
+    merged = usable.groupBy(*keys, "reply_ts").agg(
+        F.min(F.struct("result")).alias("least")
+    )
+    slot = _slot(merged, "reply_ts", timeout_seconds)
+    answers = merged.select(
         *keys,
-        slots(usable, "reply_ts", -1 if twice == "replies" else None).alias("slot"),
+        F.explode(F.array(slot, slot - 1)).alias("slot"),
         F.col("reply_ts").alias("at"),
-        reply.alias("reply"),
+        F.struct("reply_ts", "least.result").alias("reply"),
     )
-    if hot and twice == "replies":
-        # Repeats at the same instant cannot win over each other: one is enough. Only
-        # the hot ids pay for this step, and their repeats merge before the shuffle.
-        hot_answers = (
-            answers.where(in_buckets(keys, hot))
-            .groupBy(*keys, "slot", "at")
-            .agg(F.min("reply.result").alias("result"))
-            .withColumn("reply", F.struct(F.col("at").alias("reply_ts"), "result"))
-            .drop("result")
-        )
-        answers = answers.where(~in_buckets(keys, hot)).unionByName(hot_answers)
     return asked.unionByName(answers, allowMissingColumns=True), keys
 
 
@@ -109,22 +88,14 @@ def reply_roundtrip(
     replies: DataFrame,
     timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
     match_instance: bool = True,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Every request once, with ``ok``, and ``reply_ts`` and ``result`` of the first
     reply in time; both NULL if the request timed out."""
-    rows, keys = _prepare(
-        requests, replies, timeout_seconds, match_instance, hot_rows, "replies"
-    )
-    # Latest first, so the last reply seen so far is the next one in time. Of replies
-    # at one instant the smallest result comes last.
+    rows, keys = _prepare(requests, replies, timeout_seconds, match_instance)
+    # Latest first, so the last reply seen so far is the next one in time.
     backwards = (
         Window.partitionBy(*keys, "slot")
-        .orderBy(
-            F.desc("at"),
-            F.col("request").isNotNull(),
-            F.desc("reply.result"),
-        )
+        .orderBy(F.desc("at"), F.col("request").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     following = (
@@ -151,23 +122,34 @@ def reply_match(
     replies: DataFrame,
     timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
     match_instance: bool = True,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Every reply that arrives in time, next to its request; others are ignored."""
-    rows, keys = _prepare(
-        requests, replies, timeout_seconds, match_instance, hot_rows, "requests"
+    """Every reply that arrives in time, next to its request; others are ignored.
+
+    A join by id and slot, requests being in their own slot and the next: Spark splits
+    the replies of a busy id and slot, as a request is one row there.
+    """
+    keys = correlation_keys(match_instance)
+    slot = _slot(requests, "ts", timeout_seconds)
+    asked = requests.where(_usable("cid")).select(
+        F.struct(*[F.col(c) for c in requests.columns]).alias("request"),
+        *[F.col(k).alias(f"asked_{k}") for k in keys],
+        F.explode(F.array(slot, slot + 1)).alias("asked_slot"),
     )
-    forwards = (
-        Window.partitionBy(*keys, "slot")
-        .orderBy("at", F.col("request").isNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    usable = _usable_replies(replies, match_instance)
+    answers = usable.select(
+        *[F.col(k).alias(f"own_{k}") for k in keys],
+        _slot(usable, "reply_ts", timeout_seconds).alias("own_slot"),
+        "reply_ts",
+        "result",
     )
-    return (
-        rows.withColumn("request", F.last("request", ignorenulls=True).over(forwards))
-        .where(F.col("reply").isNotNull())
-        .where(F.col("at") < F.col("request.ts") + _timeout(timeout_seconds))
-        .select("request.*", "reply.reply_ts", "reply.result")
+    met = F.col("asked_slot") == F.col("own_slot")
+    for key in keys:
+        met &= F.col(f"asked_{key}") == F.col(f"own_{key}")
+    in_time = (F.col("reply_ts") >= F.col("request.ts")) & (
+        F.col("reply_ts") < F.col("request.ts") + _timeout(timeout_seconds)
     )
+    matched = answers.join(asked, met).where(in_time)
+    return matched.select("request.*", "reply_ts", "result")
 
 
 def reply_timeouts(requests: DataFrame, replies: DataFrame, **options) -> DataFrame:
@@ -189,9 +171,11 @@ def topic_backlog(
     Results shrink to their distinct ids first, which merges repeats before the
     shuffle and leaves the join nothing to repeat.
     """
-    answered = results.select(cid).distinct()
-    waiting = requests.join(answered, cid, "left_anti")
-    return waiting.groupBy(bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("backlog")
+    named = requests.where(F.col(cid).isNotNull())
+    waiting = named.join(results.select(cid).distinct(), cid, "left_anti")
+    # Requests without an id have no result and need no join, which would gather them.
+    nameless = requests.where(F.col(cid).isNull())
+    every = waiting.select(bucket.alias("bucket")).unionByName(
+        nameless.select(bucket.alias("bucket"))
     )
-
+    return every.groupBy("bucket").agg(F.count(F.lit(1)).alias("backlog"))

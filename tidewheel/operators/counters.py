@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.skew import HOT_ROWS, hot_buckets, in_buckets
-from tidewheel.session import scratch_path
-
-# Also the bound on the offsets that are broadcast: one per slice.
-MAX_SLICES = 100_000
+# Bits of a row's number within its task in Spark's increasing ids.
+_ROW_BITS = (1 << 33) - 1
 
 
 def visit_count(visits: DataFrame, page: str = "page") -> DataFrame:
@@ -20,70 +17,45 @@ def visit_count(visits: DataFrame, page: str = "page") -> DataFrame:
 
 def visit_number(
     visits: DataFrame,
+    folder: str,
     page: str = "page",
     order: Sequence[str] = ("ts",),
-    hot_rows: int | None = HOT_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Each visit with the counter value after its own increment.
 
-    ``order`` must be unique within a page. Pages that fit a task are numbered by a
-    window. Hot pages are numbered in slices.
-    """
-    hot = hot_buckets(visits, [page], hot_rows) if hot_rows else {}
-    by_page = Window.partitionBy(page).orderBy(*order)
-    if not hot:
-        return visits.withColumn("visit", _row_number(by_page))
-    if slices is None:
-        usual = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices = max(usual, sum(hot.values()) // HOT_ROWS + 1)
-        slices = min(slices, MAX_SLICES)
-    cool = visits.where(~in_buckets([page], hot))
-    return cool.withColumn("visit", _row_number(by_page)).unionByName(
-        _number_in_slices(visits.where(in_buckets([page], hot)), page, order, slices)
-    )
-
-
-def _row_number(window: WindowSpec) -> Column:
-    return F.row_number().over(window).cast("bigint")
-
-
-def _number_in_slices(
-    visits: DataFrame, page: str, order: Sequence[str], slices: int
-) -> DataFrame:
-    """Number rows within slices of the sorted rows, then add what came before.
-
-    Range partitioning cuts by page and order, so a page of any size spreads over
-    many slices. The slices are written to the shared folder once: both readers see
-    the same cut even if tasks are run again.
+    ``order`` must be unique within a page. The visits are cut into ``slices`` by page
+    and order, so a page of any size spreads over many of them, sorted, and written to
+    ``folder``, a new path that all executors reach, with their place in the slice: all
+    readers see one cut even if tasks run again. A visit's number is its place, less
+    that of its page's first visit there, plus what earlier slices hold of the page.
     """
     spark = visits.sparkSession
-    path = scratch_path(spark, "visit-slices")
-    visits.repartitionByRange(slices, page, *order).withColumn(
-        "slice", F.spark_partition_id()
-    ).write.parquet(path)
-    sliced = spark.read.parquet(path)
-
-    earlier = Window.partitionBy(page).orderBy("slice")
-    before = (
-        sliced.groupBy(page, "slice")
-        .agg(F.count(F.lit(1)).alias("n"))
+    if slices is None:
+        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        visits.repartitionByRange(slices, page, *order)
+        .sortWithinPartitions(page, *order)
+        .withColumn("_slice", F.spark_partition_id())
         .withColumn(
-            "before",
-            F.sum("n").over(
-                earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            - F.col("n"),
+            "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
         )
-        # A slice continues at most one page, so fewer rows than slices remain.
-        .where(F.col("before") > 0)
-        .select(page, "slice", "before")
+        .write.parquet(folder)
+    )
+    sliced = spark.read.parquet(folder)
+    # One row per page and slice; most pages lie in one slice.
+    upto = (
+        Window.partitionBy("_page")
+        .orderBy("_at")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    numbered = sliced.withColumn(
-        "visit", _row_number(Window.partitionBy("slice", page).orderBy(*order))
+    starts = (
+        sliced.groupBy(F.col(page).alias("_page"), F.col("_slice").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     )
-    return (
-        numbered.join(F.broadcast(before), [page, "slice"], "left")
-        .withColumn("visit", F.col("visit") + F.coalesce("before", F.lit(0)))
-        .select(*visits.columns, "visit")
+    met = F.col(page).eqNullSafe(F.col("_page")) & (F.col("_slice") == F.col("_at"))
+    number = F.col("_place") - F.col("_first") + F.col("_before") + 1
+    return sliced.join(starts, met).select(
+        *visits.columns, number.cast("bigint").alias("visit")
     )

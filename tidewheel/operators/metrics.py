@@ -13,8 +13,8 @@ def metric_latest(
 ) -> DataFrame:
     """Current value of every series, or of those with this name and these labels.
 
-    A series has one sample per instant. Tasks send one row per series, so a busy
-    series costs no more than a quiet one.
+    Of samples at one instant the greatest value counts. Tasks send one row per
+    series, so a busy series costs no more than a quiet one.
     """
     chosen = samples
     if name is not None:
@@ -24,6 +24,8 @@ def metric_latest(
     series = F.array_sort(F.map_entries("labels"))
     return (
         chosen.groupBy("name", series.alias("series"))
-        .agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
-        .select("name", F.map_from_entries("series").alias("labels"), "ts", "value")
+        .agg(F.max(F.struct("ts", "value")).alias("last"))
+        .select(
+            "name", F.map_from_entries("series").alias("labels"), "last.ts", "last.value"
+        )
     )

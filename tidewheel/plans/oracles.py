@@ -89,6 +89,29 @@ MESSAGE = """'{"a":"' || cast(l_quantity as varchar) || '","b":"'
   || '","d":"' || cast(l_tax as varchar) || '"}'"""
 LINE_CID = "'c-' || l_orderkey || '-' || l_linenumber"
 
+_MEASURES = [
+    *_FEATURES,
+    "date_diff('day', date '1992-01-01', cast(l_shipdate as date))",
+    "month(l_shipdate)",
+]
+_FORMS = ["{0}", "{0} * {0}", "sqrt(abs({0}))", "abs({0} - 10)", "{0} * l_quantity"]
+_WIDE = ", ".join(
+    f"cast({form.format(f'cast({m} as double)')} as double)" for m in _MEASURES for form in _FORMS
+)
+WIDE = f"""{LINES},
+w as (
+  select row_number() over () as row, l_orderkey, l_linenumber, target, [{_WIDE}] x
+  from t),
+u as (
+  select row, l_orderkey, l_linenumber, target, unnest(range(30))::int pos, unnest(x) x
+  from w),
+st as (
+  select target c, pos, avg(x) theta, var_pop(x) sigma
+  from u where target is not null group by target, pos),
+pr as (
+  select target c, count(*) * 1.0e0 / sum(count(*)) over () p
+  from w where target is not null group by target)"""
+
 REPLIES = """
 requests as (
   select cast(event_id as varchar) cid, user_id % 3 as inst, ts
@@ -134,9 +157,17 @@ f as (
   from h)"""
 
 
-def _shape(fields: list[str]) -> str:
-    return f"""select event_id, {len(fields)}::int as n_fields,
-  '{",".join(fields)}' as fields, true as in_range from events"""
+def _drawn(field: int) -> str:
+    digits = f"substr(md5(event_id || '|{field}|0'), 1, 13)"
+    return f"cast(cast('0x' || {digits} as bigint) as double) / 4503599627370496e0"
+
+
+def _filled(fields: list[str], value: str, decimals: int) -> str:
+    """First, last and summed values of messages with these fields."""
+    drawn = ", ".join(value.format(_drawn(i)) for i in range(len(fields)))
+    return f"""with v as (select event_id, [{drawn}] x from events)
+select event_id, '{",".join(fields)}' as fields, round(x[1], {decimals}) as first,
+  round(x[-1], {decimals}) as last, round(list_sum(x), 6) as total from v"""
 
 
 ORACLES: dict[str, str] = {
@@ -150,11 +181,11 @@ select target as class_, n * 1.0e0 as class_count,
     "model_json_read": LINE_MODEL,
     "topic_source": f"""
 select {LINE_CID} as cid, {MESSAGE} as value
-from lineitem where l_returnflag <> 'N'""",
+from lineitem""",
     "topic_sink": f"""{LINE_SCORED}
 select cast(positive as varchar) as value, 0::int as place,
   'correlationId' as key, {LINE_CID} as text
-from s where l_returnflag <> 'N'""",
+from s""",
     "request_producer": """
 select event_id,
   '{"event_type":"' || event_type || '","user_id":"' || user_id
@@ -164,8 +195,14 @@ from events""",
     "results_from_latest": f"""with {REPLIES}
 select cid, inst, result, strftime(reply_ts, {STAMP}) as reply_ts
 from replies where reply_ts > timestamp '2024-01-16 00:00:00'""",
-    "synthetic_load": _shape(LOAD_FIELDS),
-    "form_random_fill": _shape(FORM_FIELDS),
+    "synthetic_load": _filled(LOAD_FIELDS, "{}", 12),
+    "form_random_fill": _filled(
+        FORM_FIELDS, "cast(printf('%.2f', {}) as double)", 2
+    ),
+    "lake_listing": """
+select event_type as kind, cast(sum(length(cast(event_id as varchar)) + 1) as bigint)
+  as n_bytes
+from events group by event_type""",
     "lake_ingest": """
 select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids,
   cast(sum(user_id) as bigint) as users
@@ -174,7 +211,7 @@ from events group by event_type""",
 select l_orderkey, l_linenumber,
   'in=' || {MESSAGE} || ' headers=[correlationId=' || {LINE_CID} || ',x=T] out='
     || cast(positive as varchar) || ' to=[correlationId=' || {LINE_CID} || ']' as line
-from s where l_returnflag <> 'N'""",
+from s""",
     "drop_column": f"""{LINES}
 select target, l_quantity, l_extendedprice, l_discount, l_tax from t""",
     "label_recode": f"""{LINES}
@@ -208,7 +245,7 @@ select class_, pos, sigma from (select class_, pos, {ROUNDED} from st)""",
     "json_features": """
 select l_orderkey, l_linenumber, l_quantity as x0, l_extendedprice as x1,
   l_discount as x2, l_tax as x3
-from lineitem where l_returnflag <> 'N'""",
+from lineitem""",
     "nb_log_likelihood": f"""{EMBEDDING_SCORED}
 select vec_id, c as class_, round(s, 6) as log_likelihood from ll""",
     "nb_log_joint": f"""{EMBEDDING_SCORED}
@@ -223,13 +260,25 @@ from ex""",
     "nb_predict_batch": f"""{LINE_SCORED}
 select target, cast(positive as int) as predicted, positive, count(*) as n
 from s group by target, positive""",
+    "nb_model_wide": f"""{WIDE}
+select c as class_, pos, round(theta, 4) as theta, printf('%.6e', sigma) as sigma
+from st""",
+    "nb_predict_wide": f"""{WIDE},
+j as (
+  select row, l_orderkey, l_linenumber, c,
+    sum(ln(2e0 * pi() * sigma) + (x - theta) * (x - theta) / sigma) * -0.5e0 s
+  from u join st using (pos) group by row, l_orderkey, l_linenumber, c)
+select l_orderkey, l_linenumber,
+  max(case when c = 1 then s + ln(p) end) > max(case when c = 0 then s + ln(p) end)
+    as positive
+from j join pr using (c) group by row, l_orderkey, l_linenumber""",
     "nb_predict_array": f"""{EMBEDDING_SCORED}
 select e.label, c as predicted, c = 1 as positive, count(*) as n
 from rk join embeddings e on rk.vec_id = e.vec_id where r = 1
 group by e.label, c""",
     "nb_predict_stream": f"""{LINE_SCORED}
 select l_orderkey, l_linenumber, positive as result, cast(null as varchar) as error
-from s where l_returnflag <> 'N'""",
+from s""",
     "header_decode": f"""with {HEADERS}
 select event_id, unnest(range(3))::int as place,
   unnest(['correlationId', 'trace', 'instanceId']) as key, unnest([c, 'T', i]) as text
@@ -326,5 +375,4 @@ select strftime(ts, '%Y-%m-%d') as bucket, count(*) as backlog
 from requests q where not exists (select 1 from replies p where p.cid = q.cid)
 group by 1""",
 }
-ORACLES["visit_number_sliced"] = ORACLES["visit_number"]
 ORACLES["visit_count_resume"] = ORACLES["visit_count"]

@@ -16,12 +16,17 @@ from tidewheel.operators import counters as ct
 from tidewheel.operators import metrics as mt
 from tidewheel.operators import training as tr
 from tidewheel.plans import tables as tb
-from tidewheel.schemas import CORRELATION_HEADER, INSTANCE_HEADER, training_schema
+from tidewheel.schemas import (
+    CORRELATION_HEADER,
+    FEATURE_COLUMNS,
+    INSTANCE_HEADER,
+    training_schema,
+)
 from tidewheel.session import scratch_path, streaming_session
 from tidewheel.sources import lake, load, model_store, topics
 from tidewheel.streaming import counts
 from tidewheel.streaming import scoring as st
-from tidewheel.streaming.correlation import replay_roundtrip, time_cuts
+from tidewheel.streaming.correlation import replay_roundtrip
 from tidewheel.streaming.runner import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,11 +109,10 @@ def topic_source(spark, sf_dir):
     session = streaming_session(spark)
     folder = scratch_path(spark, "topic-source")
     lines = tb.table_stream(session, sf_dir, "lineitem", TRIGGER_BYTES)
-    lines = tb.spread(lines, tb.table(spark, sf_dir, "lineitem"))
     run_available(tb.line_messages(lines), f"{folder}/checkpoint", f"{folder}/out")
     received = spark.read.parquet(f"{folder}/out")
     return received.select(
-        F.decode(hd.header_lookup("headers", CORRELATION_HEADER), "UTF-8").alias("cid"),
+        hd.header_lookup("headers", CORRELATION_HEADER).cast("string").alias("cid"),
         F.col("value").cast("string").alias("value"),
     )
 
@@ -118,7 +122,6 @@ def _scored_stream(spark, sf_dir) -> DataFrame:
         model_store.model_json_read(spark, _stored_model(spark, sf_dir))
     )
     lines = tb.table_stream(streaming_session(spark), sf_dir, "lineitem", TRIGGER_BYTES)
-    lines = tb.spread(lines, tb.table(spark, sf_dir, "lineitem"))
     return st.score_messages(tb.line_messages(lines), model)
 
 
@@ -148,7 +151,7 @@ def request_producer(spark, sf_dir):
     )
 
     def text(key):
-        return F.decode(hd.header_lookup("headers", key), "UTF-8")
+        return hd.header_lookup("headers", key).cast("string")
 
     return messages.select(
         "event_id",
@@ -165,47 +168,57 @@ def results_from_latest(spark, sf_dir):
     return seen.withColumn("reply_ts", F.date_format("reply_ts", STAMP))
 
 
-def _message_shape(messages: DataFrame, in_range) -> DataFrame:
-    values = F.from_json("value", "map<string,string>")
-    return messages.select("event_id", values.alias("m")).select(
+def _message_values(messages: DataFrame, decimals: int) -> DataFrame:
+    """The messages' fields, and their first, last and summed values."""
+    values = F.map_values("m")
+    return messages.select(
+        "event_id", F.from_json("value", "map<string,double>").alias("m")
+    ).select(
         "event_id",
-        F.size("m").alias("n_fields"),
         F.array_join(F.map_keys("m"), ",").alias("fields"),
-        F.forall(F.map_values("m"), in_range).alias("in_range"),
+        F.round(F.get(values, F.lit(0)), decimals).alias("first"),
+        F.round(F.element_at(values, -1), decimals).alias("last"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
     )
 
 
 @query
 def synthetic_load(spark, sf_dir):
-    messages = load.synthetic_load(
-        tb.spread_table(spark, sf_dir, "events"), "event_id"
-    )
-    return _message_shape(messages, lambda v: v.cast("double").between(0, 1 - 2.0**-53))
+    return _message_values(load.synthetic_load(_events(spark, sf_dir), "event_id"), 12)
 
 
 @query
 def form_random_fill(spark, sf_dir):
-    messages = load.form_random_fill(
-        tb.spread_table(spark, sf_dir, "events"), "event_id"
-    )
-    return _message_shape(messages, lambda v: v.rlike(r"^(0\.\d\d|1\.00)$"))
+    messages = load.form_random_fill(_events(spark, sf_dir), "event_id")
+    texts = F.from_json("value", "map<string,string>")
+    numbers = F.transform_values(texts, lambda _, v: v.try_cast("double"))
+    return _message_values(messages.withColumn("value", F.to_json(numbers)), 2)
 
 
 @query
 def lake_listing(spark, sf_dir):
-    found = lake.lake_listing(spark, sf_dir, "*.parquet")
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    folder = scratch_path(spark, "listed")
+    events = _events(spark, sf_dir)
+    events.select(F.col("event_id").cast("string"), "event_type").write.partitionBy(
+        "event_type"
+    ).text(folder)
+    kind = F.regexp_extract("path", "/event_type=([^/]+)/", 1).alias("kind")
+    found = lake.lake_listing(spark, folder, "part-*")
+    return found.groupBy(kind).agg(F.sum("length").alias("n_bytes"))
 
 
 @query
 def lake_ingest(spark, sf_dir):
     folder = scratch_path(spark, "ingest")
-    events = _events(spark, sf_dir)
-    events.select("event_id", "event_type", "user_id").write.csv(f"{folder}/raw")
-    landed = lake.lake_ingest(spark, f"{folder}/raw", f"{folder}/landing")
+    events = _events(spark, sf_dir).select("event_id", "event_type", "user_id")
+    late = F.col("event_id") % 2 == 1
+    for name, rows in (("early", events.where(~late)), ("late", events.where(late))):
+        rows.write.csv(f"{folder}/{name}")
+        lake.lake_ingest(spark, f"{folder}/{name}", f"{folder}/landing")
     fields = F.split("value", ",")
     return (
-        landed.select(
+        lake.lake_show(spark, f"{folder}/landing/*")
+        .select(
             F.get(fields, F.lit(1)).alias("event_type"),
             F.get(fields, F.lit(0)).cast("bigint").alias("event_id"),
             F.get(fields, F.lit(2)).cast("bigint").alias("user_id"),
@@ -221,7 +234,7 @@ def lake_ingest(spark, sf_dir):
 
 @query
 def event_log(spark, sf_dir):
-    messages = tb.line_messages(tb.spread_table(spark, sf_dir, "lineitem"))
+    messages = tb.line_messages(tb.table(spark, sf_dir, "lineitem"))
     scored = st.score_messages(messages, tb.line_model(spark, sf_dir))
     return st.event_log(scored, "l_orderkey", "l_linenumber")
 
@@ -325,7 +338,7 @@ def nb_model_array(spark, sf_dir):
 
 @query
 def json_features(spark, sf_dir):
-    messages = tb.line_messages(tb.spread_table(spark, sf_dir, "lineitem"))
+    messages = tb.line_messages(tb.table(spark, sf_dir, "lineitem"))
     x = pl.json_features("value")
     return messages.select("l_orderkey", "l_linenumber", x.alias("x")).select(
         "l_orderkey", "l_linenumber", *[F.col("x")[i].alias(f"x{i}") for i in range(4)]
@@ -388,6 +401,29 @@ def nb_predict_batch(spark, sf_dir):
     )
 
 
+def _wide_model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All lines with 30 features, and the stored model trained on the labelled ones."""
+    rows = tb.wide_line_rows(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    record = tr.nb_model(rows.where(F.col("target").isNotNull()), FEATURE_COLUMNS)
+    model_store.model_json_write(record, path)
+    return rows, model_store.model_json_read(spark, path)
+
+
+@query
+def nb_model_wide(spark, sf_dir):
+    rows = tr.model_rows(_wide_model(spark, sf_dir)[1])
+    relative = F.format_string("%.6e", "sigma")
+    return rows.select("class_", "pos", F.round("theta", 4).alias("theta"), relative.alias("sigma"))
+
+
+@query
+def nb_predict_wide(spark, sf_dir):
+    rows, record = _wide_model(spark, sf_dir)
+    scored = sc.nb_predict_batch(rows, FEATURE_COLUMNS, sc.load_model(record))
+    return scored.select("l_orderkey", "l_linenumber", "positive")
+
+
 @query
 def nb_predict_array(spark, sf_dir):
     model = tb.embedding_model(spark, sf_dir)
@@ -428,7 +464,7 @@ def header_decode(spark, sf_dir):
 @query
 def header_lookup(spark, sf_dir):
     def text(key):
-        return F.decode(hd.header_lookup("headers", key), "UTF-8")
+        return hd.header_lookup("headers", key).cast("string")
 
     return _header_messages(spark, sf_dir).select(
         "event_id",
@@ -460,7 +496,7 @@ def header_encode(spark, sf_dir):
 
 @query
 def json_or_raw(spark, sf_dir):
-    texts = tb.result_texts(tb.spread_table(spark, sf_dir, "events"))
+    texts = tb.result_texts(tb.table(spark, sf_dir, "events"))
     return texts.select(
         "event_id",
         pl.json_or_raw("value").alias("parsed"),
@@ -470,7 +506,7 @@ def json_or_raw(spark, sf_dir):
 
 @query
 def json_or_raw_text(spark, sf_dir):
-    return tb.spread_table(spark, sf_dir, "documents").select(
+    return tb.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(pl.json_or_raw("text").cast("binary")).alias("digest"),
         pl.parsed_json("text").isNotNull().alias("is_json"),
@@ -486,7 +522,7 @@ def correlation_id(spark, sf_dir):
 
 @query
 def parse_int_prefix(spark, sf_dir):
-    return tb.spread_table(spark, sf_dir, "events").select(
+    return tb.table(spark, sf_dir, "events").select(
         "event_id",
         pl.parse_int_prefix(F.concat("event_id", "event_type")).alias("leading"),
         pl.parse_int_prefix("props").alias("not_a_number"),
@@ -546,13 +582,10 @@ def reply_one_off(spark, sf_dir):
 def reply_roundtrip_stream(spark, sf_dir):
     session = streaming_session(spark)
     events = tb.zoned(tb.table(session, sf_dir, "events"))
-    out = replay_roundtrip(
-        tb.requests(events),
-        tb.replies(events),
-        scratch_path(spark, "roundtrip"),
-        time_cuts(events, "ts", pieces=2),
+    outcomes = replay_roundtrip(
+        tb.requests(events), tb.replies(events), scratch_path(spark, "roundtrip")
     )
-    return spark.read.parquet(out).drop("ts")
+    return outcomes.drop("ts")
 
 
 # Counters and metrics
@@ -570,15 +603,9 @@ def visit_count(spark, sf_dir):
 @query
 def visit_number(spark, sf_dir):
     numbered = ct.visit_number(
-        tb.visits(_events(spark, sf_dir)), order=("ts", "event_id")
-    )
-    return numbered.select("page", "event_id", "visit")
-
-
-@query
-def visit_number_sliced(spark, sf_dir):
-    numbered = ct.visit_number(
-        tb.visits(_events(spark, sf_dir)), order=("ts", "event_id"), hot_rows=1
+        tb.visits(_events(spark, sf_dir)),
+        scratch_path(spark, "visit-slices"),
+        order=("ts", "event_id"),
     )
     return numbered.select("page", "event_id", "visit")
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidewheel.functions.headers import header, header_encode
 from tidewheel.functions.scoring import Model, load_model
 from tidewheel.operators.training import labelled_rows, nb_model, recode_label
-from tidewheel.schemas import CORRELATION_HEADER, INSTANCE_HEADER
+from tidewheel.schemas import CORRELATION_HEADER, FEATURE_COLUMNS, INSTANCE_HEADER
 from tidewheel.sources.topics import file_topic
 
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -28,21 +28,6 @@ def table_stream(
     return file_topic(spark, f"{sf_dir}/{name}.parquet*", schema, max_bytes)
 
 
-def spread(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Deal rows out over all cores if their table has fewer splits than there are
-    cores, ahead of work that is heavy per row. A large table keeps its splits and
-    is not shuffled."""
-    cores = stored.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores)
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    stored = table(spark, sf_dir, name)
-    return spread(stored, stored)
-
-
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled table: four features and a label with one unmapped value."""
     return table(spark, sf_dir, "lineitem").withColumn(
@@ -50,6 +35,23 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with 30 features: six measures, each as it is, squared, as a root,
+    as the distance from ten, and times the quantity."""
+    lines = line_rows(spark, sf_dir)
+    measures = [
+        *[F.col(f).cast("double") for f in LINE_FEATURES],
+        F.date_diff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("double"),
+        F.month("l_shipdate").cast("double"),
+    ]
+    columns = {}
+    for x in measures:
+        forms = (x, x * x, F.sqrt(F.abs(x)), F.abs(x - 10), x * F.col("l_quantity"))
+        for form in forms:
+            columns[FEATURE_COLUMNS[len(columns)]] = form.cast("double")
+    return lines.withColumns(columns)
+
+
 def line_model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return nb_model(labelled_rows(lines, "l_returnflag", LINE_CODES), LINE_FEATURES)
@@ -73,12 +75,12 @@ def embedding_model(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def line_messages(lines: DataFrame) -> DataFrame:
-    """Labelled lines as request messages, table or stream alike. Values are texts;
+    """Lines as request messages, labelled or not, table or stream alike. Values are texts;
     the header ``x`` is one that must not be forwarded."""
     cid = F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber")
     names = ["a", "b", "c", "d"]
     texts = [F.col(f).cast("string").alias(n) for f, n in zip(LINE_FEATURES, names)]
-    return lines.where(F.col("l_returnflag") != "N").select(
+    return lines.select(
         "l_orderkey",
         "l_linenumber",
         F.to_json(F.struct(*texts)).cast("binary").alias("value"),

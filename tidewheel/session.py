@@ -24,6 +24,8 @@ def scratch_root(spark: SparkSession) -> str:
         "spark.tidewheel.scratch", None
     )
     if root:
+        if root.startswith("file:") and not is_local(spark):
+            raise RuntimeError(f"{root} is not shared: set {CHECKPOINT_SETTING}")
         return root.rstrip("/")
     if not is_local(spark):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")

@@ -39,20 +39,43 @@ def csv_named_scan(
     )
 
 
-def lake_listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def lake_listing(
+    spark: SparkSession,
+    path: str,
+    glob: str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Path, size and time of every object; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.read.options(**dict(options or {})).format("binaryFile")
+    reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path).select("path", "length", "modificationTime")
 
 
-def lake_show(spark: SparkSession, path: str) -> DataFrame:
+def lake_show(
+    spark: SparkSession, path: str, options: Mapping[str, str] | None = None
+) -> DataFrame:
     """An object's lines."""
-    return spark.read.text(path)
+    return spark.read.options(**dict(options or {})).text(path)
 
 
-def lake_ingest(spark: SparkSession, source: str, landing: str) -> DataFrame:
-    """Copy a raw text file, line by line and in parallel, into the landing path."""
-    spark.read.text(source).write.mode("overwrite").text(landing)
-    return spark.read.text(landing)
+def lake_ingest(
+    spark: SparkSession,
+    source: str,
+    landing: str,
+    name: str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Add a raw text file to the landing path, under ``name`` or the source's own, and
+    return its lines there. Earlier objects stay.
+
+    The file is copied in parallel, line by line: its bytes are kept, carriage returns
+    included, but for a line end after a last line that has none.
+    """
+    given = dict(options or {})
+    name = name or source.rstrip("/").rpartition("/")[2]
+    target = f"{landing.rstrip('/')}/{name}"
+    lines = spark.read.options(**given).option("lineSep", "\n").text(source)
+    lines.write.options(**given).mode("append").option("lineSep", "\n").text(target)
+    return spark.read.options(**given).text(target)

@@ -14,13 +14,14 @@ ROWS_PER_SECOND = 1000
 
 
 def uniform(key: Column, field: int, seed: int = 0) -> Column:
-    """A double in [0, 1) from the top 53 bits of a hash of the row's key.
+    """A double in [0, 1): the first 52 bits of the MD5 of key, field and seed.
 
     Unlike ``rand`` it does not depend on how rows are split into tasks, so a task
     that runs again sends the same messages.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(field), F.lit(seed)), 11)
-    return bits.cast("double") * F.lit(2.0**-53)
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(field), F.lit(seed)))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+    return bits.cast("double") * F.lit(2.0**-52)
 
 
 def synthetic_load(

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.schemas import MODEL_SCHEMA
 
 
-def model_json_write(model: DataFrame, path: str) -> None:
+def model_json_write(
+    model: DataFrame, path: str, options: Mapping[str, str] | None = None
+) -> None:
     """``model`` is a single row, so one file is all there is to write."""
-    model.coalesce(1).write.mode("overwrite").json(path)
+    writer = model.coalesce(1).write.options(**dict(options or {}))
+    writer.mode("overwrite").json(path)
 
 
-def model_json_read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MODEL_SCHEMA).json(path)
+def model_json_read(
+    spark: SparkSession, path: str, options: Mapping[str, str] | None = None
+) -> DataFrame:
+    return spark.read.options(**dict(options or {})).schema(MODEL_SCHEMA).json(path)

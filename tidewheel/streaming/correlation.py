@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.clock import epoch_micros
 from tidewheel.operators.correlation import correlation_keys
-from tidewheel.operators.skew import HOT_ROWS, hot_buckets, in_buckets
 from tidewheel.schemas import REPLY_TIMEOUT_SECONDS
 from tidewheel.sources.topics import file_topic
 from tidewheel.streaming.runner import run_available
 
-# Copies of a hot request to meet its replies in, so these spread over tasks.
-SALTS = 64
-# Seconds since 1970 no stored row reaches: the year 2100.
-FAR_AHEAD = 4_102_444_800
+# Rows of both sides that one run of a replay takes, and its state holds at most.
+PIECE_ROWS = 200_000_000
 
 
 def reply_roundtrip_stream(
@@ -26,43 +24,37 @@ def reply_roundtrip_stream(
     timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
     lateness: str = "10 seconds",
     match_instance: bool = True,
-    hot: Iterable[int] = (),
-    salts: int = SALTS,
 ) -> DataFrame:
     """Every request (cid, inst, ts) once, with ``ok``, ``result`` and ``wait_us``.
 
-    ``hot`` names the hash buckets of ids known to get a large share of the replies,
-    as ``hot_buckets`` finds them in stored rows; only their requests are copied.
+    Rows meet by id and by a slot of time as long as the time-out, requests being in
+    their own slot and the next, so a busy id spreads over tasks as time goes on.
 
     A request comes out once the watermark has passed its time-out, and its state
     goes with it. The last step keeps the earliest reply, so what is kept does not
-    depend on how replies fall into micro-batches.
+    depend on how replies fall into micro-batches. A request without a time has no
+    place on a watermark and does not come out.
     """
-    keys = correlation_keys(match_instance)
-    one = F.lit(0)
-    if hot:
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        copies = F.explode(F.when(in_buckets(keys, hot), every).otherwise(F.array(one)))
-        salt = F.pmod(F.xxhash64("reply_ts"), F.lit(salts)).cast("int")
-        salt = F.when(in_buckets(keys, hot), salt).otherwise(one)
-    else:
-        copies = salt = one
+    width = F.lit(int(timeout_seconds * 1_000_000))
+
+    def slot(rows: DataFrame, at: str):
+        return F.floor(epoch_micros(rows, at) / width).cast("bigint")
+
+    own = slot(requests, "ts")
     asked = (
-        requests.select("cid", "inst", "ts")
-        .withColumn("salt", copies)
+        requests.select("cid", "inst", "ts", F.explode(F.array(own, own + 1)).alias("slot"))
         .withWatermark("ts", lateness)
         .alias("q")
     )
     answers = (
         replies.where(F.coalesce(F.col("cid").cast("string"), F.lit("")) != "")
-        .select("cid", "inst", "reply_ts", "result")
-        .withColumn("salt", salt)
+        .select("cid", "inst", "reply_ts", "result", slot(replies, "reply_ts").alias("slot"))
         .withWatermark("reply_ts", lateness)
         .alias("p")
     )
     in_time = (
         (F.col("q.cid") == F.col("p.cid"))
-        & (F.col("q.salt") == F.col("p.salt"))
+        & (F.col("q.slot") == F.col("p.slot"))
         & (F.col("p.reply_ts") >= F.col("q.ts"))
         & (
             F.col("p.reply_ts")
@@ -96,37 +88,35 @@ def reply_roundtrip_stream(
 
 
 def time_cuts(rows: DataFrame, at: str, pieces: int) -> list[datetime]:
-    """Times that cut the rows' span into equal lengths."""
-    first, last = rows.agg(F.min(at), F.max(at)).first()
-    if first is None:
+    """Times that cut the rows into pieces of about equally many."""
+    if pieces < 2:
         return []
-    return [first + (last - first) * i / pieces for i in range(1, pieces)]
+    shares = [i / pieces for i in range(1, pieces)]
+    (cuts,) = rows.agg(F.percentile_approx(at, shares, 100 * pieces)).first()
+    return sorted(set(cuts or []))
 
 
 def replay_roundtrip(
     requests: DataFrame,
     replies: DataFrame,
     folder: str,
-    cuts: Sequence[datetime] = (),
+    piece_rows: int = PIECE_ROWS,
     timeout: float | None = None,
     match_instance: bool = True,
-    hot_rows: int | None = HOT_ROWS,
-    **options,
-) -> str:
-    """Run the round trip over stored streams to the end; returns the output path.
-
-    The stored rows arrive piece by piece, cut at the given times and in time order,
-    so state holds about one piece and no row comes late. Tables laid out by time
-    are read once over all pieces. The last requests would wait for a watermark that
-    never comes, so one marker on each side follows whose time lies far ahead. The
-    watermark passes every request but never the markers, so they stay out of the
-    output. A marker has an id: Spark drops rows without one before it looks at
-    their times.
+    timeout_seconds: float = REPLY_TIMEOUT_SECONDS,
+    lateness: str = "10 seconds",
+) -> DataFrame:
+    """Run the round trip over stored streams to the end; returns its output.
+
+    The stored rows arrive in time order in pieces of about ``piece_rows`` rows, so
+    state holds about one piece and no row comes late. The last requests would wait for
+    a watermark that never comes, so one marker on each side follows whose time lies
+    past the last request's time-out and the lateness. The watermark passes every
+    request but not the markers, so they stay out of the output. A marker has an id:
+    Spark drops rows without one before it looks at their times. Requests without a
+    time need no stream: they are unanswered and are added at the end.
     """
     session = requests.sparkSession
-    keys = correlation_keys(match_instance)
-    ids = requests.select(*keys).unionByName(replies.select(*keys))
-    hot = hot_buckets(ids, keys, hot_rows) if hot_rows else {}
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     sides = (
         (requests.select("cid", "inst", "ts"), "ts", f"{folder}/requests"),
@@ -136,6 +126,10 @@ def replay_roundtrip(
             f"{folder}/replies",
         ),
     )
+    times = sides[0][0].select("ts").unionByName(
+        sides[1][0].select(F.col("reply_ts").alias("ts"))
+    )
+    rows, last = times.agg(F.count("ts"), F.max("ts")).first()
 
     def run() -> None:
         asked, answered = (
@@ -143,16 +137,17 @@ def replay_roundtrip(
         )
         run_available(
             reply_roundtrip_stream(
-                asked, answered, match_instance=match_instance, hot=hot, **options
+                asked, answered, timeout_seconds, lateness, match_instance
             ),
             checkpoint,
             out,
             timeout=timeout,
         )
 
+    cuts = time_cuts(times, "ts", -(-rows // piece_rows))
     for low, high in zip([None, *cuts], [*cuts, None]):
         for side, at, path in sides:
-            piece = side
+            piece = side.where(F.col(at).isNotNull())
             if low is not None:
                 piece = piece.where(F.col(at) >= F.lit(low))
             if high is not None:
@@ -160,13 +155,25 @@ def replay_roundtrip(
             piece.write.mode("append").parquet(path)
         run()
 
-    for side, at, path in sides:
-        ahead = {"cid": F.lit("marker"), at: F.timestamp_seconds(F.lit(FAR_AHEAD))}
+    # Past the time-out of the last request, the lateness, and the slots' width.
+    ahead = F.lit(last) + F.expr(f"INTERVAL {2 * timeout_seconds + 1} SECONDS")
+    ahead = ahead + F.expr(f"2 * INTERVAL {lateness}") if last else ahead
+    for side, at, path in sides if last else ():
+        marker = {"cid": F.lit("marker"), at: ahead}
         session.range(1).select(
             *[
-                ahead.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name)
+                marker.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name)
                 for f in side.schema
             ]
         ).write.mode("append").parquet(path)
-    run()
-    return out
+    if last:
+        run()
+    timeless = sides[0][0].where("ts is null").withColumns(
+        {
+            "ok": F.lit(False),
+            "result": F.lit(None).cast(replies.schema["result"].dataType),
+            "wait_us": F.lit(None).cast("bigint"),
+        }
+    )
+    found = session.read.schema(timeless.schema).parquet(out)
+    return found.unionByName(timeless)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.headers import header_decode, header_forward
-from tidewheel.functions.payloads import feature_error, feature_map
+from tidewheel.functions.payloads import feature_error, feature_map, numbers
 from tidewheel.functions.scoring import Model, nb_predict_batch
 
 
@@ -18,7 +18,7 @@ def score_messages(messages: DataFrame, model: Model, form: str = "auto") -> Dat
     others go on.
     """
     parsed = messages.withColumn("_m", feature_map("value")).withColumn(
-        "_x", F.map_values("_m").try_cast("array<double>")
+        "_x", numbers(F.map_values("_m"), "value")
     )
     parsed = parsed.withColumn(
         "error", feature_error(F.map_keys("_m"), "_x", model.n_features)
