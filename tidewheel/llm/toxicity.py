@@ -9,6 +9,7 @@ cannot, the step is turned round so that the model does not fit single examples.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,10 @@ BUCKETS = 1 << 20
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
 MAX_FEATURES = 1 << 14
+TIMES = (2, 4)
+# Standard errors by which a feature's share of the examples must differ from its share
+# of all text: weaker ones only help the model to tell single documents apart.
+LEAST_APART = 6.0
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
@@ -46,11 +51,21 @@ class WordFeatures(dict):
         return found
 
 
+def often(feature: int, times: int) -> int:
+    """The feature that another one was met at least so many times."""
+    return (feature * 31 + times * 7919) % BUCKETS
+
+
 def features(text: str, cache: WordFeatures) -> np.ndarray:
-    """Distinct features of a whole text, sorted."""
-    found: set[int] = set()
-    for own in map(cache.__getitem__, set(text.lower().split())):
-        found.update(own)
+    """Distinct features of a whole text, sorted: those of its words, and which of them
+    were met twice and four times."""
+    met: Counter[int] = Counter()
+    for word, n in Counter(text.lower().split()).items():
+        for feature in cache[word]:
+            met[feature] += n
+    found = set(met)
+    for feature, n in met.items():
+        found.update(often(feature, times) for times in TIMES if n >= times)
     return np.array(sorted(found), np.int32)
 
 
@@ -91,8 +106,9 @@ def fit(
     prior: float,
     epochs: int = 300,
     rate: float = 0.05,
-    decay: float = 1e-4,
+    decay: float = 5e-4,
     max_features: int = MAX_FEATURES,
+    least_apart: float = LEAST_APART,
 ) -> Model:
     """Fit by the non-negative risk: prior * loss(P as 1) + max(0, loss(U as 0) -
     prior * loss(P as 0)), logistic loss, Adam steps on whole sets."""
@@ -106,7 +122,7 @@ def fit(
     apart = np.abs(p_share - u_share) / np.sqrt(
         u_share * (1 - u_share) / len(positive)
     )
-    seen = np.flatnonzero(p_seen >= 3)
+    seen = np.flatnonzero((p_seen >= 3) & (apart >= least_apart))
     chosen = np.sort(seen[np.argsort(-apart[seen], kind="stable")[:max_features]])
     place = np.full(BUCKETS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
@@ -118,6 +134,7 @@ def fit(
     weights, bias = np.zeros(len(chosen) + 1), np.log(prior / (1 - prior + 1e-9))
     weights[-1] = bias
     first, second = np.zeros_like(weights), np.zeros_like(weights)
+    mean, averaged = np.zeros_like(weights), 0
     for step in range(1, epochs + 1):
         zp, zu = p.times(weights) + weights[-1], u.times(weights) + weights[-1]
         sp, su = _sigmoid(zp), _sigmoid(zu)
@@ -136,7 +153,11 @@ def fit(
             * (first / (1 - 0.9**step))
             / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         )
-    return Model(dict(zip(chosen.tolist(), weights[:-1].tolist())), float(weights[-1]))
+        # Turned steps make the weights swing; the mean of the later ones does not.
+        if 2 * step > epochs:
+            averaged += 1
+            mean += (weights - mean) / averaged
+    return Model(dict(zip(chosen.tolist(), mean[:-1].tolist())), float(mean[-1]))
 
 
 def _feature_rows(docs: DataFrame, text: str, label: str) -> list[np.ndarray]:
@@ -231,7 +252,11 @@ def toxicity_scores(
 
         def __missing__(self, word: str) -> tuple[int, ...]:
             found = super().__missing__(word)
-            self[word] = known = tuple(i for i in found if i in weights)
+            self[word] = known = tuple(
+                i
+                for i in found
+                if i in weights or any(often(i, times) in weights for times in TIMES)
+            )
             return known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
