@@ -154,7 +154,10 @@ class FmIndex:
         for step in range(2, depth + 1):
             if not len(active):
                 break
-            word = text[ends[active] - step]
+            # Before the first word of a text there is an end mark, or nothing.
+            word = np.where(ends[active] >= step, text[ends[active] - step], 0)
+            within = word > 0
+            active, low, high, word = (x[within] for x in (active, low, high, word))
             base = self.first[word] - self.begin[word]
             low = base + self.wavelet.count(word, low)
             high = base + self.wavelet.count(word, high)
@@ -324,11 +327,12 @@ def _indexed(
     shards = max(1, -(-total // shard_words))
     # Least hashes with more words than a shard are split by single windows, of which
     # equal ones still meet.
-    large = (
+    large = written(
         kinds.groupBy("least")
         .agg(F.sum(F.col("windows") + span - 1).alias("words"))
         .where(F.col("words") > shard_words)
-        .select("least", F.lit(True).alias("large"))
+        .select("least", F.lit(True).alias("large")),
+        "large",
     )
     wanted = (
         kinds.join(large, "least", "left")
@@ -389,23 +393,23 @@ def _indexed(
                 names=schema.fieldNames(),
             )
 
-    cut = texts.mapInArrow(fetch, schema)
-    whole = cut.where("not large")
-    # Single windows: equal ones are one before they go to a shard, the others repeats.
-    single = written(cut.where("large"), "single-windows")
-    place = F.struct("id", "tie", "start")
-    firsts = single.groupBy("bucket").agg(
-        F.min(F.struct("id", "tie", "start", "large", "words")).alias("first")
-    )
-    again = (
-        single.drop("words")
-        .join(firsts.select("bucket", "first"), "bucket")
-        .where(place != F.struct("first.id", "first.tie", "first.start"))
-        .select("id", "tie", "start", (F.col("start") + span).alias("stop"))
-    )
-    indexed = whole.unionByName(
-        firsts.select("first.id", "first.tie", "first.start", "bucket", "first.large", "first.words")
-    ).withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards)))
+    indexed = texts.mapInArrow(fetch, schema)
+    again = None
+    if not large.isEmpty():
+        # Equal single windows are one before they go to a shard, the others repeats.
+        cut = written(indexed, "windows")
+        single = cut.where("large")
+        row = F.struct("id", "tie", "start", "large", "words")
+        firsts = single.groupBy("bucket").agg(F.min(row).alias("first"))
+        place = F.struct("id", "tie", "start")
+        again = (
+            single.drop("words")
+            .join(firsts, "bucket")
+            .where(place != F.struct("first.id", "first.tie", "first.start"))
+            .select("id", "tie", "start", (F.col("start") + span).alias("stop"))
+        )
+        indexed = cut.where("not large").unionByName(firsts.select("first.*", "bucket"))
+    indexed = indexed.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards)))
     result = T.StructType(
         [
             *key,
@@ -415,6 +419,8 @@ def _indexed(
     )
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        # Rows that repeat a document bring its stretches again.
+        rows = rows.drop_duplicates(["id", "tie", "start"])
         rows = rows.sort_values(["id", "tie", "start"], na_position="first")
         earlier = repeated_windows(
             [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], span
@@ -432,7 +438,7 @@ def _indexed(
         .groupBy("shard")
         .applyInPandas(judge, result)
     )
-    return repeats.unionByName(again)
+    return repeats if again is None else repeats.unionByName(again)
 
 
 def without_repeats(
