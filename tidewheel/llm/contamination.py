@@ -56,7 +56,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit:
             self.clear()
-        bare = word.decode("utf-8", "replace").lower().strip(EDGE)
+        bare = word.decode("utf-8", "replace").casefold().strip(EDGE)
         found = self[word] = xxhash.xxh64_intdigest(bare.encode("utf-8", "replace"))
         return found
 

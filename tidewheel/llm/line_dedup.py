@@ -22,16 +22,19 @@ LEAST_PAGES = 10
 BROADCAST_LINES = 200_000
 SALTS = 64
 # Tags at which a browser starts a new line, and what it does not show.
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 BLOCK_TAG = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]"
     r"|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
-HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->"
+HIDDEN = (
+    r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+)
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, without user and port; null if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    host = F.regexp_extract(url, AUTHORITY, 1)
     return F.when(host != "", F.lower(host))
 
 
@@ -109,7 +112,8 @@ def drop_boilerplate(
         matched = rows.join(F.broadcast(lines), "_host", "left")
     else:
         salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS))
-        dealt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
+        first, last = (F.lit(n).cast("bigint") for n in (0, SALTS - 1))
+        dealt = F.explode(F.sequence(first, last))
         matched = rows.withColumn("_salt", salt).join(
             lines.withColumn("_salt", dealt), ["_host", "_salt"], "left"
         )
