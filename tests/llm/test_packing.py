@@ -1,0 +1,100 @@
+"""Packing against the library's ids and the rules of a packing."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tidewheel.llm import packing
+from tidewheel.llm.common import public_path, tokenizer
+
+VOCABULARY = public_path("word_bpe_49k.json")
+
+
+def ids_of(text, tok):
+    return [*tok.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_pieces_are_the_librarys_ids(corpus, nothing):
+    tok = tokenizer(VOCABULARY)
+    pieces = packing.tokenised_pieces(corpus, VOCABULARY, capacity=100, with_ids=True)
+    expected = Counter()
+    for row in corpus.collect():
+        ids = ids_of(row["text"], tok)
+        for k, at in enumerate(range(0, len(ids), 100)):
+            part = np.array(ids[at : at + 100], "<u4")
+            expected[row["doc_id"], k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    found = Counter(
+        (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces.collect()
+    )
+    assert found == expected
+    assert packing.tokenised_pieces(nothing, VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_a_packing_and_a_tight_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 50, 400])
+    lengths = [rng.randint(1, capacity) for _ in range(rng.choice([1, 40, 900]))]
+    histogram = Counter(lengths)
+    runs = packing.plan(dict(histogram), capacity)
+    used = {}
+    for length, n in histogram.items():
+        own = runs[length]
+        assert [r for r, _, _ in own] == sorted(r for r, _, _ in own) and own[0][0] == 0
+        for (rank, first, offset), upto in zip(own, [r for r, _, _ in own[1:]] + [n]):
+            for k in range(upto - rank):
+                used.setdefault(first + k, []).append((offset, length))
+    assert sum(map(len, used.values())) == len(lengths)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(used) <= len(best_fit(lengths, capacity))
+
+
+def best_fit(lengths, capacity):
+    """Best fit, longest first, piece by piece."""
+    space = []
+    for length in sorted(lengths, reverse=True):
+        fits = [i for i, s in enumerate(space) if s >= length]
+        if fits:
+            space[min(fits, key=lambda i: space[i])] -= length
+        else:
+            space.append(capacity - length)
+    return space
+
+
+def test_documents_take_their_slots(corpus, nothing):
+    tok = tokenizer(VOCABULARY)
+    packed = packing.packed_documents(corpus, VOCABULARY, capacity=300, with_ids=True)
+    rows = packed.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 300
+    total = sum(len(ids_of(r["text"], tok)) for r in corpus.collect())
+    assert sum(r["length"] for r in rows) == total
+    whole = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) for r in whole) == total and len(whole) == len(by)
+    assert packing.packed_documents(nothing, VOCABULARY).count() == 0
+
+
+def test_a_hot_length_is_ranked_in_many_groups(spark):
+    pieces = spark.range(5000).selectExpr(
+        "id as doc_id", "0 as piece", "0L as start", "3L as length", "7L as ids_crc32", "'e' as note"
+    )
+    ranked = packing.ranked_in_length(pieces)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(5000))
+    packed = packing.pack(pieces, 10).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == 5000
+    assert len({r["sequence_id"] for r in packed}) == -(-5000 // 3)
+    assert {r["note"] for r in packed} == {"e"}
