@@ -42,7 +42,7 @@ def test_odd_rows_are_scored(spark):
     labels = spark.createDataFrame(
         [(i, int(i % 4 == 0)) for i in range(0, 400, 2)] * 2, "doc_id bigint, toxic int"
     )
-    model = toxicity.train(docs, labels, F.lit(True))
+    model = toxicity.train(docs, labels, F.lit(True), prior=0.25)
     scored = toxicity.toxicity_scores(docs, model)
     rows = {r["doc_id"]: r for r in scored.collect()}
     assert rows[900]["score"] == rows[901]["score"] < 0.5
