@@ -15,8 +15,7 @@ crc as (
     range(1, 9), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end,
     x)) as steps)"""
 CRC = """xor(4294967295, list_reduce(
-    list_transform(range(octet_length(encode({0}))),
-      lambda i: cast('0x' || substr(hex({0}), cast(2 * i + 1 as int), 2) as bigint)),
+    list_transform(regexp_extract_all(hex({0}), '..'), lambda h: cast('0x' || h as bigint)),
     lambda c, b: xor(c >> 8, steps[cast((xor(c, b) & 255) + 1 as int)]),
     cast(4294967295 as bigint)))"""
 
