@@ -2,15 +2,21 @@
 
 A document's set is its distinct five-word shingles, here called tokens. In an order of
 all tokens by hash, two sets of Jaccard similarity t or more share a token among the
-first ``n - ceil(t * n) + 1`` of each. Prefixes are made longer by the number of cells
-that frequent tokens fall into; then for each pair either a rare token is shared, or two
-frequent tokens of one cell. So rare tokens are indexed one by one, and frequent ones by
-combinations of two within their cell. Candidates are verified on whole sets.
+first ``n - ceil(t * n) + 1`` of each. Prefixes are made longer by ``extension(n)``, so
+that as many are shared at least; a set with fewer tokens of its prefix in other sets goes,
+and of the rest one with too little of its whole set in others. The extension is no less than the number of cells that frequent tokens fall
+into, so for each pair either a rare token is shared, or two frequent tokens of one
+cell: rare tokens are indexed one by one, and frequent ones by combinations of two
+within their cell. Candidates are verified on whole sets.
 
 Equal sets are one from the start. Only links between different groups matter for the
 components, so before pairs are made each set is verified against one member of its
-buckets, the one it shares most tokens with, and what links is one group; pairs are
-then made across groups alone. How frequent a token is, is counted in groups.
+buckets, the one it shares most tokens with, and what links is one group; candidates are
+then sought across groups alone. How frequent a token is, is counted in groups. Sets are
+verified in families of sets that hang together by such candidates: the sets of two blocks
+of a family are judged at once by products of matrices, so a large group of edited copies
+costs a pair of blocks where it would cost a quarter of a million pairs. Signatures are
+held against each other across families.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +40,16 @@ PERCENT = 80
 CELLS = 4
 # A token in more groups than this is frequent.
 FREQUENT = 32
-ROUNDS = 2
+ROUNDS = 1
+# One more token to be shared for so many in the set.
+EXTEND_BY = 16
+# Rows of one to three numbers that may be broadcast.
+BROADCAST_ROWS = 4_000_000
+# Tokens of the sets that are loaded together to be verified, and columns of a matrix.
+BLOCK_TOKENS = 1 << 18
+COLUMNS = 4096
+# Parts of the blocks, by pairs of which candidates are verified.
+GROUPS = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -73,6 +89,15 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def extension(n: int) -> int:
+    return max(1 + CELLS, n // EXTEND_BY)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few enough; else Spark shuffles them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _sets(docs: DataFrame, percent: int, width: int, whole: bool) -> DataFrame:
     """Of rows (id, text): id, place, n, digest of the set, and the set itself or its
     extended prefix. A set that only an equal one can link to needs no prefix."""
@@ -98,7 +123,7 @@ def _sets(docs: DataFrame, percent: int, width: int, whole: bool) -> DataFrame:
                 if not whole:
                     errors = n - _least_overlap(n, percent)
                     alone = percent * (n + 1) > 100 * n
-                    own = own[: 0 if alone else errors + 1 + CELLS]
+                    own = own[: 0 if alone else errors + extension(n)]
                 tokens.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -119,14 +144,77 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose whole sets are similar enough."""
-    left = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return met.where(both * 100 >= union * percent).select("a", "b")
+def _blocks(sets: DataFrame, star: DataFrame) -> DataFrame:
+    """(digest, family, block): sets that hang together by the pairs of ``star``, in parts of
+    about BLOCK_TOKENS tokens, so that candidates mostly lie within few blocks."""
+    families = components(star).withColumnsRenamed({"node": "digest", "root": "family"})
+    named = sets.join(families, "digest", "left")
+    named = named.withColumn("family", F.coalesce("family", "digest"))
+    sizes = named.groupBy("family").agg(
+        F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")
+    )
+    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    return named.join(sizes, "family").select(
+        "digest", "family", F.xxhash64("family", part).alias("block")
+    )
+
+
+def verified(
+    pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
+) -> DataFrame:
+    """The pairs (a, b) of digests whose whole sets are similar enough. First halves of
+    the tokens are held against each other, which can only find too many in common; the
+    few pairs that are left are verified on the tokens."""
+    halves = sets.withColumn(
+        "tokens", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int"))
+    )
+    maybe = written(_similar(pairs, halves, blocks, percent), "maybe-links")
+    return _similar(maybe, sets, blocks, percent)
+
+
+def _similar(
+    pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs that pass by their tokens. They are judged in groups of the same parts of
+    the blocks on either side, to each of which a set travels once."""
+    cell = F.pmod("block", F.lit(GROUPS)).alias("x")
+    left = blocks.select(F.col("digest").alias("a"), cell)
+    right = left.withColumnsRenamed({"a": "b", "x": "y"})
+    keyed = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "pairs")
+    needed = (
+        keyed.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("a").alias("digest"))
+        .union(keyed.select("x", "y", "b"))
+        .distinct()
+    )
+
+    def judge(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        # Tokens are sorted as numbers without a sign.
+        known = {
+            bytes(d): (n, np.asarray(t).view(f"u{np.asarray(t).itemsize}"))
+            for d, n, t in zip(held["digest"], held["n"], held["tokens"])
+        }
+        links = []
+        for a, b in zip(own["a"], own["b"]):
+            (n, x), (m, y) = known[bytes(a)], known[bytes(b)]
+            place = np.searchsorted(y, x)
+            place[place == len(y)] = 0
+            both = int((y[place] == x).sum())
+            if 100 * both >= percent * (n + m - both):
+                links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return (
+        keyed.groupBy("x", "y")
+        .cogroup(needed.join(sets, "digest").groupBy("u", "v"))
+        .applyInPandas(judge, "a binary, b binary")
+    )
+
+
+def _least_shared(n: str, percent: int) -> Column:
+    """Tokens of its prefix that a set of ``n`` shares with any it links to, if its
+    prefix ends before the other's; the other's count holds if not."""
+    overlap = f"(({percent} * {n} + 99) div 100)"
+    return F.expr(f"least({overlap}, greatest({1 + CELLS}, {n} div {EXTEND_BY}))")
 
 
 def _star_pairs(shared: DataFrame, percent: int, salt: int) -> DataFrame:
@@ -157,9 +245,10 @@ def _across_groups(shared: DataFrame) -> DataFrame:
     return shared.join(mixed, "token")
 
 
-def _combination_pairs(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """Every pair of different groups that shares a rare token or two frequent tokens
-    of one cell; sets so small that a cell may stay alone go by single tokens too."""
+def _signatures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """(first, second, digest, n, family): single rare tokens, and combinations of two
+    frequent tokens of one cell; sets so small that a cell may stay alone go by single
+    tokens too."""
     groups = (
         shared.select("token", "root")
         .distinct()
@@ -167,34 +256,133 @@ def _combination_pairs(shared: DataFrame, percent: int, frequent: int) -> DataFr
         .agg((F.count(F.lit(1)) > frequent).alias("often"))
     )
     classed = written(shared.join(groups, "token"), "classed")
-    kept = ["digest", "n", "root"]
     # Sets too small for their extended prefix, and those that these can link to.
     small = 100 * (100 * CELLS // percent) // percent
     single = classed.where(~F.col("often") | (F.col("n") <= small)).select(
-        F.col("token").alias("first"), F.lit(0).cast("bigint").alias("second"), *kept
+        F.col("token").alias("first"), F.lit(0).cast("bigint").alias("second"), "digest", "n", "family"
     )
     often = classed.where("often").withColumn("cell", F.pmod("token", F.lit(CELLS)))
     other = often.select("digest", "cell", F.col("token").alias("second"))
     double = (
         often.join(other, ["digest", "cell"])
         .where(F.col("token") < F.col("second"))
-        .select(F.col("token").alias("first"), "second", *kept)
-    )
-    rows = written(single.unionByName(double), "signatures")
-    mate = rows.select(
-        "first",
-        "second",
-        F.col("digest").alias("b"),
-        F.col("n").alias("m"),
-        F.col("root").alias("other"),
+        .select(F.col("token").alias("first"), "second", "digest", "n", "family")
     )
-    return (
-        rows.join(mate, ["first", "second"])
-        .where((F.col("digest") < F.col("b")) & (F.col("root") != F.col("other")))
+    return single.unionByName(double)
+
+
+def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different families that share a signature, unless too few
+    for a link. Families meet first, so that sets of one family never do."""
+    signature = ["first", "second"]
+    held = rows.select(*signature, "family").distinct()
+    other = held.withColumnRenamed("family", "other")
+    met = held.join(other, signature).where(F.col("family") < F.col("other"))
+    left = rows.withColumnsRenamed({"digest": "a"})
+    right = rows.withColumnsRenamed({"digest": "b", "n": "m", "family": "other"})
+    lone = F.col("second") == 0
+    pairs = (
+        met.join(left, [*signature, "family"])
+        .join(right, [*signature, "other"])
         .where(_near(F.col("n"), F.col("m"), percent))
-        .select(F.col("digest").alias("a"), "b")
-        .distinct()
+        .groupBy("a", "b", "n", "m")
+        .agg(F.count_if(lone).alias("singles"), F.count_if(~lone).alias("doubles"))
     )
+    # So many shared tokens of one cell make at least one combination less.
+    most = F.col("singles") + F.col("doubles") + CELLS
+    least = F.least(_least_shared("n", percent), _least_shared("m", percent))
+    return pairs.where(most >= least).select("a", "b")
+
+
+def _pairs_within(held: DataFrame) -> DataFrame:
+    """(low, high): every pair of blocks of one family that has several groups."""
+    several = (
+        held.groupBy("family")
+        .agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        .where(F.col("least") != F.col("most"))
+        .select("family")
+    )
+    low = held.select("family", F.col("block").alias("low")).distinct()
+    high = low.withColumnRenamed("low", "high")
+    met = low.join(several, "family").join(high, "family")
+    return met.where(F.col("low") <= F.col("high")).select("low", "high")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every one on the
+    right, as products of 0/1 matrices over the tokens that both sides have."""
+    sizes = [[len(s) for s in side] for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    found = np.zeros((len(left), len(right)), np.float64)
+    if not len(both):
+        return found
+    entries = []
+    for tokens, lengths in zip(flat, sizes):
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.searchsorted(both, tokens)
+        place[place == len(both)] = 0
+        hit = both[place] == tokens
+        order = np.argsort(place[hit], kind="stable")
+        entries.append((row[hit][order], place[hit][order]))
+    for start in range(0, len(both), COLUMNS):
+        part = []
+        for (row, place), lengths in zip(entries, sizes):
+            low, high = np.searchsorted(place, [start, start + COLUMNS])
+            matrix = np.zeros((len(lengths), min(COLUMNS, len(both) - start)), np.float32)
+            matrix[row[low:high], place[low:high] - start] = 1
+            part.append(matrix)
+        found += part[0] @ part[1].T
+    return found
+
+
+def _links_within(
+    rows: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
+) -> DataFrame:
+    """Links between different groups of the sets of each family, as many as hold
+    together what they hold together."""
+    held = blocks.join(rows.select("digest", "root").distinct(), "digest")
+    held = written(held.join(sets.drop("n"), "digest"), "block-sets")
+    pairs = written(_pairs_within(held), "block-pairs")
+    own = held.select(
+        F.col("block").alias("low"), F.lit(False).alias("other"), "digest", "root", "tokens"
+    )
+    other = held.select(
+        F.col("block").alias("high"), F.lit(True).alias("other"), "digest", "root", "tokens"
+    )
+    loaded = pairs.join(own, "low").unionByName(
+        pairs.where("low != high").join(other, "high")
+    )
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[~part["other"]], part[part["other"]]]
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        tokens = [[np.asarray(t) for t in side["tokens"]] for side in sides]
+        digests = [[bytes(d) for d in side["digest"]] for side in sides]
+        names = {bytes(r): i for i, r in enumerate(part["root"].drop_duplicates())}
+        roots = [np.array([names[bytes(r)] for r in side["root"]]) for side in sides]
+        both = overlaps(*tokens)
+        sizes = [np.array([len(t) for t in side], float) for side in tokens]
+        union = sizes[0][:, None] + sizes[1][None, :] - both
+        linked = (100 * both >= percent * union) & (roots[0][:, None] != roots[1][None, :])
+        group = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while group[x] != x:
+                group[x] = group[group[x]]
+                x = group[x]
+            return x
+
+        links = []
+        for i, j in np.argwhere(linked):
+            a, b = find(roots[0][i]), find(roots[1][j])
+            if a != b:
+                group[a] = b
+                links.append((digests[0][i], digests[1][j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return loaded.groupBy("low", "high").applyInPandas(judge, "a binary, b binary")
 
 
 def near_duplicates(
@@ -230,31 +418,42 @@ def near_duplicates(
         .select("digest", "n", "first.id", "first.place", "first.tokens"),
         "kinds",
     )
-    shared = written(_shared_tokens(kinds), "shared")
+    shared = _shared_tokens(kinds, percent)
     members = shared.select("digest").distinct()
-    needed = kinds.join(members, "digest").select(
-        F.col("id").alias("need"), F.col("place").alias("at")
+    needed = _small(
+        written(
+            kinds.join(members, "digest").select(
+                F.col("id").alias("need"), F.col("place").alias("at")
+            ),
+            "members",
+        )
     )
     texts = source.join(
         needed, F.col("id").eqNullSafe(F.col("need")) & (F.col("place") == F.col("at"))
     ).select("id", "place", "text")
     sets = written(
-        _sets(texts, percent, width, whole=True)
-        .groupBy("digest")
-        .agg(F.first("tokens").alias("tokens")),
+        _sets(texts, percent, width, whole=True).dropDuplicates(["digest"]),
         "whole-sets",
-    )
+    ).select("digest", "n", "tokens")
+    sets, shared = _shared_throughout(sets, shared, percent)
 
     rows = shared.withColumn("root", F.col("digest"))
-    links = None
+    links = blocks = None
     for round_ in range(ROUNDS):
-        pairs = _star_pairs(rows, percent, round_)
-        fresh = written(verified(pairs, sets, percent), "star-links")
+        pairs = written(_star_pairs(rows, percent, round_), "star-pairs")
+        if blocks is None:
+            blocks = written(_blocks(sets.select("digest", "n"), pairs), "blocks")
+        fresh = written(verified(pairs, sets, blocks, percent), "star-links")
         links = fresh if links is None else links.unionByName(fresh)
         roots = components(links)
         rows = written(_across_groups(_rooted(shared, roots)), "across")
-    pairs = written(_combination_pairs(rows, percent, frequent), "pairs")
-    links = links.unionByName(written(verified(pairs, sets, percent), "pair-links"))
+    within = written(_links_within(rows, sets, blocks, percent), "family-links")
+    named = rows.join(blocks.select("digest", "family"), "digest")
+    signatures = written(_signatures(named, percent, frequent), "signatures")
+    pairs = written(_pairs_across(signatures, percent), "across-pairs")
+    fresh = written(verified(pairs, sets, blocks, percent), "across-links")
+    fresh = within.unionByName(fresh)
+    links = links.unionByName(fresh)
     roots = components(links)
 
     labelled = kinds.select("digest", "id").join(
@@ -304,16 +503,38 @@ def one_of_each(
     return stay.select("_row.*").unionByName(docs.where(~words))
 
 
-def _shared_tokens(kinds: DataFrame) -> DataFrame:
-    """(token, digest, n) of the prefix tokens that several kinds have."""
+def _shared_tokens(kinds: DataFrame, percent: int) -> DataFrame:
+    """(token, digest, n) of the prefix tokens that several kinds have, of those kinds
+    that share as many as a link asks for."""
     rows = kinds.select("digest", "n", F.explode("tokens").alias("token"))
-    several = (
-        rows.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("kinds"))
-        .where("kinds > 1")
-        .select("token")
-    )
-    return rows.join(several, "token")
+    for _ in range(2):
+        several = written(_several(rows), "several")
+        rows = written(rows.join(_small(several), "token"), "shared")
+        enough = rows.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("found"))
+        enough = written(enough.where(F.col("found") >= _least_shared("n", percent)).select("digest"), "enough")
+        rows = written(rows.join(_small(enough), "digest"), "shared")
+    return rows
+
+
+def _shared_throughout(
+    sets: DataFrame, shared: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The sets of which as much is in some other set as a link asks for, by their
+    whole tokens, and the prefix tokens that several of them share."""
+    rows = sets.select("digest", "n", F.explode("tokens").alias("token"))
+    several = written(_several(rows), "several")
+    found = rows.join(_small(several), "token").groupBy("digest", "n").count()
+    overlap = F.expr(f"({percent} * n + 99) div 100")
+    enough = written(found.where(F.col("count") >= overlap).select("digest"), "enough")
+    sets = written(sets.join(_small(enough), "digest"), "whole-sets")
+    rows = written(shared.join(_small(enough), "digest"), "shared")
+    return sets, written(rows.join(_small(_several(rows)), "token"), "shared")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Tokens of more than one row."""
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"))
+    return counts.where("kinds > 1").select("token")
 
 
 def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
