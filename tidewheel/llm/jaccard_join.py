@@ -46,7 +46,7 @@ EXTEND_BY = 16
 # Rows of one to three numbers that may be broadcast.
 BROADCAST_ROWS = 4_000_000
 # Tokens of the sets that are loaded together to be verified, and columns of a matrix.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 COLUMNS = 4096
 # Parts of the blocks, by pairs of which candidates are verified.
 GROUPS = 32
@@ -431,10 +431,10 @@ def near_duplicates(
     texts = source.join(
         needed, F.col("id").eqNullSafe(F.col("need")) & (F.col("place") == F.col("at"))
     ).select("id", "place", "text")
-    sets = written(
-        _sets(texts, percent, width, whole=True).dropDuplicates(["digest"]),
-        "whole-sets",
-    ).select("digest", "n", "tokens")
+    # A row that is repeated brings its set again, until most sets are gone.
+    sets = written(_sets(texts, percent, width, whole=True), "whole-sets").select(
+        "digest", "n", "tokens"
+    )
     sets, shared = _shared_throughout(sets, shared, percent)
 
     rows = shared.withColumn("root", F.col("digest"))
@@ -526,7 +526,8 @@ def _shared_throughout(
     found = rows.join(_small(several), "token").groupBy("digest", "n").count()
     overlap = F.expr(f"({percent} * n + 99) div 100")
     enough = written(found.where(F.col("count") >= overlap).select("digest"), "enough")
-    sets = written(sets.join(_small(enough), "digest"), "whole-sets")
+    left = sets.join(_small(enough), "digest").dropDuplicates(["digest"])
+    sets = written(left, "whole-sets")
     rows = written(shared.join(_small(enough), "digest"), "shared")
     return sets, written(rows.join(_small(_several(rows)), "token"), "shared")
 
