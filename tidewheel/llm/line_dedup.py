@@ -46,7 +46,7 @@ def html_lines(html: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\v\f\r"))
 
 
 def _lines(text: Column) -> Column:
@@ -136,5 +136,5 @@ def drop_boilerplate(
 
 def _shown(text: Column) -> Column:
     """Lines that are more than white space; none for null."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: _trimmed(x) != "")
     return F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0)).cast("bigint")
