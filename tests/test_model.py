@@ -116,6 +116,13 @@ def test_smoothing_is_added_to_every_variance(spark):
     assert m.sigma.tolist() == [[0.5], [0.5]]
 
 
+def test_a_label_of_too_many_values_is_refused(spark):
+    df = spark.range(50).selectExpr("cast(id as int) target", "1.0d a")
+    assert len(sc.load_model(tr.nb_model(df, ["a"], max_classes=50)).classes) == 50
+    with pytest.raises(Exception, match="class_count"):
+        tr.nb_model(df, ["a"], max_classes=49).collect()
+
+
 def test_ragged_array_fails_training(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "target int, x array<double>")
     with pytest.raises(Exception, match="feature_count"):
