@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import contamination, jaccard_join, line_dedup, packing, quality
-from tidewheel.llm.common import public_path, table, written
+from tidewheel.llm.common import WORD, public_path, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,12 +16,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are boilerplate of their source; documents of
-    nothing else go."""
-    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"))
-    left = cleaned.where("n_dropped = 0 or n_dropped < n_lines")
-    text = F.col("clean_text")
-    return left.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(
+    """Texts without the lines that are boilerplate of their source. Copies are for the
+    next stage to judge: equal texts of a source count once, and a document that would
+    lose most of its words stays whole."""
+    out = ("_clean", "_lines", "_dropped")
+    cleaned = line_dedup.drop_boilerplate(
+        docs, F.col("source"), F.col("text"), out=out, copies_count=False
+    )
+    words, left = (F.regexp_count(c, F.lit(WORD)) for c in ("text", "_clean"))
+    cut = F.when(F.col("_dropped") > 0, 2 * left >= words).otherwise(False)
+    text = F.when(cut, F.col("_clean")).otherwise(F.col("text"))
+    return cleaned.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(
         *docs.columns
     )
 

@@ -54,10 +54,17 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, host: Column, text: Column, ratio: float, least_pages: int
+    pages: DataFrame,
+    host: Column,
+    text: Column,
+    ratio: float,
+    least_pages: int,
+    copies_count: bool = True,
 ) -> DataFrame:
     """(host, line, n, pages) of the lines over the ratio; ``line`` is trimmed."""
     rows = pages.select(host.alias("host"), text.alias("text")).where("host is not null")
+    if not copies_count:
+        rows = rows.distinct()
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.array_distinct(F.filter(_lines(F.col("text")), lambda x: x != ""))
     counts = (
@@ -82,6 +89,7 @@ def drop_boilerplate(
     least_pages: int = LEAST_PAGES,
     out: tuple[str, str, str] = ("clean_text", "n_lines", "n_dropped"),
     broadcast_lines: int = BROADCAST_LINES,
+    copies_count: bool = True,
 ) -> DataFrame:
     """Every row of ``pages`` with its text without boilerplate lines, its lines and
     how many were dropped. ``host`` and ``text`` are expressions over ``pages``.
@@ -90,14 +98,15 @@ def drop_boilerplate(
     are never dropped or counted, the others stay as they were, in order. A null host
     belongs to no site: its lines stay. A null text has no lines and stays null. Hosts
     with fewer than ``least_pages`` pages keep all lines. Repeated rows are pages of
-    their own. Columns named like an output are replaced, others kept whatever their
-    names; an empty table gives an empty table.
+    their own; without ``copies_count``, equal texts of a host are one page. Columns
+    named like an output are replaced, others kept whatever their names; an empty table
+    gives an empty table.
 
     The boilerplate is broadcast when its counted lines are few; beyond that, pages
     are dealt to salts of their host and meet its lines there.
     """
     lines = written(
-        boilerplate_lines(pages, host, text, ratio, least_pages)
+        boilerplate_lines(pages, host, text, ratio, least_pages, copies_count)
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("line")).alias("known")),
         "boilerplate",
