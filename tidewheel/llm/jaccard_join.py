@@ -45,8 +45,10 @@ ROUNDS = 1
 EXTEND_BY = 16
 # Rows of one to three numbers that may be broadcast.
 BROADCAST_ROWS = 4_000_000
-# Tokens of the sets that are loaded together to be verified, and columns of a matrix.
+# Tokens and sets that are loaded together to be verified, and rows and columns of a matrix.
 BLOCK_TOKENS = 1 << 20
+BLOCK_SETS = 4096
+STRIP = 1024
 COLUMNS = 4096
 # Parts of the blocks, by pairs of which candidates are verified.
 GROUPS = 32
@@ -146,13 +148,13 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 
 def _blocks(sets: DataFrame, star: DataFrame) -> DataFrame:
     """(digest, family, block): sets that hang together by the pairs of ``star``, in parts of
-    about BLOCK_TOKENS tokens, so that candidates mostly lie within few blocks."""
+    about BLOCK_TOKENS tokens and BLOCK_SETS sets at most, so that candidates mostly lie
+    within few blocks."""
     families = components(star).withColumnsRenamed({"node": "digest", "root": "family"})
     named = sets.join(families, "digest", "left")
     named = named.withColumn("family", F.coalesce("family", "digest"))
-    sizes = named.groupBy("family").agg(
-        F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")
-    )
+    tokens, members = F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS
+    sizes = named.groupBy("family").agg(F.ceil(F.greatest(tokens, members)).alias("parts"))
     part = F.pmod(F.xxhash64("digest"), F.col("parts"))
     return named.join(sizes, "family").select(
         "digest", "family", F.xxhash64("family", part).alias("block")
@@ -336,6 +338,38 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def links_between(low: pd.DataFrame, high: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between different groups of two tables (digest, root, tokens), as many
+    as hold together what they hold together; strips of ``low`` are judged in turn, so
+    that memory grows with the sets of ``high`` alone."""
+    sides = [low, high]
+    tokens = [[np.asarray(t) for t in side["tokens"]] for side in sides]
+    digests = [[bytes(d) for d in side["digest"]] for side in sides]
+    names = {bytes(r): i for i, r in enumerate(pd.concat([s["root"] for s in sides]).drop_duplicates())}
+    roots = [np.array([names[bytes(r)] for r in side["root"]]) for side in sides]
+    sizes = [np.array([len(t) for t in side], float) for side in tokens]
+    group = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    links = []
+    for start in range(0, len(low), STRIP):
+        strip = slice(start, start + STRIP)
+        both = overlaps(tokens[0][strip], tokens[1])
+        union = sizes[0][strip, None] + sizes[1][None, :] - both
+        linked = (100 * both >= percent * union) & (roots[0][strip, None] != roots[1][None, :])
+        for i, j in np.argwhere(linked):
+            a, b = find(roots[0][start + i]), find(roots[1][j])
+            if a != b:
+                group[a] = b
+                links.append((digests[0][start + i], digests[1][j]))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
 def _links_within(
     rows: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
 ) -> DataFrame:
@@ -358,29 +392,7 @@ def _links_within(
         sides = [part[~part["other"]], part[part["other"]]]
         if not len(sides[1]):
             sides[1] = sides[0]
-        tokens = [[np.asarray(t) for t in side["tokens"]] for side in sides]
-        digests = [[bytes(d) for d in side["digest"]] for side in sides]
-        names = {bytes(r): i for i, r in enumerate(part["root"].drop_duplicates())}
-        roots = [np.array([names[bytes(r)] for r in side["root"]]) for side in sides]
-        both = overlaps(*tokens)
-        sizes = [np.array([len(t) for t in side], float) for side in tokens]
-        union = sizes[0][:, None] + sizes[1][None, :] - both
-        linked = (100 * both >= percent * union) & (roots[0][:, None] != roots[1][None, :])
-        group = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        links = []
-        for i, j in np.argwhere(linked):
-            a, b = find(roots[0][i]), find(roots[1][j])
-            if a != b:
-                group[a] = b
-                links.append((digests[0][i], digests[1][j]))
-        return pd.DataFrame(links, columns=["a", "b"])
+        return links_between(*sides, percent)
 
     return loaded.groupBy("low", "high").applyInPandas(judge, "a binary, b binary")
 
