@@ -2,10 +2,12 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from test_jaccard_join import brute, families
 from tidewheel.llm import jaccard_join as jj
 
 SETS = 20_000
@@ -33,6 +35,23 @@ def test_blocks_of_short_sets_are_bounded_by_sets(spark):
     assert max(r["count"] for r in rows) < 1.25 * 4096
 
 
+def test_parts_grow_in_number_not_in_size(spark, monkeypatch):
+    # Small bounds stand for a large input: 200 thousand tokens in families of 20 sets.
+    monkeypatch.setattr(jj, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(jj, "GROUP_TOKENS", 2000, raising=False)
+    sets = spark.range(SETS).select(
+        F.col("id").cast("string").cast("binary").alias("digest"), F.lit(10).cast("bigint").alias("n")
+    )
+    number = F.col("digest").cast("string").cast("bigint")
+    centre = (number - number % 20).cast("string").cast("binary")
+    star = sets.select(F.col("digest").alias("a"), centre.alias("b")).where("a != b")
+    blocks = jj._blocks(sets, star)
+    part = "part" if "part" in blocks.columns else F.pmod("block", F.lit(jj.GROUPS))
+    tokens = [10 * r["count"] for r in blocks.groupBy(part).count().collect()]
+    assert sum(tokens) == 10 * SETS
+    assert max(tokens) < 2.5 * 2000
+
+
 def block(rng, n):
     """Sets of a template, some of them copies of one another, each a group of its own."""
     cache = jj.WordHashes()
@@ -43,6 +62,15 @@ def block(rng, n):
     return pd.DataFrame({"digest": names, "root": names, "tokens": tokens})
 
 
+def test_components_by_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(jj, "GROUP_TOKENS", 60)
+    rows = families(5, 12)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = jj.near_duplicates(docs.repartition(6)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute(rows)
+
+
 def test_memory_of_a_pair_of_blocks_is_that_of_a_strip():
     part = block(random.Random(1), 8000)
     tracemalloc.start()

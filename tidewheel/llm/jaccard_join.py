@@ -50,8 +50,10 @@ BLOCK_TOKENS = 1 << 20
 BLOCK_SETS = 4096
 STRIP = 1024
 COLUMNS = 4096
-# Parts of the blocks, by pairs of which candidates are verified.
+# Parts of the blocks, by pairs of which candidates are verified: so many at least, and
+# more where one would hold more tokens than this.
 GROUPS = 32
+GROUP_TOKENS = 1 << 22
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -147,17 +149,21 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 
 
 def _blocks(sets: DataFrame, star: DataFrame) -> DataFrame:
-    """(digest, family, block): sets that hang together by the pairs of ``star``, in parts of
-    about BLOCK_TOKENS tokens and BLOCK_SETS sets at most, so that candidates mostly lie
-    within few blocks."""
+    """(digest, family, block, part): sets that hang together by the pairs of ``star``, in
+    blocks of about BLOCK_TOKENS tokens and BLOCK_SETS sets at most, so that candidates
+    mostly lie within few blocks; blocks are dealt to parts of about GROUP_TOKENS."""
     families = components(star).withColumnsRenamed({"node": "digest", "root": "family"})
     named = sets.join(families, "digest", "left")
     named = named.withColumn("family", F.coalesce("family", "digest"))
     tokens, members = F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS
     sizes = named.groupBy("family").agg(F.ceil(F.greatest(tokens, members)).alias("parts"))
-    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    return named.join(sizes, "family").select(
-        "digest", "family", F.xxhash64("family", part).alias("block")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    groups = max(GROUPS, -(-total // GROUP_TOKENS))
+    nth = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    return (
+        named.join(sizes, "family")
+        .select("digest", "family", F.xxhash64("family", nth).alias("block"))
+        .withColumn("part", F.pmod("block", F.lit(groups)))
     )
 
 
@@ -179,8 +185,7 @@ def _similar(
 ) -> DataFrame:
     """Pairs that pass by their tokens. They are judged in groups of the same parts of
     the blocks on either side, to each of which a set travels once."""
-    cell = F.pmod("block", F.lit(GROUPS)).alias("x")
-    left = blocks.select(F.col("digest").alias("a"), cell)
+    left = blocks.select(F.col("digest").alias("a"), F.col("part").alias("x"))
     right = left.withColumnsRenamed({"a": "b", "x": "y"})
     keyed = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "pairs")
     needed = (
