@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.session import scratch_path
 
@@ -47,6 +48,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bytes of strings and numbers that may be broadcast.
+BROADCAST_BYTES = 1 << 27
+
+
+def octets(df: DataFrame) -> Column:
+    """About the bytes of a row: the lengths of its strings, also of those in arrays, and
+    eight for all else."""
+    found = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind, name = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            name, kind = F.array_join(name, ""), kind.elementType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            found += F.coalesce(F.octet_length(name), F.lit(0))
+        else:
+            found += F.lit(8)
+    return found
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import WORD, utf8_column, written
+from tidewheel.llm.common import BROADCAST_BYTES, WORD, octets, utf8_column, written
 from tidewheel.llm.components import components
 
 WIDTH = 5
@@ -43,7 +43,7 @@ FREQUENT = 32
 ROUNDS = 1
 # One more token to be shared for so many in the set.
 EXTEND_BY = 16
-# Rows of one to three numbers that may be broadcast.
+# Rows that may be broadcast, within BROADCAST_BYTES.
 BROADCAST_ROWS = 4_000_000
 # Tokens and sets that are loaded together to be verified, and rows and columns of a matrix.
 BLOCK_TOKENS = 1 << 20
@@ -98,8 +98,11 @@ def extension(n: int) -> int:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """The rows, to be broadcast if they are few enough; else Spark shuffles them."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """The rows, to be broadcast if they are few and small enough; else Spark shuffles
+    them."""
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(octets(rows))).first()
+    few = n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return F.broadcast(rows) if few else rows
 
 
 def _sets(docs: DataFrame, percent: int, width: int, whole: bool) -> DataFrame:

@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import written
+from tidewheel.llm.common import BROADCAST_BYTES, octets, written
 
 RATIO = 0.1
 LEAST_PAGES = 10
-# Boilerplate lines that may be broadcast.
+# Boilerplate lines that may be broadcast, within BROADCAST_BYTES.
 BROADCAST_LINES = 200_000
 SALTS = 64
 # Tags at which a browser starts a new line, and what it does not show.
@@ -102,8 +102,8 @@ def drop_boilerplate(
     named like an output are replaced, others kept whatever their names; an empty table
     gives an empty table.
 
-    The boilerplate is broadcast when its counted lines are few; beyond that, pages
-    are dealt to salts of their host and meet its lines there.
+    The boilerplate is broadcast when its counted lines and bytes are few; beyond that,
+    pages are dealt to salts of their host and meet its lines there.
     """
     lines = written(
         boilerplate_lines(pages, host, text, ratio, least_pages, copies_count)
@@ -115,9 +115,9 @@ def drop_boilerplate(
     rows = pages.select(
         F.struct(*kept).alias("_row"), host.alias("_host"), text.alias("_text")
     )
-    size = lines.agg(F.sum(F.size("known"))).first()[0] or 0
+    count, size = lines.agg(F.sum(F.size("known")), F.sum(octets(lines))).first()
     lines = lines.withColumnRenamed("host", "_host").withColumnRenamed("known", "_known")
-    if size <= broadcast_lines:
+    if (count or 0) <= broadcast_lines and (size or 0) <= BROADCAST_BYTES:
         matched = rows.join(F.broadcast(lines), "_host", "left")
     else:
         salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS))
