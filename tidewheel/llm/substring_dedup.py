@@ -460,7 +460,7 @@ def without_repeats(
     """
     source = docs.select(
         F.col(doc_id).alias("id"),
-        F.hash(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tie"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tie"),
         F.col(text).cast("string").alias("text"),
     )
     spans = written(
@@ -477,7 +477,7 @@ def without_repeats(
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            T.StructField("tie", T.IntegerType()),
+            T.StructField("tie", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept_text", T.StringType()),
