@@ -114,9 +114,65 @@ select doc_id, cast(n as bigint) as n_words, cast(n_gone as bigint) as n_removed
   sha256(coalesce(array_to_string(stay, ' '), '')) as kept_sha256
 from k"""
 
+OP11 = f"""with recursive {CRC_TABLE},
+r as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run
+        from documents)
+  group by all),
+h as (
+  select *, {CRC.format("coalesce(cast(doc_id as varchar), '') || ':' || run")} as hash
+  from r, crc),
+d as (
+  select n, case when hash % 97 <> 0 then run else left(run, cast(hash % length(run) as int))
+    || substr(run, cast(hash % length(run) as int) + 2) end as word
+  from h),
+v as (
+  select word, cast(sum(n) as bigint) as n from d
+  where length(word) >= 5 group by word having sum(n) >= 3),
+e as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+k as (
+  select word, n, left(word, i - 1) || '_' || substr(word, i + 1) as pattern,
+    left(word, i - 1) || substr(word, i + 1) as shorter
+  from e),
+one as (
+  select a.word, b.word as near, b.n as near_n
+  from k a join k b on a.pattern = b.pattern and a.word <> b.word),
+less as (
+  select distinct k.word, v.word as near, k.n, v.n as near_n
+  from k join v on v.word = k.shorter),
+p as (
+  select * from one union all select word, near, near_n from less
+  union all select near, word, n from less),
+b as (
+  select word, near, near_n, count(*) over (partition by word) as n_near,
+    row_number() over (partition by word order by near_n desc, near) as place
+  from p),
+f as (
+  select v.word, v.n, cast(coalesce(n_near, 0) as bigint) as n_near,
+    case when near_n >= 2 * v.n then near end as form,
+    case when near_n >= 2 * v.n then near_n end as form_n
+  from v left join b on b.word = v.word and place = 1),
+c as (
+  select word, word as tip, 0 as hops from f
+  union all select c.word, f.form, hops + 1 from c join f on f.word = c.tip
+  where f.form is not null)
+select word, form, arg_max(tip, hops) as root, n, n_near, form_n
+from f join c using (word) group by word, form, n, n_near, form_n"""
+
+OP12 = """with d as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t
+  from documents),
+g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
+from d join g using (t)"""
+
 ORACLES: dict[str, str] = {
     "op3_interleaved_shards": OP3,
     "op8_jaccard_join": OP8,
     "op9_site_lines": OP9,
     "op10_fm_index_dedup": OP10,
+    "op11_spelling_variants": OP11,
+    "op12_exact_dedup": OP12,
 }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import contamination, jaccard_join, line_dedup, packing
-from tidewheel.llm import quality, secret_scan, sharding, substring_dedup
+from tidewheel.llm import contamination, exact_dedup, jaccard_join, line_dedup, packing
+from tidewheel.llm import quality, secret_scan, sharding, spelling, substring_dedup
 from tidewheel.llm import token_counts as tokens
-from tidewheel.llm import toxicity
+from tidewheel.llm import toxicity, whitening
 from tidewheel.llm.common import crc32_of, public_path, table, text_or_empty
 
 
@@ -120,6 +120,22 @@ def op10_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.exact_duplicates(docs)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,5 +149,8 @@ QUERIES = {
         op8_jaccard_join,
         op9_site_lines,
         op10_fm_index_dedup,
+        op11_spelling_variants,
+        op12_exact_dedup,
+        op13_embedding_whitening,
     )
 }
