@@ -1,0 +1,274 @@
+"""Live forms: timers, numbering, start positions, refreshed models, progress."""
+
+import random
+import time
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewheel.functions.headers import header, header_encode
+from tidewheel.operators import correlation as co
+from tidewheel.operators import counters as ct
+from tidewheel.operators import training as tr
+from tidewheel.schemas import MESSAGE_SCHEMA
+from tidewheel.session import scratch_path, streaming_session
+from tidewheel.sources import model_store, topics
+from tidewheel.streaming import counts, pending
+from tidewheel.streaming import scoring as st
+from tidewheel.streaming.progress import ProgressLog, live_backlog, observed
+from tidewheel.streaming.runner import finished, run_available
+
+TIMEOUT = 300
+T0 = datetime(2024, 1, 1)
+REQUEST = "cid string, inst bigint, ts timestamp"
+REPLY = "cid string, inst bigint, result boolean, reply_ts timestamp"
+
+
+@pytest.fixture
+def session(spark):
+    return streaming_session(spark)
+
+
+@pytest.fixture
+def folder(spark):
+    return scratch_path(spark, "t")
+
+
+def sides(session):
+    rng = random.Random(3)
+    requests, replies = [], []
+    for i in range(120):
+        sent = T0 + timedelta(seconds=rng.uniform(0, 400))
+        requests.append((f"c{i}", i % 3, sent))
+        for _ in range(rng.choice([0, 1, 2])):
+            wait = rng.choice([-2, 0, 1, 14.999, 15, 31])
+            at = sent + timedelta(seconds=wait)
+            replies.append((f"c{i}", rng.choice([i % 3, 7]), rng.choice([True, False, None]), at))
+    at = T0 + timedelta(seconds=30)
+    # One id used twice, rows that repeat, ids and instances that are not there.
+    requests += [("twice", 1, at), ("twice", 1, at + timedelta(seconds=9)), ("same", 1, at)]
+    requests += [("same", 1, at), (None, 1, at), ("", 1, at), ("lost", None, at), ("none", 1, None)]
+    replies += [("twice", 1, True, at + timedelta(seconds=s)) for s in (8, 10, 20)]
+    replies += [("same", 1, v, at + timedelta(seconds=3)) for v in (True, None, False)]
+    replies += [(None, 1, True, at), ("", 1, True, at), ("lost", None, True, at)]
+    replies += [("unknown", 1, True, at), ("c1", 1, True, None)]
+    replies += [("hot", 1, bool(i % 2), at + timedelta(milliseconds=i)) for i in range(200)]
+    requests += [("hot", 1, at + timedelta(milliseconds=77))]
+    return session.createDataFrame(requests, REQUEST), session.createDataFrame(replies, REPLY)
+
+
+def outcomes(df):
+    return sorted(
+        map(tuple, df.select("cid", "inst", "ts", "ok", "result", "wait_us").collect()), key=repr
+    )
+
+
+def batch_outcomes(requests, replies, **options):
+    found = co.reply_roundtrip(requests, replies, **options)
+    return outcomes(
+        found.withColumn("wait_us", F.unix_micros("reply_ts") - F.unix_micros("ts"))
+    )
+
+
+@pytest.mark.parametrize("piece_rows,match_instance", [(10**9, True), (300, False)])
+def test_live_outcomes_equal_batch(session, folder, piece_rows, match_instance):
+    q, p = sides(session)
+    if not match_instance:
+        # Without instances an id that is asked twice by two instances is one id.
+        q = q.where("cid is null or cid <> 'lost'")
+    out = pending.replay_outcomes(
+        q, p, folder, piece_rows, timeout=TIMEOUT, match_instance=match_instance
+    )
+    assert outcomes(out) == batch_outcomes(q, p, match_instance=match_instance)
+
+
+def test_replies_held_in_state_beyond_memory(session, folder, monkeypatch):
+    monkeypatch.setattr(pending, "HELD", 7)
+    q, p = sides(session)
+    out = pending.replay_outcomes(q, p, folder, timeout=TIMEOUT)
+    assert outcomes(out) == batch_outcomes(q, p)
+
+
+def test_state_goes_with_the_outcome(session, folder):
+    q, p = sides(session)
+    later = T0 + timedelta(days=1)
+    q = q.unionByName(session.createDataFrame([("z", 1, later)], REQUEST))
+    p = p.unionByName(session.createDataFrame([("y", 1, True, later)], REPLY))
+    pending.replay_outcomes(q, p, folder, timeout=TIMEOUT)
+    waiting = pending.pending_requests(session, f"{folder}/checkpoint")
+    assert [r.cid for r in waiting.collect()] == ["z"]
+    kept = session.read.format("statestore").option("stateVarName", "replies")
+    assert {r.key.cid for r in kept.load(f"{folder}/checkpoint").collect()} == {"y"}
+
+
+def test_a_live_timeout_needs_no_later_message(session, folder):
+    """By the wall clock: one request, nothing after it; another is answered in time."""
+    now = datetime.now()
+    rows = session.createDataFrame([("a", 1, now), ("b", 1, now)], REQUEST)
+    rows.write.parquet(f"{folder}/q")
+    session.createDataFrame([], REPLY).write.parquet(f"{folder}/p")
+    live = pending.reply_outcomes_live(
+        topics.file_topic(session, f"{folder}/q", rows.schema),
+        topics.file_topic(session, f"{folder}/p", REPLY),
+        timeout_seconds=20,
+        clock="wall",
+    )
+    writer = live.writeStream.format("parquet").option("path", f"{folder}/out")
+    query = writer.option("checkpointLocation", f"{folder}/c").outputMode("append").start()
+
+    def settled(n):
+        end = time.time() + TIMEOUT
+        while time.time() < end:
+            assert query.exception() is None
+            try:
+                found = session.read.parquet(f"{folder}/out").collect()
+            except Exception:
+                found = []
+            if len(found) >= n:
+                return {r.cid: (r.ok, r.result) for r in found}
+            time.sleep(0.5)
+        raise AssertionError("nothing came out")
+
+    try:
+        answer = [("b", 1, True, now + timedelta(seconds=2))]
+        session.createDataFrame(answer, REPLY).write.mode("append").parquet(f"{folder}/p")
+        assert settled(1) == {"b": (True, True)}
+        assert settled(2) == {"b": (True, True), "a": (False, None)}
+    finally:
+        query.stop()
+
+
+def test_numbers_go_on_over_runs_and_repeated_batches(session, folder):
+    rng = random.Random(4)
+    pages = ["hot"] * 60 + ["a", "b", None] * 5
+    rng.shuffle(pages)
+    rows = [(p, T0 + timedelta(seconds=i), i) for i, p in enumerate(pages)]
+    visits = session.createDataFrame(rows, "page string, ts timestamp, event_id int")
+    for low, high in ((0, 30), (30, 31), (31, 75)):
+        piece = visits.where(F.col("event_id").between(low, high - 1))
+        piece.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        stream = topics.file_topic(session, f"{folder}/in", visits.schema)
+        finished(counts.number_visits(stream, folder, order=("ts",)), TIMEOUT)
+    expected = ct.visit_number(visits, scratch_path(session, "v"))
+    found = counts.numbered_visits(session, folder).select(*expected.columns)
+    assert sorted(found.collect(), key=repr) == sorted(expected.collect(), key=repr)
+
+    # A batch that comes again replaces what it wrote.
+    writer = counts.number_visits(stream, folder, order=("ts",))
+    assert writer is not None
+    again = session.read.parquet(f"{folder}/numbered").where("batch = 1").count()
+    assert again == 1
+
+
+def test_start_is_fixed_at_the_first_run(session, folder):
+    def land(*values):
+        rows = session.createDataFrame([(v,) for v in values], "value string")
+        topics.land_messages(rows, f"{topics.FOLDER}{folder}", "results")
+
+    def run():
+        stream = topics.topic_source(session, f"{topics.FOLDER}{folder}", "results")
+        topics.start_from_latest(stream, f"{folder}/c", f"{folder}/out", TIMEOUT)
+        run_available(stream, f"{folder}/c", f"{folder}/out", timeout=TIMEOUT)
+        seen = session.read.schema(MESSAGE_SCHEMA).parquet(f"{folder}/out")
+        return sorted(bytes(r.value).decode() for r in seen.collect())
+
+    land("old", "older")
+    assert run() == []
+    land("new")
+    assert run() == ["new"]
+    assert run() == ["new"]
+    land("newer")
+    assert run() == ["new", "newer"]
+    with pytest.raises(ValueError):
+        topics.topic_source(session, f"{topics.FOLDER}{folder}", "results", False)
+
+
+def test_messages_keep_one_contract(session, folder):
+    brokers = f"{topics.FOLDER}{folder}/"
+    at = datetime(2024, 5, 6)
+    rows = session.createDataFrame([("v", at), (None, None)], "value string, timestamp timestamp")
+    named = rows.withColumn("headers", F.array(header("k", header_encode(F.lit("h")))))
+    topics.land_messages(named, brokers, "in")
+    topics.land_messages(session.range(1).select(F.lit("bare").alias("value"), "id"), brokers, "in")
+    stream = topics.topic_source(session, brokers, "in", max_bytes_per_trigger=1)
+    finished(topics.topic_sink(stream, brokers, "out", f"{folder}/c"), TIMEOUT)
+    out = topics.topic_table(session, brokers, "out")
+    assert out.schema.simpleString() == MESSAGE_SCHEMA.simpleString()
+    found = {r.value and bytes(r.value): r for r in out.collect()}
+    assert found.keys() == {b"v", None, b"bare"}
+    assert found[b"v"].timestamp == at and bytes(found[b"v"].headers[0].value) == b"h"
+    assert found[b"bare"].headers == [] and found[b"bare"].timestamp > at
+
+
+def flag_model(session, mean):
+    """Class 1 lies at ``mean``, class 0 at minus it."""
+    rows = [(c, s * mean + d) for c, s in ((0, -1.0), (1, 1.0)) for d in (-1.0, 1.0)]
+    return tr.nb_model(session.createDataFrame(rows, "target int, x double"), ["x"])
+
+
+def test_a_model_stored_again_is_used_without_restart(session, folder):
+    messages = session.createDataFrame([(b'{"x": 5}',)], "value binary").withColumn(
+        "headers", F.array().cast(MESSAGE_SCHEMA["headers"].dataType)
+    )
+    models = f"{folder}/models"
+    with pytest.raises(Exception):
+        model_store.latest_model(session, models)
+    assert model_store.publish_model(flag_model(session, 4.0), models) == 1
+    messages.write.parquet(f"{folder}/in")
+    stream = topics.file_topic(session, f"{folder}/in", messages.schema)
+    query = st.score_with_latest(stream, models, folder).start()
+    try:
+        query.processAllAvailable()
+        assert model_store.publish_model(flag_model(session, -4.0), models) == 2
+        messages.write.mode("append").parquet(f"{folder}/in")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    results = session.read.parquet(f"{folder}/scored").orderBy("batch").collect()
+    assert [r.result for r in results] == [True, False]
+    assert model_store.model_json_read(session, f"{models}/version=1").count() == 1
+    assert "batch" not in st.scored_messages(session, folder).columns
+
+
+def test_reports_add_up(session, folder):
+    values = [b'{"x": 5}', b'{"x": -5}', b"junk", None, b'{"x": 1, "y": 2}']
+    messages = session.createDataFrame([(v,) for v in values * 20], "value binary").withColumn(
+        "headers", F.array().cast(MESSAGE_SCHEMA["headers"].dataType)
+    )
+    messages.repartition(5).write.parquet(f"{folder}/in")
+    model = st.load_model(flag_model(session, 4.0))
+    with ProgressLog(session, f"{folder}/log") as log:
+        for _ in range(2):
+            stream = topics.file_topic(session, f"{folder}/in", messages.schema, 1000)
+            scored = st.observe_events(st.score_messages(stream, model))
+            log.wait(run_available(scored, f"{folder}/c", timeout=TIMEOUT))
+            messages.limit(10).write.mode("append").parquet(f"{folder}/in")
+    rows = [r for r in observed(session, f"{folder}/log").collect() if r.received]
+    assert len(rows) > 2
+    assert sum(r.received for r in rows) == 110
+    assert all(r.received == r.scored + r.rejected for r in rows)
+    whole = st.score_messages(messages, model)
+    assert sum(r.positive for r in rows) >= whole.where("result").count()
+
+
+def test_backlog_at_each_batch_equals_the_batch_form(session, folder):
+    requests = session.range(90).select(
+        F.col("id").cast("string").alias("cid"), F.lit(T0).alias("ts")
+    )
+    for i in range(3):
+        piece = requests.where(F.col("cid").cast("int") % 3 == i)
+        piece.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = topics.file_topic(session, f"{folder}/in", requests.schema, 1)
+    with ProgressLog(session, f"{folder}/log") as log:
+        kept = stream.select("cid", "ts")
+        log.wait(run_available(kept, f"{folder}/c", f"{folder}/out", timeout=TIMEOUT))
+    rows = live_backlog(session, f"{folder}/log", 90).orderBy("batch").collect()
+    rows = [r for i, r in enumerate(rows) if not i or r.received > rows[i - 1].received]
+    assert [r.backlog for r in rows] == [60, 30, 0]
+    results = session.read.parquet(f"{folder}/out")
+    left = co.topic_backlog(requests, results, F.to_date("ts")).agg(F.sum("backlog")).first()[0]
+    assert rows[-1].backlog == (left or 0)
+    part = requests.join(results.limit(30), "cid", "left_semi")
+    behind = co.topic_backlog(requests, part, F.to_date("ts")).first()
+    assert behind.backlog == rows[0].backlog

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.plans import tables as tb
@@ -94,6 +95,31 @@ def test_ingest_adds_objects_and_keeps_bytes(spark, tmp_path):
     assert lake.lake_listing(spark, str(tmp_path), "raw*").count() == 1
 
 
+def test_ingest_replaces_its_own_name(spark, tmp_path):
+    landing = f"{tmp_path}/landing/"
+    for name, text in (("a", "1\n2\n"), ("b", "3\n"), ("a", "1\n2\n"), ("a", "4\n")):
+        (tmp_path / name).write_text(text)
+        lake.lake_ingest(spark, f"{tmp_path}/{name}", landing)
+    lake.lake_ingest(spark, f"{tmp_path}/a", landing, name="c")
+    lines = lake.lake_show(spark, f"{landing}*").collect()
+    assert sorted(r["value"] for r in lines) == ["3", "4", "4"]
+    assert sorted(p.name for p in (tmp_path / "landing").iterdir()) == ["a", "b", "c"]
+    # A copy that fails leaves the object as it is.
+    with pytest.raises(Exception):
+        lake.lake_ingest(spark, f"{tmp_path}/absent", landing, name="b")
+    assert lake.lake_show(spark, f"{landing}b").count() == 1
+
+
+def test_store_options_reach_the_reader(spark, tmp_path):
+    """Options are a reader's own, so what they say holds for it: a line separator here."""
+    (tmp_path / "x").write_text("a;b;c")
+    assert lake.lake_show(spark, f"{tmp_path}/x", {"lineSep": ";"}).count() == 3
+    rows = lake.csv_named_scan(
+        spark, f"{tmp_path}/x", "a string, b string, c string", {"sep": ";"}
+    )
+    assert [tuple(r) for r in rows.collect()] == [("a", "b", "c")]
+
+
 def test_store_options_carry_no_keys():
     options = lake.object_store_options("http://store:9000")
     assert options["fs.s3a.path.style.access"] == "true"

@@ -21,8 +21,10 @@ def visit_number(
     page: str = "page",
     order: Sequence[str] = ("ts",),
     slices: int | None = None,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """Each visit with the counter value after its own increment.
+    """Each visit with the counter value after its own increment, on top of what the
+    counters stood at ``before`` (page, visits), zero if nothing is said.
 
     ``order`` must be unique within a page. The visits are cut into ``slices`` by page
     and order, so a page of any size spreads over many of them, sorted, and written to
@@ -54,6 +56,11 @@ def visit_number(
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
         .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     )
+    if before is not None:
+        stood = before.select(F.col(page).alias("_known"), F.col("visits").alias("_stood"))
+        same = F.col("_page").eqNullSafe(F.col("_known"))
+        counted = F.col("_before") + F.coalesce("_stood", F.lit(0))
+        starts = starts.join(stood, same, "left").withColumn("_before", counted)
     met = F.col(page).eqNullSafe(F.col("_page")) & (F.col("_slice") == F.col("_at"))
     number = F.col("_place") - F.col("_first") + F.col("_before") + 1
     return sliced.join(starts, met).select(

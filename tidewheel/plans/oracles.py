@@ -279,6 +279,20 @@ group by e.label, c""",
     "nb_predict_stream": f"""{LINE_SCORED}
 select l_orderkey, l_linenumber, positive as result, cast(null as varchar) as error
 from s""",
+    "event_counts": f"""{LINE_SCORED}
+select count(*) as received, count(*) as scored, 0::bigint as rejected,
+  cast(sum(positive::int) as bigint) as positive
+from s""",
+    "nb_predict_refreshed": f"""{LINES},
+p0 as ({_line_class(0)}),
+p1 as ({_line_class(1)}),
+e0 as ({_line_class(0)} and l_linenumber <= 3),
+e1 as ({_line_class(1)} and l_linenumber <= 3)
+select l_orderkey, l_linenumber, {_line_joint(1)} > {_line_joint(0)} as result
+from t cross join p0 cross join p1 where l_linenumber <= 3
+union all
+select l_orderkey, l_linenumber, {_line_joint(1)} > {_line_joint(0)}
+from t cross join e0 cross join e1 where l_linenumber > 3""",
     "header_decode": f"""with {HEADERS}
 select event_id, unnest(range(3))::int as place,
   unnest(['correlationId', 'trace', 'instanceId']) as key, unnest([c, 'T', i]) as text
@@ -376,3 +390,14 @@ from requests q where not exists (select 1 from replies p where p.cid = q.cid)
 group by 1""",
 }
 ORACLES["visit_count_resume"] = ORACLES["visit_count"]
+ORACLES["topic_backlog_live"] = """
+select count(*) filter (ts < timestamp '2024-01-16') as received,
+  count(*) filter (ts >= timestamp '2024-01-16') as backlog
+from events where event_type <> 'error'"""
+ORACLES["visit_number_live"] = ORACLES["visit_number"]
+ORACLES["results_from_latest_stream"] = ORACLES["results_from_latest"]
+ORACLES["reply_outcomes_live"] = ORACLES["reply_roundtrip_stream"]
+ORACLES["reply_timeouts_live"] = ORACLES["reply_timeouts"]
+ORACLES["nb_log_likelihood_long"] = ORACLES["nb_log_likelihood"]
+ORACLES["nb_predict_long"] = f"""{EMBEDDING_SCORED}
+select vec_id, c as predicted, c = 1 as positive from rk where r = 1"""

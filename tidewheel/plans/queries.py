@@ -13,6 +13,7 @@ from tidewheel.functions import scoring as sc
 from tidewheel.functions.clock import epoch_micros
 from tidewheel.operators import correlation as co
 from tidewheel.operators import counters as ct
+from tidewheel.operators import long_scoring as lg
 from tidewheel.operators import metrics as mt
 from tidewheel.operators import training as tr
 from tidewheel.plans import tables as tb
@@ -20,6 +21,9 @@ from tidewheel.schemas import (
     CORRELATION_HEADER,
     FEATURE_COLUMNS,
     INSTANCE_HEADER,
+    MESSAGE_SCHEMA,
+    REQUEST_TOPIC,
+    RESULT_TOPIC,
     training_schema,
 )
 from tidewheel.session import scratch_path, streaming_session
@@ -27,7 +31,9 @@ from tidewheel.sources import lake, load, model_store, topics
 from tidewheel.streaming import counts
 from tidewheel.streaming import scoring as st
 from tidewheel.streaming.correlation import replay_roundtrip
-from tidewheel.streaming.runner import run_available
+from tidewheel.streaming.pending import replay_outcomes
+from tidewheel.streaming.progress import ProgressLog, live_backlog, observed
+from tidewheel.streaming.runner import finished, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,34 +110,48 @@ def model_json_read(spark, sf_dir):
     return rows.withColumn("class_prior", F.round("class_prior", 9))
 
 
+def _landed(spark, sf_dir, topic: str) -> str:
+    """Brokers of a folder topic that holds every line as a message."""
+    brokers = f"{topics.FOLDER}{scratch_path(spark, topic)}"
+    topics.land_messages(tb.line_messages(tb.table(spark, sf_dir, "lineitem")), brokers, topic)
+    return brokers
+
+
+def _received(spark, brokers: str) -> DataFrame:
+    return topics.topic_source(
+        streaming_session(spark), brokers, REQUEST_TOPIC, max_bytes_per_trigger=TRIGGER_BYTES
+    )
+
+
 @query
 def topic_source(spark, sf_dir):
-    session = streaming_session(spark)
+    brokers = _landed(spark, sf_dir, REQUEST_TOPIC)
     folder = scratch_path(spark, "topic-source")
-    lines = tb.table_stream(session, sf_dir, "lineitem", TRIGGER_BYTES)
-    run_available(tb.line_messages(lines), f"{folder}/checkpoint", f"{folder}/out")
-    received = spark.read.parquet(f"{folder}/out")
+    run_available(_received(spark, brokers), f"{folder}/checkpoint", f"{folder}/out")
+    received = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{folder}/out")
     return received.select(
         hd.header_lookup("headers", CORRELATION_HEADER).cast("string").alias("cid"),
         F.col("value").cast("string").alias("value"),
     )
 
 
+def _read_model(spark, sf_dir) -> sc.Model:
+    return sc.load_model(model_store.model_json_read(spark, _stored_model(spark, sf_dir)))
+
+
 def _scored_stream(spark, sf_dir) -> DataFrame:
-    model = sc.load_model(
-        model_store.model_json_read(spark, _stored_model(spark, sf_dir))
-    )
     lines = tb.table_stream(streaming_session(spark), sf_dir, "lineitem", TRIGGER_BYTES)
-    return st.score_messages(tb.line_messages(lines), model)
+    return st.score_messages(tb.line_messages(lines), _read_model(spark, sf_dir))
 
 
 @query
 def topic_sink(spark, sf_dir):
-    folder = scratch_path(spark, "topic-sink")
-    results = st.result_messages(_scored_stream(spark, sf_dir))
-    run_available(results, f"{folder}/checkpoint", f"{folder}/out")
+    brokers = _landed(spark, sf_dir, REQUEST_TOPIC)
+    scored = st.score_messages(_received(spark, brokers), _read_model(spark, sf_dir))
+    checkpoint = f"{scratch_path(spark, 'topic-sink')}/checkpoint"
+    finished(topics.topic_sink(st.result_messages(scored), brokers, RESULT_TOPIC, checkpoint))
     return (
-        spark.read.parquet(f"{folder}/out")
+        topics.topic_table(spark, brokers, RESULT_TOPIC)
         .select(
             F.col("value").cast("string").alias("value"),
             F.posexplode(hd.header_decode("headers")).alias("place", "h"),
@@ -168,6 +188,25 @@ def results_from_latest(spark, sf_dir):
     return seen.withColumn("reply_ts", F.date_format("reply_ts", STAMP))
 
 
+@query
+def results_from_latest_stream(spark, sf_dir):
+    """A consumer joins after the early replies landed, stops, and goes on later."""
+    session = streaming_session(spark)
+    folder = scratch_path(spark, "joined")
+    stored = tb.replies(_events(spark, sf_dir))
+    late, later = (
+        F.col("reply_ts") > F.lit(at).cast("timestamp_ntz")
+        for at in ("2024-01-16 00:00:00", "2024-01-24 00:00:00")
+    )
+    for arrived in (stored.where(~late), stored.where(late & ~later), stored.where(later)):
+        arrived.write.mode("append").parquet(f"{folder}/topic")
+        stream = topics.file_topic(session, f"{folder}/topic", stored.schema)
+        topics.start_from_latest(stream, f"{folder}/checkpoint", f"{folder}/out")
+        run_available(stream, f"{folder}/checkpoint", f"{folder}/out")
+    seen = spark.read.schema(stored.schema).parquet(f"{folder}/out")
+    return seen.withColumn("reply_ts", F.date_format("reply_ts", STAMP))
+
+
 def _message_values(messages: DataFrame, decimals: int) -> DataFrame:
     """The messages' fields, and their first, last and summed values."""
     values = F.map_values("m")
@@ -209,11 +248,13 @@ def lake_listing(spark, sf_dir):
 
 @query
 def lake_ingest(spark, sf_dir):
+    """Two files, the second of them twice under one name."""
     folder = scratch_path(spark, "ingest")
     events = _events(spark, sf_dir).select("event_id", "event_type", "user_id")
     late = F.col("event_id") % 2 == 1
     for name, rows in (("early", events.where(~late)), ("late", events.where(late))):
         rows.write.csv(f"{folder}/{name}")
+    for name in ("early", "late", "late"):
         lake.lake_ingest(spark, f"{folder}/{name}", f"{folder}/landing")
     fields = F.split("value", ",")
     return (
@@ -239,6 +280,20 @@ def event_log(spark, sf_dir):
     return st.event_log(scored, "l_orderkey", "l_linenumber")
 
 
+@query
+def event_counts(spark, sf_dir):
+    """What the scoring stream reported of all its micro-batches, next to its rows."""
+    session = streaming_session(spark)
+    folder = scratch_path(spark, "observed")
+    with ProgressLog(session, f"{folder}/progress") as log:
+        lines = tb.table_stream(session, sf_dir, "lineitem", TRIGGER_BYTES)
+        scored = st.score_messages(tb.line_messages(lines), _read_model(spark, sf_dir))
+        log.wait(run_available(st.observe_events(scored), f"{folder}/checkpoint"))
+    total = observed(session, f"{folder}/progress")
+    counts = ("received", "scored", "rejected", "positive")
+    return total.agg(*[F.sum(c).alias(c) for c in counts])
+
+
 # Projection, filter, preprocessing
 
 
@@ -444,6 +499,40 @@ def nb_predict_stream(spark, sf_dir):
     )
 
 
+@query
+def nb_predict_refreshed(spark, sf_dir):
+    """Early lines are scored by the first model; before the others come, a model trained
+    on the early lines alone is published, and scores them."""
+    session = streaming_session(spark)
+    folder = scratch_path(spark, "refreshed")
+    lines = tb.line_rows(spark, sf_dir)
+    early = F.col("l_linenumber") <= 3
+    known = lines.where(F.col("target").isNotNull())
+    for part, learnt in ((early, known), (~early, known.where(early))):
+        model_store.publish_model(tr.nb_model(learnt, tb.LINE_FEATURES), f"{folder}/models")
+        messages = tb.line_messages(lines.where(part))
+        messages.write.mode("append").parquet(f"{folder}/messages")
+        stream = topics.file_topic(session, f"{folder}/messages", messages.schema)
+        finished(st.score_with_latest(stream, f"{folder}/models", folder))
+    return st.scored_messages(session, folder).select("l_orderkey", "l_linenumber", "result")
+
+
+def _long_embeddings(spark, sf_dir) -> tuple:
+    model = lg.stored_model_rows(tb.embedding_model_record(spark, sf_dir))
+    return tb.embedding_rows(spark, sf_dir), "vec_id", "embedding", model
+
+
+@query
+def nb_log_likelihood_long(spark, sf_dir):
+    scores = lg.nb_log_likelihood_long(*_long_embeddings(spark, sf_dir), block=16)
+    return scores.withColumn("log_likelihood", F.round("log_likelihood", 6))
+
+
+@query
+def nb_predict_long(spark, sf_dir):
+    return lg.nb_predict_long(*_long_embeddings(spark, sf_dir), block=16)
+
+
 # Headers, payloads, ids
 
 
@@ -588,6 +677,22 @@ def reply_roundtrip_stream(spark, sf_dir):
     return outcomes.drop("ts")
 
 
+def _live_outcomes(spark, sf_dir, label: str) -> DataFrame:
+    events = tb.zoned(tb.table(streaming_session(spark), sf_dir, "events"))
+    return replay_outcomes(tb.requests(events), tb.replies(events), scratch_path(spark, label))
+
+
+@query
+def reply_outcomes_live(spark, sf_dir):
+    return _live_outcomes(spark, sf_dir, "live-outcomes").drop("ts")
+
+
+@query
+def reply_timeouts_live(spark, sf_dir):
+    outcomes = _live_outcomes(spark, sf_dir, "live-timeouts")
+    return outcomes.where(~F.col("ok")).select("cid", "inst")
+
+
 # Counters and metrics
 
 
@@ -623,6 +728,20 @@ def visit_count_resume(spark, sf_dir):
     return counts.read_visits(session, f"{folder}/checkpoint")
 
 
+@query
+def visit_number_live(spark, sf_dir):
+    """Visits that arrive in two runs of one checkpoint."""
+    session = streaming_session(spark)
+    folder = scratch_path(spark, "visits-numbered")
+    visits = tb.visits(_events(spark, sf_dir))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for arrived in (visits.where(early), visits.where(~early)):
+        arrived.write.mode("append").parquet(f"{folder}/visits")
+        stream = topics.file_topic(session, f"{folder}/visits", visits.schema)
+        finished(counts.number_visits(stream, folder, order=("ts", "event_id")))
+    return counts.numbered_visits(session, folder).select("page", "event_id", "visit")
+
+
 @query
 def metric_latest(spark, sf_dir):
     latest = mt.metric_latest(tb.samples(_events(spark, sf_dir)))
@@ -647,3 +766,22 @@ def topic_backlog(spark, sf_dir):
     requests, results = _sides(spark, sf_dir)
     backlog = co.topic_backlog(requests, results, F.to_date("ts"))
     return backlog.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+
+
+@query
+def topic_backlog_live(spark, sf_dir):
+    """What a stopped consumer is behind once the second half of the month has landed."""
+    session = streaming_session(spark)
+    folder = scratch_path(spark, "backlog")
+    requests = tb.requests(_events(spark, sf_dir))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    requests.where(early).write.parquet(f"{folder}/topic")
+    with ProgressLog(session, f"{folder}/progress") as log:
+        stream = topics.file_topic(session, f"{folder}/topic", requests.schema)
+        log.wait(run_available(stream, f"{folder}/checkpoint"))
+    requests.where(~early).write.mode("append").parquet(f"{folder}/topic")
+    landed = spark.read.schema(requests.schema).parquet(f"{folder}/topic").count()
+    behind = live_backlog(session, f"{folder}/progress", landed)
+    return behind.groupBy("query").agg(
+        F.max("received").alias("received"), F.min("backlog").alias("backlog")
+    ).drop("query")

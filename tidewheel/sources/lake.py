@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,15 +68,38 @@ def lake_ingest(
     name: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add a raw text file to the landing path, under ``name`` or the source's own, and
-    return its lines there. Earlier objects stay.
+    """Put a raw text file into the landing path as the object ``name``, or the source's
+    own name, and return its lines there. An object of that name is replaced, others stay.
 
     The file is copied in parallel, line by line: its bytes are kept, carriage returns
-    included, but for a line end after a last line that has none.
+    included, but for a line end after a last line that has none. The lines are staged
+    beside the landing path and take the old object's place when all are written, so a
+    job that fails on the way or runs again leaves one whole copy.
     """
     given = dict(options or {})
+    landing = landing.rstrip("/")
     name = name or source.rstrip("/").rpartition("/")[2]
-    target = f"{landing.rstrip('/')}/{name}"
+    target = f"{landing}/{name}"
+    staged = f"{landing}.staged/{uuid.uuid4().hex}"
     lines = spark.read.options(**given).option("lineSep", "\n").text(source)
-    lines.write.options(**given).mode("append").option("lineSep", "\n").text(target)
+    lines.write.options(**given).option("lineSep", "\n").text(f"{staged}/new")
+    _replace(spark, staged, target, given)
     return spark.read.options(**given).text(target)
+
+
+def _replace(spark: SparkSession, staged: str, target: str, options: Mapping) -> None:
+    """Move ``staged``/new to ``target``; what was there moves aside first and then goes."""
+    hadoop = spark._jvm.org.apache.hadoop
+    settings = hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    for key, value in options.items():
+        settings.set(key, str(value))
+    files = hadoop.fs.Path(target).getFileSystem(settings)
+    place, new, old, all_of_it = (
+        hadoop.fs.Path(p) for p in (target, f"{staged}/new", f"{staged}/old", staged)
+    )
+    files.mkdirs(place.getParent())
+    if files.exists(place) and not files.rename(place, old):
+        raise OSError(f"cannot move {target} aside")
+    if not files.rename(new, place):
+        raise OSError(f"cannot move {staged}/new to {target}")
+    files.delete(all_of_it, True)

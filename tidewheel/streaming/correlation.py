@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -96,6 +96,26 @@ def time_cuts(rows: DataFrame, at: str, pieces: int) -> list[datetime]:
     return sorted(set(cuts or []))
 
 
+def arrivals(
+    sides: Sequence[tuple[DataFrame, str, str]],
+    times: DataFrame,
+    rows: int,
+    piece_rows: int,
+) -> Iterator[None]:
+    """Write the sides (rows, their time, folder) in time order, about ``piece_rows`` of
+    the ``rows`` of ``times`` (ts) each time; rows without a time stay out."""
+    cuts = time_cuts(times, "ts", -(-rows // piece_rows))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        for side, at, path in sides:
+            piece = side.where(F.col(at).isNotNull())
+            if low is not None:
+                piece = piece.where(F.col(at) >= F.lit(low))
+            if high is not None:
+                piece = piece.where(F.col(at) < F.lit(high))
+            piece.write.mode("append").parquet(path)
+        yield
+
+
 def replay_roundtrip(
     requests: DataFrame,
     replies: DataFrame,
@@ -144,15 +164,7 @@ def replay_roundtrip(
             timeout=timeout,
         )
 
-    cuts = time_cuts(times, "ts", -(-rows // piece_rows))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        for side, at, path in sides:
-            piece = side.where(F.col(at).isNotNull())
-            if low is not None:
-                piece = piece.where(F.col(at) >= F.lit(low))
-            if high is not None:
-                piece = piece.where(F.col(at) < F.lit(high))
-            piece.write.mode("append").parquet(path)
+    for _ in arrivals(sides, times, rows, piece_rows):
         run()
 
     # Past the time-out of the last request, the lateness, and the slots' width.

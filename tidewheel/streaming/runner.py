@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def run_available(
@@ -21,6 +23,11 @@ def run_available(
     writer = (
         writer.format("parquet").option("path", path) if path else writer.format("noop")
     )
+    return finished(writer, timeout)
+
+
+def finished(writer: DataStreamWriter, timeout: float | None = None) -> StreamingQuery:
+    """Start a query over everything available and wait for its end."""
     query = writer.trigger(availableNow=True).start()
     if timeout is None:
         query.awaitTermination()
@@ -28,3 +35,12 @@ def run_available(
         query.stop()
         raise TimeoutError(f"streaming query not done after {timeout} s")
     return query
+
+
+def batchwise(
+    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str
+) -> DataStreamWriter:
+    """Writer that hands each micro-batch and its number to ``work``. A batch that fails
+    comes again with the same number and rows, so work that replaces what it wrote under
+    that number is done exactly once."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)

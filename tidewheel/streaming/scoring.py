@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidewheel.functions.headers import header_decode, header_forward
 from tidewheel.functions.payloads import feature_error, feature_map, numbers
-from tidewheel.functions.scoring import Model, nb_predict_batch
+from tidewheel.functions.scoring import Model, load_model, nb_predict_batch
+from tidewheel.sources.model_store import latest_model
+from tidewheel.streaming.runner import batchwise
 
 
 def score_messages(messages: DataFrame, model: Model, form: str = "auto") -> DataFrame:
@@ -32,6 +35,28 @@ def score_messages(messages: DataFrame, model: Model, form: str = "auto") -> Dat
     )
 
 
+def score_with_latest(
+    messages: DataFrame, models: str, folder: str, form: str = "auto"
+) -> DataStreamWriter:
+    """Writer that scores each micro-batch of ``messages`` with the newest model
+    published below ``models`` when the batch starts; ``scored_messages`` reads the rows.
+
+    The record is fetched once a batch, after a check of its size, and scoring stays
+    map-only. A batch that comes again replaces its rows, scored by the then newest model.
+    """
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        model = load_model(latest_model(batch.sparkSession, models))
+        scored = score_messages(batch, model, form)
+        scored.write.mode("overwrite").parquet(f"{folder}/scored/batch={batch_id}")
+
+    return batchwise(messages, score, f"{folder}/checkpoint")
+
+
+def scored_messages(session: SparkSession, folder: str) -> DataFrame:
+    return session.read.parquet(f"{folder}/scored").drop("batch")
+
+
 def observe_events(scored: DataFrame, name: str = "events") -> DataFrame:
     """The same rows, with their counts reported in the query's progress: what to
     watch where a line per event is too much."""
