@@ -29,13 +29,18 @@ _NUMBER = (
     r"|^\s*[+-]?(?:inf|infinity|nan)\s*$"
 )
 _QUOTED_BOOLEAN = r':\s*"(?:true|false)"\s*[,}]'
+# What nearly all messages look like: an object without a brace inside, even in texts, and
+# values that only have characters of plain numbers, joined.
+_PLAIN_OBJECT = r"^\s*+\{[^{}]*+\}\s*$"
+_PLAIN_NUMBERS = r"^[0-9.+\-eE,]*+$"
 
 
 def feature_map(value: str | Column) -> Column:
     """A flat JSON object as a map of texts, in the object's own order."""
     text = _column(value).cast("string")
     bare = F.regexp_replace(text, _QUOTED, '""')
-    return F.when(bare.rlike(_FLAT_OBJECT), F.from_json(text, "map<string,string>"))
+    flat = F.when(text.rlike(_PLAIN_OBJECT), True).otherwise(bare.rlike(_FLAT_OBJECT))
+    return F.when(flat, F.from_json(text, "map<string,string>"))
 
 
 def numbers(texts: str | Column, value: str | Column) -> Column:
@@ -51,7 +56,15 @@ def numbers(texts: str | Column, value: str | Column) -> Column:
             .when(~told & (v == "false"), F.lit(0.0))
         )
 
-    return F.transform(_column(texts), number)
+    def plain(v: Column) -> Column:
+        return v.try_cast("double")
+
+    # A one-element transform binds the texts, which are then worked out once a message.
+    def each(own: Column) -> Column:
+        simple = F.array_join(own, ",").rlike(_PLAIN_NUMBERS)
+        return F.when(simple, F.transform(own, plain)).otherwise(F.transform(own, number))
+
+    return F.get(F.transform(F.array(_column(texts)), each), F.lit(0))
 
 
 def json_features(value: str | Column) -> Column:

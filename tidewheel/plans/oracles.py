@@ -158,7 +158,7 @@ f as (
 
 
 def _drawn(field: int) -> str:
-    digits = f"substr(md5(event_id || '|{field}|0'), 1, 13)"
+    digits = f"substr(sha256(event_id || '|{field // 4}|0'), {1 + 13 * (field % 4)}, 13)"
     return f"cast(cast('0x' || {digits} as bigint) as double) / 4503599627370496e0"
 
 
