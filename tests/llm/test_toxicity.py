@@ -69,3 +69,69 @@ def test_labels_are_learnt_from_usable_rows_alone(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
     flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.train(docs, labels, ~held_out()) == toxicity.train(docs, flipped, ~held_out())
+
+
+def test_sample_is_bounded_and_exact_whatever_the_ids(spark):
+    """A third of all rows share one id, as many are one row again and again."""
+    rows = [(7, f"text {i}") for i in range(3_000)] + [(8, "the same")] * 3_000
+    rows += [(i, f"own {i}") for i in range(10, 3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    hashed = docs.withColumn("_hash", F.xxhash64(F.lit(23), "doc_id", "text"))
+    for most in (1, 500, 5_000, 100_000):
+        sample = toxicity._sample(hashed, most).collect()
+        assert len(sample) == min(most, 5_991)
+        every = sorted({r["_hash"] for r in hashed.collect()})
+        assert [r["_hash"] for r in sample] == every[:most]
+    assert toxicity._sample(hashed.limit(0), 5).collect() == []
+
+
+def plain_fit(positive, unlabelled, prior, epochs, rate=0.05, decay=5e-4):
+    """The same risk and steps on dense rows, gradients from its definition."""
+    n = 1 + max(int(r.max()) for r in positive + unlabelled)
+    dense = [np.zeros((len(s), n + 1)) for s in (positive, unlabelled)]
+    for matrix, side in zip(dense, (positive, unlabelled)):
+        matrix[:, -1] = 1
+        for i, own in enumerate(side):
+            matrix[i, own] = 1
+    p, u = dense
+    w = np.zeros(n + 1)
+    w[-1] = np.log(prior / (1 - prior + 1e-9))
+    first, second, later = np.zeros(n + 1), np.zeros(n + 1), []
+    for step in range(1, epochs + 1):
+        sp, su = (1 / (1 + np.exp(-m @ w)) for m in (p, u))
+        toxic_as_clean = prior * (p * sp[:, None]).mean(axis=0)
+        clean = (u * su[:, None]).mean(axis=0) - toxic_as_clean
+        risk = np.mean(np.log1p(np.exp(u @ w))) - prior * np.mean(np.log1p(np.exp(p @ w)))
+        toxic = prior * (p * (sp - 1)[:, None]).mean(axis=0)
+        grad = toxic + clean if risk >= 0 else -clean
+        grad[:-1] += decay * w[:-1]
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        if 2 * step > epochs:
+            later.append(w)
+    return np.mean(later, axis=0)
+
+
+def test_risk_and_score_against_plain_numpy():
+    rng = np.random.default_rng(4)
+
+    def rows(n, toxic):
+        return [
+            np.unique(np.append(rng.integers(3, 30, 8), [1, 2] if toxic else [0])) for _ in range(n)
+        ]
+
+    positive, unlabelled = rows(40, True), rows(25, True) + rows(120, False)
+    for prior in (0.15, 0.6):
+        model = toxicity.fit(positive, unlabelled, prior, epochs=80, least_apart=0.0)
+        expected = plain_fit(
+            [r[np.isin(r, list(model.weights))] for r in positive],
+            [r[np.isin(r, list(model.weights))] for r in unlabelled],
+            prior,
+            80,
+        )
+        for i, weight in model.weights.items():
+            assert np.isclose(weight, expected[i], atol=1e-6), i
+        assert np.isclose(model.bias, expected[-1], atol=1e-6)
+        for own in rows(5, True):
+            z = model.bias + sum(model.weights.get(int(i), 0.0) for i in own)
+            assert np.isclose(model.score(own), 1 / (1 + np.exp(-z)))

@@ -174,6 +174,17 @@ def _feature_rows(docs: DataFrame, text: str, label: str) -> list[np.ndarray]:
     return [np.frombuffer(r[0], np.int32) for r in rows.collect()]
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of smallest ``_hash``, which says id and text; repeated rows are
+    one. A share somewhat too large is cut out first, so few rows are put in order."""
+    n = rows.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
+    share = min(1.0, 1.3 * (most + 100) / max(n, 1))
+    if share < 1.0:
+        low = -(2**63)
+        rows = rows.where(F.col("_hash") < low + int(share * 2**64))
+    return rows.dropDuplicates(["_hash"]).orderBy("_hash").limit(most)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -190,9 +201,10 @@ def train(
 
     ``usable`` is a condition on ``doc_id``; documents and labels it does not hold for
     are not used. Without ``prior`` the share of label 1 in the usable labels is taken.
-    The sample is bounded: the ``max_positive`` labelled ids of smallest hash, and
-    documents whose hash lies below the share that gives ``max_unlabelled``. Null ids,
-    null labels and empty texts teach nothing. Without a confirmed example every score
+    The sample is bounded whatever the ids: the ``max_positive`` labelled ids of smallest
+    hash, of their rows as many at most, and the ``max_unlabelled`` usable rows of smallest
+    hash of id and text; rows equal in both are one. Null ids, null labels and empty texts
+    teach nothing. Without a confirmed example every score
     is near 0.
     """
     known = labels.where(usable & F.col(doc_id).isNotNull() & F.col(toxic).isNotNull())
@@ -209,15 +221,12 @@ def train(
         .orderBy(order, doc_id)
         .limit(max_positive)
     )
-    texts = docs.where(usable & (F.length(text) > 0)).select(doc_id, text)
-    positive = _feature_rows(texts.join(F.broadcast(confirmed), doc_id), text, "found")
-    n = docs.count()
-    share = int(min(1.0, max_unlabelled / max(n, 1)) * (1 << 30))
-    unlabelled = _feature_rows(
-        texts.where(F.pmod(F.xxhash64(F.lit(23), F.col(doc_id)), F.lit(1 << 30)) < share),
-        text,
-        "found",
+    texts = docs.where(usable & F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(
+        doc_id, text, F.xxhash64(F.lit(23), F.col(doc_id), F.col(text)).alias("_hash")
     )
+    named = texts.join(F.broadcast(confirmed), doc_id)
+    positive = _feature_rows(_sample(named, max_positive), text, "found")
+    unlabelled = _feature_rows(_sample(texts, max_unlabelled), text, "found")
     return fit(positive, unlabelled, prior if prior is not None else ones / total)
 
 
