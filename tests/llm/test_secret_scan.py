@@ -118,3 +118,56 @@ def test_plan_is_native_and_empty_tables_pass(scanned):
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange RoundRobin" in plan
     assert secret_scan.secret_spans(scanned.drop("secrets").limit(0)).count() == 0
+
+
+def sliding(run, cls):
+    """``windows`` with counts kept up to date."""
+    term = [0] + [round(c * math.log2(c) * secret_scan.MILLION) for c in range(1, cls.window + 1)]
+    counts, missing, spans = dict.fromkeys(run, 0), 0, []
+    for i, char in enumerate(run):
+        if i >= cls.window:
+            gone = run[i - cls.window]
+            counts[gone] -= 1
+            missing += term[counts[gone]] - term[counts[gone] + 1]
+        counts[char] += 1
+        missing += term[counts[char]] - term[counts[char] - 1]
+        start = i + 1 - cls.window
+        if start >= 0 and missing <= cls.most_missing:
+            if spans and spans[-1][1] >= start:
+                spans[-1][1] = i + 1
+            else:
+                spans.append([start, i + 1])
+    return spans
+
+
+def long_runs(spark, runs, cls):
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "id int, run string")
+    found = docs.select("id", secret_scan.hot_spans(F.col("run"), cls).alias("spans")).collect()
+    return {r["id"]: [[s["start"], s["stop"]] for s in r["spans"]] for r in found}
+
+
+def test_runs_of_any_length(spark):
+    cls, rng = secret_scan.CLASSES[1], random.Random(8)
+    mixed = string.ascii_letters + string.digits + "+/"
+    runs = []
+    for n in (20, 21, 492, 493, 494, 511, 512, 513, 986, 1004, 1005, 1006, 3000):
+        runs.append("".join(rng.choices(mixed, k=n)))
+        # Hot and cold stretches in turn, with edges at all places of a strip.
+        parts = ["".join(rng.choices(mixed if i % 2 else "aB3", k=rng.randint(1, 60))) for i in range(n // 30 + 1)]
+        runs.append("".join(parts))
+    assert all(sliding(r, cls) == windows(r, cls) for r in runs)
+    assert long_runs(spark, runs, cls) == {i: sliding(r, cls) for i, r in enumerate(runs)}
+
+
+def test_a_run_of_a_million_characters(spark):
+    cls, rng = secret_scan.CLASSES[1], random.Random(9)
+    mixed = string.ascii_letters + string.digits + "+/"
+    run = "".join(
+        "".join(rng.choices(mixed if i % 2 else "aB3", k=rng.randint(1, 60))) for i in range(33_000)
+    )
+    assert len(run) > 1_000_000
+    assert long_runs(spark, [run], cls) == {0: sliding(run, cls)}
+    docs = spark.createDataFrame([(1, f"data:{run} token=abcdef")], "doc_id int, text string")
+    (row,) = secret_scan.secret_spans(docs).collect()
+    kinds = {s["kind"] for s in row["secrets"]}
+    assert {"assign", "entropy_base64"} <= kinds

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 MILLION = 1_000_000
 GROUP = 256
+# Characters of a long run that are scanned at a time.
+STRIP = 512
 
 
 @dataclass(frozen=True)
@@ -233,6 +235,55 @@ def hot_windows(run: Column, cls: CharClass) -> Column:
     )
 
 
+def hot_spans(run: Column, cls: CharClass) -> Column:
+    """``hot_windows`` of a run of any length, in time that grows with the length: the run
+    is cut into strips, each with the first characters of the next that windows reach
+    into, and spans that touch where strips meet are joined."""
+    w = cls.window
+    step = STRIP - w + 1
+
+    def strips(pieces: Column) -> Column:
+        # Whole strips first: a window's steps read theirs again and again.
+        whole = F.transform(
+            pieces,
+            lambda piece, i: F.concat(
+                piece, F.coalesce(F.left(F.get(pieces, i + 1), F.lit(w - 1)), F.lit(""))
+            ),
+        )
+        found = F.transform(
+            whole,
+            lambda strip, i: F.transform(
+                hot_windows(strip, cls),
+                lambda s: F.struct(
+                    (s["start"] + i * step).alias("start"), (s["stop"] + i * step).alias("stop")
+                ),
+            ),
+        )
+        return _bound(F.flatten(found), _joined)
+
+    pieces = F.regexp_extract_all(run, F.lit(f".{{1,{step}}}"), F.lit(0))
+    return _bound(pieces, strips)
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that touch as one."""
+    first = F.filter(
+        spans, lambda s, i: (i == 0) | (s["start"] > F.get(spans, i - 1)["stop"])
+    )
+    last = F.filter(
+        spans,
+        lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > s["stop"]),
+    )
+    return F.zip_with(
+        first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop"))
+    )
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _term(count: int) -> Column:
     return F.lit(round(count * math.log2(count) * MILLION)).cast("bigint")
 
@@ -286,19 +337,13 @@ def _class_spans(
 ) -> Column:
     """Hot spans of the class's runs, without allowed ones and those in ``base``."""
 
-    def cut(m: Column) -> Column:
-        return F.struct(
-            m["start"].alias("start"),
-            F.substring(whole, (m["start"] + 1).cast("int"), m["size"]).alias("run"),
-        )
-
     def suppressed(run: Column, s: Column) -> Column:
         own = F.substring(run, s["start"] + 1, s["stop"] - s["start"])
         return _any(F.rlike(own, F.lit(f"^(?:{a})$")) for a in allowed)
 
     def of_run(r: Column) -> Column:
         hot = F.filter(
-            hot_windows(r["run"], cls), lambda s: ~suppressed(r["run"], s)
+            hot_spans(r["run"], cls), lambda s: ~suppressed(r["run"], s)
         )
         return F.transform(
             hot,
@@ -309,7 +354,11 @@ def _class_spans(
         )
 
     runs = F.filter(
-        F.transform(matches(whole, cls.runs), cut),
+        F.zip_with(
+            matches(whole, cls.runs),
+            F.regexp_extract_all(whole, F.lit(cls.runs), F.lit(0)),
+            lambda m, run: F.struct(m["start"].alias("start"), run.alias("run")),
+        ),
         lambda r: _all(F.rlike(r["run"], F.lit(h)) for h in cls.having),
     )
     return F.filter(
