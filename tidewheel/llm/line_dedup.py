@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import BROADCAST_BYTES, octets, written
+from tidewheel.llm.common import BROADCAST_BYTES, WORD, octets, written
 
 RATIO = 0.1
 LEAST_PAGES = 10
@@ -143,6 +143,22 @@ def drop_boilerplate(
     )
 
 
+def without_boilerplate(docs: DataFrame, host: str, text: str, **options) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the column ``text`` and ``n_chars``
+    counted again. Copies do not vote: equal texts of a host are one page, and a document
+    that would lose most of its words is left whole, for a search for copies to judge."""
+    out = ("_clean", "_lines", "_dropped")
+    cleaned = drop_boilerplate(
+        docs, F.col(host), F.col(text), out=out, copies_count=False, **options
+    )
+    words, left = (F.regexp_count(c, F.lit(WORD)) for c in (text, "_clean"))
+    cut = F.when(F.col("_dropped") > 0, 2 * left >= words).otherwise(False)
+    kept = F.when(cut, F.col("_clean")).otherwise(F.col(text))
+    return cleaned.withColumns({text: kept, "n_chars": F.length(kept).cast("bigint")}).select(
+        *docs.columns
+    )
+
+
 def _shown(text: Column) -> Column:
     """Lines that are more than white space; none for null."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: _trimmed(x) != "")
