@@ -98,3 +98,23 @@ def test_a_hot_length_is_ranked_in_many_groups(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in packed}) == 5000
     assert len({r["sequence_id"] for r in packed}) == -(-5000 // 3)
     assert {r["note"] for r in packed} == {"e"}
+
+
+def test_words_and_the_punctuation_behind_them():
+    """Cores and tails against the tokenizer on whole texts."""
+    import pyarrow as pa
+
+    from tidewheel.llm.common import public_path, tokenizer
+
+    path = public_path("word_bpe_49k.json")
+    texts = [
+        "Word, word. WORD!? (word) \"word\" word's, word'S. it'll; end:",
+        "é. É, É! é. İ. ΣΑΣ. ß) “word”. word’. x…. 12. 3,4 5)",
+        "<|endoftext|> <|endoftext|>. a<|endoftext|>, <|ENDOFTEXT|>. <|startoftext|>!",
+        "", " ", "\t.\n", "a\x1c. b\x85, c\xa0. 日本. 日本。, K. ﬁn. ...", None, "ww&&& w&.",
+    ]
+    tokens, upto = packing.WordParts.of(path).tokens(pa.array([t or "" for t in texts]), 1)
+    tok = tokenizer(path)
+    for text, low, high in zip(texts, upto[:-1], upto[1:]):
+        expected = tok.encode(text or "", add_special_tokens=False).ids + [1]
+        assert tokens[low:high].tolist() == expected, text

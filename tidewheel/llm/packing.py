@@ -16,17 +16,21 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import WordTokens, by_bytes, tokenizer, utf8_column, written
+from tidewheel.llm.common import WordTokens, tokenizer, written
 
 CAPACITY = 4096
 END_ID = 1
+# Punctuation that may stand behind a word; no apostrophe, which contractions begin with.
+TAIL = b".,;:!?)&\""
 
 
 def tokenised_pieces(
@@ -60,38 +64,23 @@ def tokenised_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
-        cache = WordTokens(
-            lambda words: [
-                e.ids
-                for e in tok.encode_batch(
-                    [w.decode("utf-8", "replace") for w in words],
-                    add_special_tokens=False,
-                )
-            ]
-        )
-        end = np.array([end_id], np.int32)
+        words = WordParts.of(vocabulary)
         for batch in batches:
-            texts = utf8_column(batch, "text")
+            texts = pc.fill_null(batch.column(1), "")
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for low, high in by_bytes(texts):
-                cache.make_room()
-                numbers = []
-                for doc in texts[low:high]:
-                    words = doc.split()
-                    numbers.append(cache.numbers(words, len(words)))
-                cache.settle()
-                for i, own in enumerate(numbers, low):
-                    tokens = np.concatenate([cache.ids(own), end])
-                    for k, at in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[at : at + capacity]
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            for low, high in by_size(sizes):
+                tokens, upto = words.tokens(texts.slice(low, high - low), end_id)
+                for i, (begin, stop) in enumerate(zip(upto[:-1], upto[1:]), low):
+                    for k, at in enumerate(range(begin, stop, capacity)):
+                        part = tokens[at : min(at + capacity, stop)]
                         row.append(i)
                         piece.append(k)
-                        start.append(at)
+                        start.append(at - begin)
                         length.append(len(part))
-                        crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                        crc.append(zlib.crc32(part))
                         if with_ids:
-                            ids.append(part)
+                            ids.append(part.astype(np.int32))
             arrays = [
                 batch.column(0).take(pa.array(row, pa.int64())),
                 pa.array(piece, pa.int32()),
@@ -106,6 +95,101 @@ def tokenised_pieces(
     return source.mapInArrow(run, schema)
 
 
+def by_size(sizes: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` bytes or one text each."""
+    upto, low = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+    while low < len(sizes):
+        high = max(int(np.searchsorted(upto, upto[low] + limit, "right")) - 1, low + 1)
+        yield low, high
+        low = high
+
+
+def _is_letter(char: str) -> bool:
+    """A letter that stays one in lower case; others grow marks behind them."""
+    return char.isalpha() and len(char.lower()) == 1
+
+
+class WordParts:
+    """Ids of words. A word that is new falls into a core and the punctuation behind it,
+    where the tokenizer parts them itself: most rare words come with and without
+    punctuation, and in either case, so fewer are encoded. Workers keep what they know
+    between tasks, at most as many words as ``WordTokens`` holds."""
+
+    def __init__(self, vocabulary: str):
+        self.tok = tokenizer(vocabulary)
+        self.folds = self._normal("Ab") == "ab"
+        self.tails: dict[bytes, bool] = {}
+        self.ids: dict[bytes, list[int]] = {}
+        self.cache = WordTokens(self._encode)
+
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def of(vocabulary: str) -> WordParts:
+        return WordParts(vocabulary)
+
+    def _normal(self, text: str) -> str:
+        return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+
+    def _parts_off(self, tail: bytes) -> bool:
+        """Whether the tokenizer parts such punctuation from letters before it."""
+        if tail not in self.tails:
+            ahead, text = "ab", tail.decode()
+            split = self.tok.pre_tokenizer
+            alone = self._normal(text) == text and self._normal(ahead + text) == ahead + text
+            pieces = split.pre_tokenize_str(ahead + text) if split and alone else []
+            cuts = [span for _, span in pieces]
+            self.tails[tail] = bool(cuts) and cuts[0] == (0, len(ahead)) and len(cuts) == 2
+        return self.tails[tail]
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        # Special tokens are looked for in the text as it is.
+        if b"<|" in word:
+            return word, b""
+        if self.folds:
+            word = word.lower()
+        core = word.rstrip(TAIL)
+        if len(core) == len(word) or not core:
+            return word, b""
+        tail = word[len(core) :]
+        letter = core[-1:].isalpha() or (core[-1] > 127 and _is_letter(core.decode()[-1]))
+        return (core, tail) if letter and self._parts_off(tail) else (word, b"")
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.ids) > self.cache.limit:
+            self.ids.clear()
+        split = [self.parts(word) for word in words]
+        new = list({part for pair in split for part in pair if part not in self.ids})
+        found = self.tok.encode_batch(
+            [part.decode("utf-8", "replace") for part in new], add_special_tokens=False
+        )
+        self.ids.update((part, own.ids) for part, own in zip(new, found))
+        return [
+            self.ids[core] + self.ids[tail] if tail else self.ids[core] for core, tail in split
+        ]
+
+    def tokens(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts behind each other, each text's followed by ``end_id``, and
+        where each begins, with the end of all. The texts are split and their distinct
+        words found for all at once; empty words, around a text, have no ids."""
+        self.cache.make_room()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        known = self.cache.numbers(distinct, len(distinct))
+        self.cache.settle()
+        numbers = known[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.concatenate([[0], np.cumsum(self.cache.count[numbers], dtype=np.int64)])
+        words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        upto = ends[np.concatenate([[0], np.cumsum(words, dtype=np.int64)])]
+        # Behind each text one place is left for its end.
+        upto += np.arange(len(upto))
+        tokens = np.full(int(upto[-1]), end_id, "<u4")
+        inside = np.ones(len(tokens), bool)
+        inside[upto[1:] - 1] = False
+        tokens[inside] = self.cache.ids(numbers)
+        return tokens, upto.tolist()
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, list]:
     """Best fit, longest first, over counts: for each length its runs (first rank,
     first sequence, offset), by rank; a run ends where the next begins."""
