@@ -159,13 +159,13 @@ def test_runs_of_any_length(spark):
     assert long_runs(spark, runs, cls) == {i: sliding(r, cls) for i, r in enumerate(runs)}
 
 
-def test_a_run_of_a_million_characters(spark):
+def test_a_long_run_within_a_text(spark):
     cls, rng = secret_scan.CLASSES[1], random.Random(9)
     mixed = string.ascii_letters + string.digits + "+/"
     run = "".join(
-        "".join(rng.choices(mixed if i % 2 else "aB3", k=rng.randint(1, 60))) for i in range(33_000)
+        "".join(rng.choices(mixed if i % 2 else "aB3", k=rng.randint(1, 60))) for i in range(4_000)
     )
-    assert len(run) > 1_000_000
+    assert len(run) > 100_000
     assert long_runs(spark, [run], cls) == {0: sliding(run, cls)}
     docs = spark.createDataFrame([(1, f"data:{run} token=abcdef")], "doc_id int, text string")
     (row,) = secret_scan.secret_spans(docs).collect()
