@@ -20,14 +20,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.common import utf8_column, written
+from tidewheel.llm.pruning import KeyFilter
 
 SPAN = 20
 GRAM = 6
@@ -37,7 +38,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHashes(dict):
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -334,18 +335,25 @@ def _indexed(
         .select("least", F.lit(True).alias("large")),
         "large",
     )
+    # Start, number of windows and the mark in one number: a place takes two.
+    packed = (
+        F.shiftleft(F.col("first.start").cast("bigint"), 32)
+        + F.col("windows") * 2
+        + F.col("large").isNotNull().cast("int")
+    )
     wanted = (
         kinds.join(large, "least", "left")
         .groupBy(F.col("first.id").alias("need"), F.col("first.tie").alias("at"))
-        .agg(
-            F.collect_list(
-                F.struct("first.start", "windows", "least", F.col("large").isNotNull().alias("large"))
-            ).alias("parts")
+        .agg(F.collect_list(F.struct("least", packed.alias("place"))).alias("parts"))
+        .select(
+            "need",
+            "at",
+            F.transform("parts", lambda p: p["least"]).alias("leasts"),
+            F.transform("parts", lambda p: p["place"]).alias("places"),
         )
     )
-    texts = docs.join(
-        wanted, F.col("id").eqNullSafe(F.col("need")) & (F.col("tie") == F.col("at"))
-    ).select("id", "tie", "text", "parts")
+    maybe, _ = _met(docs.select("id", "tie", "text"), written(wanted, "wanted"))
+    texts = maybe.where("leasts is not null")
     schema = T.StructType(
         [
             *key,
@@ -360,14 +368,14 @@ def _indexed(
         cache = WordHashes()
         for batch in batches:
             row, start, bucket, large, out = [], [], [], [], []
-            parts = batch.column(3)
+            leasts, places = batch.column(3), batch.column(4)
             for i, doc in enumerate(utf8_column(batch, "text")):
                 words = cache.of(doc.split())
                 hashes = None
-                for part in parts[i].as_py():
-                    at, many = part["start"], part["windows"]
-                    if not part["large"]:
-                        cuts = [(at, at + many + span - 1, part["least"])]
+                for own, place in zip(leasts[i].as_py(), places[i].as_py()):
+                    at, many, split = place >> 32, (place & 0xFFFFFFFF) >> 1, bool(place & 1)
+                    if not split:
+                        cuts = [(at, at + many + span - 1, own)]
                     else:
                         if hashes is None:
                             hashes = _run_hash(words, span, 1).view(np.int64)
@@ -378,7 +386,7 @@ def _indexed(
                         row.append(i)
                         start.append(low)
                         bucket.append(key_)
-                        large.append(part["large"])
+                        large.append(split)
                         out.append(words[low:high].view(np.int64))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -418,29 +426,67 @@ def _indexed(
         ]
     )
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        # Rows that repeat a document bring its stretches again.
-        rows = rows.drop_duplicates(["id", "tie", "start"])
-        rows = rows.sort_values(["id", "tie", "start"], na_position="first")
-        earlier = repeated_windows(
-            [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], span
+    def judge(rows: pa.Table) -> pa.Table:
+        # In Arrow, not pandas, which makes numbers beside nulls inexact.
+        keys = ["id", "tie", "start"]
+        order = pc.sort_indices(
+            rows, [(k, "ascending") for k in keys], null_placement="at_start"
         )
+        rows = rows.take(order)
+        # Rows that repeat a document bring its stretches again.
+        rows = rows.filter(pa.array(~_repeated(rows.select(keys))))
+        words = rows.column("words").combine_chunks()
+        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        cuts = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        earlier = repeated_windows(np.split(flat, cuts[:-1]), span)
         found = [
-            (id_, tie, a, b)
-            for id_, tie, start, own in zip(rows["id"], rows["tie"], rows["start"], earlier)
+            (i, a, b)
+            for i, (start, own) in enumerate(zip(rows.column("start").to_pylist(), earlier))
             if own.any()
             for a, b in _spans(start, own, span)
         ]
-        return pd.DataFrame(found, columns=["id", "tie", "start", "stop"])
+        at = pa.array([i for i, _, _ in found], pa.int64())
+        return pa.table(
+            {
+                "id": rows.column("id").take(at),
+                "tie": rows.column("tie").take(at),
+                "start": pa.array([a for _, a, _ in found], pa.int32()),
+                "stop": pa.array([b for _, _, b in found], pa.int32()),
+            }
+        )
 
     repeats = (
         indexed.select("shard", "id", "tie", "start", "words")
         .groupBy("shard")
-        .applyInPandas(judge, result)
+        .applyInArrow(judge, result)
     )
     return repeats if again is None else repeats.unionByName(again)
 
 
+def _repeated(rows: pa.Table) -> np.ndarray:
+    """Whether each row equals the one before it; nulls are equal."""
+    same = np.ones(max(rows.num_rows - 1, 0), bool)
+    for column in rows.columns:
+        column = column.combine_chunks()
+        left, right = column[1:], column[:-1]
+        equal = pc.fill_null(pc.equal(left, right), False)
+        both = pc.and_(pc.is_null(left), pc.is_null(right))
+        same &= pc.or_(equal, both).to_numpy(zero_copy_only=False)
+    return np.concatenate([np.zeros(min(rows.num_rows, 1), bool), same])
+
+
+def _met(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, tie and others) joined to ``few`` (need, at, one list or more), which
+    has at most a row for each, and the rows that have none for sure. Texts without a row
+    are told by a filter of the keys, so they do not shuffle."""
+    keys = few.select(F.xxhash64("need", "at").alias("key"))
+    keyed = rows.withColumn("key", F.xxhash64("id", "tie"))
+    chosen = KeyFilter(keys)
+    met = F.col("id").eqNullSafe(F.col("need")) & (F.col("tie") == F.col("at"))
+    joined = chosen.split(keyed, True).join(few, met, "left").drop("key", "need", "at")
+    return joined, chosen.split(keyed, False).drop("key")
+
+
 def without_repeats(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -469,11 +515,8 @@ def without_repeats(
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans")),
         "repeats",
     )
-    rows = source.join(
-        spans,
-        F.col("id").eqNullSafe(F.col("need")) & (F.col("tie") == F.col("at")),
-        "left",
-    ).select("id", "tie", "text", "spans")
+    maybe, whole = _met(source, spans)
+    rows = maybe.unionByName(whole, allowMissingColumns=True)
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
