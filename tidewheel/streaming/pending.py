@@ -93,19 +93,28 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = expiredTimerInfo.getExpiryTimeInMs()
+            if clock == "event" and now == self.end(key):
+                # All requests of the slot are over before, so no reply matters.
+                self.replies.clear()
+                return
             over = [(tuple(k), v) for k, v in self.requests.iterator() if v[1] <= now]
             for name, (n, _) in over:
                 self.requests.removeKey(name)
                 yield from self.outcomes(key, name, n, False, None, None)
-            for at in [tuple(k) for k, v in self.replies.iterator() if v[1] <= now]:
-                self.replies.removeKey(at)
+            if clock == "wall":
+                for at in [tuple(k) for k, v in self.replies.iterator() if v[1] <= now]:
+                    self.replies.removeKey(at)
+
+        def end(self, key) -> int:
+            """The millisecond by which every request of the key's slot has timed out."""
+            return (key[-1] + 2) * width // 1000 + 1
 
         def keep(self, key, came, timerValues) -> None:
             """Replies may come before their request; they are kept as long as it can."""
             if not came:
                 return
             if clock == "event":
-                due = (key[-1] + 2) * width // 1000 + 1
+                due = self.end(key)
             else:
                 due = timerValues.getCurrentProcessingTimeInMs() + 2 * width // 1000
             for at, result in came.items():
