@@ -113,7 +113,7 @@ def test_words_and_the_punctuation_behind_them():
         "<|endoftext|> <|endoftext|>. a<|endoftext|>, <|ENDOFTEXT|>. <|startoftext|>!",
         "", " ", "\t.\n", "a\x1c. b\x85, c\xa0. 日本. 日本。, K. ﬁn. ...", None, "ww&&& w&.",
     ]
-    tokens, upto = packing.WordParts.of(path).tokens(pa.array([t or "" for t in texts]), 1)
+    tokens, upto = packing.WordParts(path).tokens(pa.array([t or "" for t in texts]), 1)
     tok = tokenizer(path)
     for text, low, high in zip(texts, upto[:-1], upto[1:]):
         expected = tok.encode(text or "", add_special_tokens=False).ids + [1]

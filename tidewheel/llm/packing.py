@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +63,7 @@ def tokenised_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordParts.of(vocabulary)
+        words = WordParts(vocabulary)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             row, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -112,8 +111,8 @@ def _is_letter(char: str) -> bool:
 class WordParts:
     """Ids of words. A word that is new falls into a core and the punctuation behind it,
     where the tokenizer parts them itself: most rare words come with and without
-    punctuation, and in either case, so fewer are encoded. Workers keep what they know
-    between tasks, at most as many words as ``WordTokens`` holds."""
+    punctuation, and in either case, so fewer are encoded. What is known ends with the
+    task: kept by the workers it would take memory from the stages that follow."""
 
     def __init__(self, vocabulary: str):
         self.tok = tokenizer(vocabulary)
@@ -122,11 +121,6 @@ class WordParts:
         self.ids: dict[bytes, list[int]] = {}
         self.cache = WordTokens(self._encode)
 
-    @staticmethod
-    @lru_cache(maxsize=2)
-    def of(vocabulary: str) -> WordParts:
-        return WordParts(vocabulary)
-
     def _normal(self, text: str) -> str:
         return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
 
