@@ -7,7 +7,7 @@ too small for them lets more rows through, and loses none.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,11 @@ class KeyFilter:
 
     def split(self, rows: DataFrame, inside: bool) -> DataFrame:
         """The rows (with a column ``key``) that may be in, or those that are not."""
+        return rows.mapInArrow(self.choosing(rows, inside), rows.schema)
+
+    def choosing(self, rows: DataFrame, inside: bool) -> Callable:
+        """``split`` as a step on batches of ``rows``, for a function that goes on with
+        them in the same worker."""
         shared, place = self.table, rows.columns.index("key")
 
         def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,4 +61,4 @@ class KeyFilter:
                         bits |= np.int64(1) << ((key >> shift) & 63)
                     yield batch.filter(pa.array(((own & bits) == bits) == inside))
 
-        return rows.mapInArrow(choose, rows.schema)
+        return choose

@@ -352,7 +352,7 @@ def _indexed(
             F.transform("parts", lambda p: p["place"]).alias("places"),
         )
     )
-    maybe, _ = _met(docs.select("id", "tie", "text"), written(wanted, "wanted"))
+    maybe, _, _ = _met(docs.select("id", "tie", "text"), written(wanted, "wanted"))
     texts = maybe.where("leasts is not null")
     schema = T.StructType(
         [
@@ -475,16 +475,15 @@ def _repeated(rows: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(min(rows.num_rows, 1), bool), same])
 
 
-def _met(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _met(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame, KeyFilter]:
     """``rows`` (id, tie and others) joined to ``few`` (need, at, one list or more), which
-    has at most a row for each, and the rows that have none for sure. Texts without a row
-    are told by a filter of the keys, so they do not shuffle."""
-    keys = few.select(F.xxhash64("need", "at").alias("key"))
+    has at most a row for each; texts without a row there are told by a filter of the
+    keys, so they do not shuffle. Also the rows with their key, and that filter."""
+    chosen = KeyFilter(few.select(F.xxhash64("need", "at").alias("key")))
     keyed = rows.withColumn("key", F.xxhash64("id", "tie"))
-    chosen = KeyFilter(keys)
     met = F.col("id").eqNullSafe(F.col("need")) & (F.col("tie") == F.col("at"))
     joined = chosen.split(keyed, True).join(few, met, "left").drop("key", "need", "at")
-    return joined, chosen.split(keyed, False).drop("key")
+    return joined, keyed, chosen
 
 
 def without_repeats(
@@ -515,8 +514,11 @@ def without_repeats(
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans")),
         "repeats",
     )
-    maybe, whole = _met(source, spans)
-    rows = maybe.unionByName(whole, allowMissingColumns=True)
+    maybe, keyed, chosen = _met(source, spans)
+    others = keyed.select(
+        "id", "tie", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "key"
+    )
+    choose = chosen.choosing(others, False)
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
@@ -554,4 +556,7 @@ def without_repeats(
                 names=schema.fieldNames(),
             )
 
-    return rows.mapInArrow(keep, schema)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return keep(choose(batches))
+
+    return maybe.mapInArrow(keep, schema).unionByName(others.mapInArrow(whole, schema))
