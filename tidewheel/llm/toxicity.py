@@ -160,29 +160,33 @@ def fit(
     return Model(dict(zip(chosen.tolist(), mean[:-1].tolist())), float(mean[-1]))
 
 
-def _feature_rows(docs: DataFrame, text: str, label: str) -> list[np.ndarray]:
-    """Features of the documents of a bounded sample; one short array a document."""
-    source = docs.select(F.col(text).cast("string").alias(label))
+def _feature_rows(rows: DataFrame, text: str, most: int) -> list[np.ndarray]:
+    """Features of the ``most`` documents of smallest ``_hash`` of a sample; one short
+    array a document. All tasks work features out before the rows are put in order."""
+    source = rows.select("_hash", F.col(text).cast("string").alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordFeatures()
         for batch in batches:
-            found = [features(t, cache).tobytes() for t in text_column(batch, label)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], [label])
+            found = [features(t, cache).tobytes() for t in text_column(batch, "found")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.binary())], ["_hash", "found"]
+            )
 
-    rows = source.mapInArrow(run, f"{label} binary")
-    return [np.frombuffer(r[0], np.int32) for r in rows.collect()]
+    worked = source.mapInArrow(run, "_hash bigint, found binary")
+    chosen = worked.orderBy("_hash").limit(most).collect()
+    return [np.frombuffer(r["found"], np.int32) for r in chosen]
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` rows of smallest ``_hash``, which says id and text; repeated rows are
-    one. A share somewhat too large is cut out first, so few rows are put in order."""
+    """Rows among which are the ``most`` of smallest ``_hash``, which says id and text, and
+    few others: a share of the hashes somewhat too large. Repeated rows are one."""
     n = rows.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
     share = min(1.0, 1.3 * (most + 100) / max(n, 1))
     if share < 1.0:
         low = -(2**63)
         rows = rows.where(F.col("_hash") < low + int(share * 2**64))
-    return rows.dropDuplicates(["_hash"]).orderBy("_hash").limit(most)
+    return rows.dropDuplicates(["_hash"])
 
 
 def train(
@@ -225,8 +229,8 @@ def train(
         doc_id, text, F.xxhash64(F.lit(23), F.col(doc_id), F.col(text)).alias("_hash")
     )
     named = texts.join(F.broadcast(confirmed), doc_id)
-    positive = _feature_rows(_sample(named, max_positive), text, "found")
-    unlabelled = _feature_rows(_sample(texts, max_unlabelled), text, "found")
+    positive = _feature_rows(_sample(named, max_positive), text, max_positive)
+    unlabelled = _feature_rows(_sample(texts, max_unlabelled), text, max_unlabelled)
     return fit(positive, unlabelled, prior if prior is not None else ones / total)
 
 
