@@ -29,7 +29,7 @@ def test_blocks_of_short_sets_are_bounded_by_sets(spark):
         F.col("id").cast("string").cast("binary").alias("digest"), F.lit(26).cast("bigint").alias("n")
     )
     star = sets.select(F.col("digest").alias("a"), F.lit(b"0").alias("b")).where("a != b")
-    rows = jj._blocks(sets, star).groupBy("family", "block").count().collect()
+    rows = jj._blocks(jj._families(sets, star)).groupBy("family", "block").count().collect()
     assert len({r["family"] for r in rows}) == 1
     assert sum(r["count"] for r in rows) == SETS
     assert max(r["count"] for r in rows) < 1.25 * 4096
@@ -45,7 +45,7 @@ def test_parts_grow_in_number_not_in_size(spark, monkeypatch):
     number = F.col("digest").cast("string").cast("bigint")
     centre = (number - number % 20).cast("string").cast("binary")
     star = sets.select(F.col("digest").alias("a"), centre.alias("b")).where("a != b")
-    blocks = jj._blocks(sets, star)
+    blocks = jj._blocks(jj._families(sets, star))
     part = "part" if "part" in blocks.columns else F.pmod("block", F.lit(jj.GROUPS))
     tokens = [10 * r["count"] for r in blocks.groupBy(part).count().collect()]
     assert sum(tokens) == 10 * SETS
@@ -62,6 +62,42 @@ def block(rng, n):
     return pd.DataFrame({"digest": names, "root": names, "tokens": tokens})
 
 
+def test_signatures_are_linear_in_a_sets_tokens(spark):
+    """Two sets that share everything, all of it frequent: combinations a token stay few."""
+    found = {}
+    for n in (2_000, 16_000):
+        rows = spark.range(n).select(
+            F.xxhash64("id").alias("token"),
+            F.explode(F.array(*[F.lit(d.encode()) for d in "ab"])).alias("digest"),
+            F.lit(4 * n).cast("bigint").alias("n"),
+        )
+        rows = rows.withColumns({"root": F.col("digest"), "family": F.col("digest")})
+        signed = jj._signatures(rows, 80, 1)
+        found[n] = signed.count() / (2 * n)
+        pairs = jj._pairs_across(signed, 80).collect()
+        assert [(bytes(r["a"]), bytes(r["b"])) for r in pairs] == [(b"a", b"b")]
+    assert max(found.values()) < 8
+
+
+def test_a_hot_group_of_edited_copies_pairs_in_proportion(spark, monkeypatch):
+    """Copies that link and texts that only share a passage leave few pairs across."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(300)]
+    seen = []
+    pairs_across = jj._pairs_across
+    monkeypatch.setattr(jj, "_pairs_across", lambda *a: seen.append(pairs_across(*a)) or seen[-1])
+    rows = []
+    for _ in range(300):
+        near = list(base)
+        near[rng.randrange(300)] = f"e{rng.random()}"
+        rows += [" ".join(near), " ".join([*passage, *(f"o{rng.random()}" for _ in range(60))])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jj.near_duplicates(docs.repartition(6)).collect()}
+    assert found == {i: 0 if i % 2 == 0 else i for i in range(600)}
+    assert seen[0].count() < 600
+
+
 def test_components_by_many_parts(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK_TOKENS", 900)
     monkeypatch.setattr(jj, "GROUP_TOKENS", 60)

@@ -4,14 +4,15 @@ A document's set is its distinct five-word shingles, here called tokens. In an o
 all tokens by hash, two sets of Jaccard similarity t or more share a token among the
 first ``n - ceil(t * n) + 1`` of each. Prefixes are made longer by ``extension(n)``, so
 that as many are shared at least; a set with fewer tokens of its prefix in other sets goes,
-and of the rest one with too little of its whole set in others. The extension is no less than the number of cells that frequent tokens fall
-into, so for each pair either a rare token is shared, or two frequent tokens of one
+and of the rest one with too little of its whole set in others. The extension is more than the
+number of cells that frequent tokens fall into, so for each pair either a rare token is shared, or two frequent tokens of one
 cell: rare tokens are indexed one by one, and frequent ones by combinations of two
 within their cell. Candidates are verified on whole sets.
 
 Equal sets are one from the start. Only links between different groups matter for the
 components, so before pairs are made each set is verified against one member of its
-buckets, the one it shares most tokens with, and what links is one group; candidates are
+buckets, the one it shares most tokens with, and what links is one group. A set goes on only
+if as much of it as a link asks for is in sets of other groups; candidates are
 then sought across groups alone. How frequent a token is, is counted in groups. Sets are
 verified in families of sets that hang together by such candidates: the sets of two blocks
 of a family are judged at once by products of matrices, so a large group of edited copies
@@ -22,11 +23,12 @@ held against each other across families.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,17 +36,21 @@ from pyspark.sql import types as T
 
 from tidewheel.llm.common import BROADCAST_BYTES, WORD, octets, utf8_column, written
 from tidewheel.llm.components import components
+from tidewheel.llm.pruning import ROWS, KeyFilter, known
 
 WIDTH = 5
 PERCENT = 80
 CELLS = 4
 # A token in more groups than this is frequent.
 FREQUENT = 32
-ROUNDS = 1
 # One more token to be shared for so many in the set.
 EXTEND_BY = 16
 # Rows that may be broadcast, within BROADCAST_BYTES.
 BROADCAST_ROWS = 4_000_000
+# Blocks of 8 bytes of a filter of tokens, at most.
+FILTER_BLOCKS = BROADCAST_BYTES // 8
+# Sets of under so many tokens have CELLS cells; beyond, cells grow with the extension.
+FEW_TOKENS = 6 * EXTEND_BY
 # Tokens and sets that are loaded together to be verified, and rows and columns of a matrix.
 BLOCK_TOKENS = 1 << 20
 BLOCK_SETS = 4096
@@ -151,16 +157,20 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _blocks(sets: DataFrame, star: DataFrame) -> DataFrame:
-    """(digest, family, block, part): sets that hang together by the pairs of ``star``, in
-    blocks of about BLOCK_TOKENS tokens and BLOCK_SETS sets at most, so that candidates
-    mostly lie within few blocks; blocks are dealt to parts of about GROUP_TOKENS."""
+def _families(sets: DataFrame, star: DataFrame) -> DataFrame:
+    """The sets with the family of those that hang together by the pairs of ``star``."""
     families = components(star).withColumnsRenamed({"node": "digest", "root": "family"})
     named = sets.join(families, "digest", "left")
-    named = named.withColumn("family", F.coalesce("family", "digest"))
+    return named.withColumn("family", F.coalesce("family", "digest"))
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """(digest, family, block, part) of sets (digest, n, family): the sets of a family in
+    blocks of about BLOCK_TOKENS tokens and BLOCK_SETS sets at most, so that candidates
+    mostly lie within few blocks; blocks are dealt to parts of about GROUP_TOKENS."""
     tokens, members = F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS
     sizes = named.groupBy("family").agg(F.ceil(F.greatest(tokens, members)).alias("parts"))
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    total = named.agg(F.sum("n")).first()[0] or 0
     groups = max(GROUPS, -(-total // GROUP_TOKENS))
     nth = F.pmod(F.xxhash64("digest"), F.col("parts"))
     return (
@@ -244,21 +254,35 @@ def _star_pairs(shared: DataFrame, percent: int, salt: int) -> DataFrame:
     )
 
 
-def _across_groups(shared: DataFrame) -> DataFrame:
+def _across_groups(shared: DataFrame, group: str = "root") -> DataFrame:
     """The rows of buckets that hold more than one group."""
     mixed = (
         shared.groupBy("token")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .agg(F.min(group).alias("low"), F.max(group).alias("high"))
         .where(F.col("low") != F.col("high"))
         .select("token")
     )
     return shared.join(mixed, "token")
 
 
+def _rank(n: Column) -> Column:
+    """Class of sizes: 0 below FEW_TOKENS, one more from there on and at each doubling."""
+    times = F.floor(n / FEW_TOKENS).cast("bigint")
+    return F.when(n < FEW_TOKENS, 0).otherwise(F.length(F.bin(times)))
+
+
+def _cells(rank: Column) -> Column:
+    """Cells of a class: one less than the least extension of its sets."""
+    extended = F.floor(FEW_TOKENS * F.pow(F.lit(2.0), rank - 1) / EXTEND_BY) - 1
+    return F.when(rank == 0, CELLS).otherwise(F.greatest(F.lit(CELLS), extended)).cast("bigint")
+
+
 def _signatures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(first, second, digest, n, family): single rare tokens, and combinations of two
-    frequent tokens of one cell; sets so small that a cell may stay alone go by single
-    tokens too."""
+    """(first, second, rank, digest, n, family): single rare tokens, and combinations of
+    two frequent tokens of one cell; sets so small that a cell may stay alone go by single
+    tokens too. Cells are those of the smaller set of a pair, so a set has combinations for
+    its own class of sizes and for that of the smallest it can link to; as cells grow with
+    the extension, combinations grow in proportion to tokens."""
     groups = (
         shared.select("token", "root")
         .distinct()
@@ -269,14 +293,24 @@ def _signatures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     # Sets too small for their extended prefix, and those that these can link to.
     small = 100 * (100 * CELLS // percent) // percent
     single = classed.where(~F.col("often") | (F.col("n") <= small)).select(
-        F.col("token").alias("first"), F.lit(0).cast("bigint").alias("second"), "digest", "n", "family"
+        F.col("token").alias("first"),
+        F.lit(0).cast("bigint").alias("second"),
+        F.lit(0).alias("rank"),
+        "digest",
+        "n",
+        "family",
     )
-    often = classed.where("often").withColumn("cell", F.pmod("token", F.lit(CELLS)))
-    other = often.select("digest", "cell", F.col("token").alias("second"))
+    smallest = F.ceil(F.col("n") * percent / 100)
+    often = (
+        classed.where("often")
+        .withColumn("rank", F.explode(F.sequence(_rank(smallest), _rank(F.col("n")))))
+        .withColumn("cell", F.pmod("token", _cells(F.col("rank"))))
+    )
+    other = often.select("digest", "rank", "cell", F.col("token").alias("second"))
     double = (
-        often.join(other, ["digest", "cell"])
+        often.join(other, ["digest", "rank", "cell"])
         .where(F.col("token") < F.col("second"))
-        .select(F.col("token").alias("first"), "second", "digest", "n", "family")
+        .select(F.col("token").alias("first"), "second", "rank", "digest", "n", "family")
     )
     return single.unionByName(double)
 
@@ -284,22 +318,23 @@ def _signatures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different families that share a signature, unless too few
     for a link. Families meet first, so that sets of one family never do."""
-    signature = ["first", "second"]
+    signature = ["first", "second", "rank"]
     held = rows.select(*signature, "family").distinct()
     other = held.withColumnRenamed("family", "other")
     met = held.join(other, signature).where(F.col("family") < F.col("other"))
     left = rows.withColumnsRenamed({"digest": "a"})
     right = rows.withColumnsRenamed({"digest": "b", "n": "m", "family": "other"})
     lone = F.col("second") == 0
+    rank = _rank(F.least("n", "m"))
     pairs = (
         met.join(left, [*signature, "family"])
         .join(right, [*signature, "other"])
-        .where(_near(F.col("n"), F.col("m"), percent))
+        .where(_near(F.col("n"), F.col("m"), percent) & (lone | (F.col("rank") == rank)))
         .groupBy("a", "b", "n", "m")
         .agg(F.count_if(lone).alias("singles"), F.count_if(~lone).alias("doubles"))
     )
     # So many shared tokens of one cell make at least one combination less.
-    most = F.col("singles") + F.col("doubles") + CELLS
+    most = F.col("singles") + F.col("doubles") + _cells(rank)
     least = F.least(_least_shared("n", percent), _least_shared("m", percent))
     return pairs.where(most >= least).select("a", "b")
 
@@ -378,13 +413,11 @@ def links_between(low: pd.DataFrame, high: pd.DataFrame, percent: int) -> pd.Dat
     return pd.DataFrame(links, columns=["a", "b"])
 
 
-def _links_within(
-    rows: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
-) -> DataFrame:
-    """Links between different groups of the sets of each family, as many as hold
-    together what they hold together."""
-    held = blocks.join(rows.select("digest", "root").distinct(), "digest")
-    held = written(held.join(sets.drop("n"), "digest"), "block-sets")
+def _links_within(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of the sets (digest, root, tokens) of each family,
+    as many as hold together what they hold together."""
+    held = blocks.join(sets.select("digest", "root", "tokens"), "digest")
+    held = written(held, "block-sets")
     pairs = written(_pairs_within(held), "block-pairs")
     own = held.select(
         F.col("block").alias("low"), F.lit(False).alias("other"), "digest", "root", "tokens"
@@ -438,11 +471,10 @@ def near_duplicates(
         .select("digest", "n", "first.id", "first.place", "first.tokens"),
         "kinds",
     )
-    shared = _shared_tokens(kinds, percent)
-    members = shared.select("digest").distinct()
+    prefixes = _shared_tokens(kinds, percent)
     needed = _small(
         written(
-            kinds.join(members, "digest").select(
+            kinds.join(prefixes.select("digest"), "digest").select(
                 F.col("id").alias("need"), F.col("place").alias("at")
             ),
             "members",
@@ -455,25 +487,36 @@ def near_duplicates(
     sets = written(_sets(texts, percent, width, whole=True), "whole-sets").select(
         "digest", "n", "tokens"
     )
-    sets, shared = _shared_throughout(sets, shared, percent)
-
-    rows = shared.withColumn("root", F.col("digest"))
-    links = blocks = None
-    for round_ in range(ROUNDS):
-        pairs = written(_star_pairs(rows, percent, round_), "star-pairs")
-        if blocks is None:
-            blocks = written(_blocks(sets.select("digest", "n"), pairs), "blocks")
-        fresh = written(verified(pairs, sets, blocks, percent), "star-links")
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = components(links)
-        rows = written(_across_groups(_rooted(shared, roots)), "across")
-    within = written(_links_within(rows, sets, blocks, percent), "family-links")
-    named = rows.join(blocks.select("digest", "family"), "digest")
-    signatures = written(_signatures(named, percent, frequent), "signatures")
+    enough = _with_enough(sets, _several(sets), _overlap(percent))
+    sets = written(enough.dropDuplicates(["digest"]), "whole-sets")
+    shared = written(
+        prefixes.join(sets.select("digest"), "digest").select(
+            "digest", "n", F.explode("tokens").alias("token")
+        ),
+        "shared",
+    )
+
+    # Each set against one of its buckets; then what may still link across the groups.
+    rows = _across_groups(shared.withColumn("root", F.col("digest")))
+    star = written(_star_pairs(rows, percent, 0), "star-pairs")
+    named = written(_families(sets.select("digest", "n"), star), "families")
+    links = written(
+        verified(star, sets, written(_blocks(named), "blocks"), percent), "star-links"
+    )
+    held = _rooted(sets.join(named.select("digest", "family"), "digest"), components(links))
+    held = written(_linkable(written(held, "grouped"), "root", percent), "linkable")
+    blocks = written(_blocks(held.select("digest", "n", "family")), "blocks")
+    within = written(_links_within(held, blocks, percent), "family-links")
+
+    # Across families, of sets with enough in other families.
+    for _ in range(2):
+        held = written(_linkable(held, "family", percent), "linkable")
+    rows = shared.join(held.select("digest", "root", "family"), "digest")
+    rows = written(_across_groups(rows, "family"), "across")
+    signatures = written(_signatures(rows, percent, frequent), "signatures")
     pairs = written(_pairs_across(signatures, percent), "across-pairs")
-    fresh = written(verified(pairs, sets, blocks, percent), "across-links")
-    fresh = within.unionByName(fresh)
-    links = links.unionByName(fresh)
+    fresh = written(verified(pairs, held, blocks, percent), "across-links")
+    links = links.unionByName(within).unionByName(fresh)
     roots = components(links)
 
     labelled = kinds.select("digest", "id").join(
@@ -523,43 +566,80 @@ def one_of_each(
     return stay.select("_row.*").unionByName(docs.where(~words))
 
 
+def _with_enough(
+    rows: DataFrame,
+    tokens: DataFrame,
+    least: Callable[[np.ndarray], np.ndarray],
+    trim: bool = False,
+) -> DataFrame:
+    """The rows (n, tokens, ...) with at least ``least(n)`` of their tokens among those of
+    ``tokens``, by a bounded filter in each task that lets some more through and loses
+    none. If ``trim``, other tokens go."""
+    shared = KeyFilter(tokens.select(F.col("token").alias("key")), FILTER_BLOCKS).table
+    names = rows.columns
+    size, place = names.index("n"), names.index("tokens")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                lists = batch.column(place)
+                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                hit = known(table, flat)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                before = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+                found = before[ends] - before[ends - lengths]
+                enough = found >= least(batch.column(size).to_numpy())
+                columns = list(batch.columns)
+                if trim:
+                    offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+                    columns[place] = pa.ListArray.from_arrays(offsets, flat[hit])
+                kept = pa.RecordBatch.from_arrays(columns, names=names)
+                yield kept.filter(pa.array(enough))
+
+    return rows.mapInArrow(choose, rows.schema)
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Tokens of more than one of the rows (tokens)."""
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("kinds")
+    )
+    return written(counts.where("kinds > 1").select("token"), "several")
+
+
 def _shared_tokens(kinds: DataFrame, percent: int) -> DataFrame:
-    """(token, digest, n) of the prefix tokens that several kinds have, of those kinds
-    that share as many as a link asks for."""
-    rows = kinds.select("digest", "n", F.explode("tokens").alias("token"))
+    """(digest, n, tokens): the kinds that share as many prefix tokens with others as a
+    link asks for, and those tokens."""
+
+    def least(n: np.ndarray) -> np.ndarray:
+        return np.minimum((percent * n + 99) // 100, np.maximum(1 + CELLS, n // EXTEND_BY))
+
+    rows = kinds.select("digest", "n", "tokens")
     for _ in range(2):
-        several = written(_several(rows), "several")
-        rows = written(rows.join(_small(several), "token"), "shared")
-        enough = rows.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("found"))
-        enough = written(enough.where(F.col("found") >= _least_shared("n", percent)).select("digest"), "enough")
-        rows = written(rows.join(_small(enough), "digest"), "shared")
+        rows = written(_with_enough(rows, _several(rows), least, trim=True), "shared")
     return rows
 
 
-def _shared_throughout(
-    sets: DataFrame, shared: DataFrame, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """The sets of which as much is in some other set as a link asks for, by their
-    whole tokens, and the prefix tokens that several of them share."""
-    rows = sets.select("digest", "n", F.explode("tokens").alias("token"))
-    several = written(_several(rows), "several")
-    found = rows.join(_small(several), "token").groupBy("digest", "n").count()
-    overlap = F.expr(f"({percent} * n + 99) div 100")
-    enough = written(found.where(F.col("count") >= overlap).select("digest"), "enough")
-    left = sets.join(_small(enough), "digest").dropDuplicates(["digest"])
-    sets = written(left, "whole-sets")
-    rows = written(shared.join(_small(enough), "digest"), "shared")
-    return sets, written(rows.join(_small(_several(rows)), "token"), "shared")
+def _overlap(percent: int) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda n: (percent * n + 99) // 100
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Tokens of more than one row."""
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"))
-    return counts.where("kinds > 1").select("token")
+def _linkable(sets: DataFrame, group: str, percent: int) -> DataFrame:
+    """The sets (n, tokens, ...) of which as much is in sets of other groups as a link to
+    one of these asks for. Groups are told apart by 64-bit hashes."""
+    tokens = sets.select(F.explode("tokens").alias("token"), F.xxhash64(group).alias("group"))
+    mixed = (
+        tokens.groupBy("token")
+        .agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        .where("low != high")
+        .select("token")
+    )
+    return _with_enough(sets, written(mixed, "mixed"), _overlap(percent))
 
 
-def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
     named = roots.withColumnRenamed("node", "digest")
-    return shared.join(named, "digest", "left").withColumn(
-        "root", F.coalesce("root", "digest")
-    )
+    return sets.join(named, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

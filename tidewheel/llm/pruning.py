@@ -23,6 +23,15 @@ BIT_SHIFTS, BLOCK_SHIFT = (0, 6, 12, 18), 24
 ROWS = 1_000
 
 
+def known(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the keys may be among those of the filter."""
+    own = table[(key >> BLOCK_SHIFT) % len(table)]
+    bits = np.zeros(len(key), np.int64)
+    for shift in BIT_SHIFTS:
+        bits |= np.int64(1) << ((key >> shift) & 63)
+    return (own & bits) == bits
+
+
 class KeyFilter:
     """Whether keys (bigint hashes) may be among those of ``keys`` (key)."""
 
@@ -55,10 +64,6 @@ class KeyFilter:
                 for i in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(i, ROWS)
                     key = batch.column(place).to_numpy(zero_copy_only=False)
-                    own = table[(key >> BLOCK_SHIFT) % len(table)]
-                    bits = np.zeros(len(key), np.int64)
-                    for shift in BIT_SHIFTS:
-                        bits |= np.int64(1) << ((key >> shift) & 63)
-                    yield batch.filter(pa.array(((own & bits) == bits) == inside))
+                    yield batch.filter(pa.array(known(table, key) == inside))
 
         return choose
