@@ -102,6 +102,18 @@ def test_state_goes_with_the_outcome(session, folder):
     assert {r.key.cid for r in kept.load(f"{folder}/checkpoint").collect()} == {"y"}
 
 
+def test_a_reply_waits_once_unless_early_in_its_slot(session, folder):
+    at = [T0 + timedelta(seconds=s) for s in range(60)]
+    p = session.createDataFrame([(f"c{s}", 1, True, at[s]) for s in range(20, 50)], REPLY)
+    q = session.createDataFrame([("late", 1, at[1]), ("soon", 1, at[55])], REQUEST)
+    early = session.createDataFrame([("soon", 1, True, at[0] + timedelta(seconds=62))], REPLY)
+    out = pending.replay_outcomes(q, p.unionByName(early), folder, timeout=TIMEOUT)
+    assert {(r.cid, r.ok) for r in out.collect()} == {("late", False), ("soon", True)}
+    kept = session.read.format("statestore").option("stateVarName", "replies")
+    cids = [r.key.cid for r in kept.load(f"{folder}/checkpoint").collect()]
+    assert sorted(cids) == sorted([f"c{s}" for s in range(20, 50)] + ["soon"] * 2)
+
+
 def test_a_live_timeout_needs_no_later_message(session, folder):
     """By the wall clock: one request, nothing after it; another is answered in time."""
     now = datetime.now()

@@ -2,8 +2,8 @@
 
 A waiting request is an entry of keyed state with a timer. The reply in time settles it
 at once and the entry and its timer go; else the timer goes off and the time-out comes
-out at that moment, with no later message of that id. Time is cut into slots of the
-time-out's length, so a busy id is a new key every few seconds.
+out at that moment, with no later message of that id. Time is cut into slots of a few
+time-outs, so a busy id soon is a new key again, and few replies matter in two slots.
 
 Two clocks can drive the timers. ``event`` is the watermark: what comes out does not
 depend on when the stream runs, so stored streams are replayed with it. ``wall`` is the
@@ -12,7 +12,8 @@ machines' clock from a request's arrival on: a live time-out needs no other mess
 
 from __future__ import annotations
 
-from itertools import chain
+from bisect import bisect_left
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from tidewheel.streaming.runner import run_available
 MODES = {"event": "EventTime", "wall": "ProcessingTime"}
 # Slots that requests without a usable id are dealt to; no reply meets them there.
 LONE_SLOTS = 1 << 20
+# Time-outs in a slot.
+SLOT = 4
 # Replies of a key held in memory; beyond that they go to the state as they come.
 HELD = 10_000
 
@@ -41,19 +44,35 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
         """Of replies at one instant a missing result wins, else the smallest."""
         return (result is not None, result)
 
+    def earliest(names, replies):
+        """The first reply in time of each request that has one."""
+        first, replies = {}, iter(replies)
+        while part := list(islice(replies, HELD)):
+            at_once = {}
+            for at, result in part:
+                at_once[at] = min(at_once.get(at, result), result, key=rank)
+            times = sorted(at_once)
+            for name in names:
+                place = bisect_left(times, name[0])
+                if place < len(times) and times[place] < name[0] + width:
+                    new = (times[place], rank(at_once[times[place]]))
+                    first[name] = min(first.get(name, new), new)
+        return first
+
     class Pending(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             # How many requests, or a reply's result, and until when (ms) it is kept.
-            self.requests = handle.getMapState(
-                "requests", f"ts bigint, inst {kinds['inst']}", "n bigint, due bigint"
+            self.requests = handle.getValueState(
+                "requests",
+                f"waiting array<struct<ts:bigint,inst:{kinds['inst']},n:bigint,due:bigint>>",
             )
-            self.replies = handle.getMapState(
-                "replies", "at bigint", f"result {kinds['result']}, due bigint"
+            self.replies = handle.getListState(
+                "replies", f"at bigint, result {kinds['result']}, due bigint"
             )
 
         def handleInputRows(self, key, rows, timerValues):
-            usable = bool(key[0]) and (not match_instance or key[1] is not None)
+            usable = self.usable(key)
             asked, came, all_held = {}, {}, True
             for row in rows:
                 if row.asked:
@@ -64,50 +83,66 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
                     if len(came) >= HELD:
                         self.keep(key, came, timerValues)
                         came, all_held = {}, False
-            waiting = {tuple(k): tuple(v) for k, v in self.requests.iterator()}
+            waiting = self.waiting()
             before = set(waiting)
             for name, n in asked.items():
                 known = waiting.get(name, (0, self.due(name[0], timerValues)))
                 waiting[name] = (known[0] + n, known[1])
-            kept = self.replies.iterator() if usable and (asked or not all_held) else ()
-            stored = ((k[0], v[0]) for k, v in kept)
             first = {}
-            for at, result in chain(stored, came.items()) if waiting else ():
-                for name in waiting:
-                    if name[0] <= at < name[0] + width:
-                        new = (at, rank(result))
-                        first[name] = min(first.get(name, new), new)
-            for name, (n, due) in waiting.items():
-                if name in first:
-                    at, (_, result) = first[name]
-                    yield from self.outcomes(key, name, n, True, result, at - name[0])
-                    if name in before:
-                        self.requests.removeKey(name)
-                        others = (d for k, (_, d) in waiting.items() if k not in first)
-                        if due not in others:
-                            self.handle.deleteTimer(due)
-                elif name in asked:
-                    self.requests.updateValue(name, (n, due))
-                    self.handle.registerTimer(due)
+            if waiting and usable:
+                kept = self.replies.get() if asked or not all_held else ()
+                stored = ((r[0], r[1]) for r in kept)
+                first = earliest(waiting, chain(stored, came.items()))
+            left = {name: own for name, own in waiting.items() if name not in first}
+            over = {waiting[name][1] for name in before if name in first}
+            for due in over.difference(due for _, due in left.values()):
+                self.handle.deleteTimer(due)
+            for due in {left[name][1] for name in asked if name in left}:
+                self.handle.registerTimer(due)
+            if asked.keys() & left.keys() or before & first.keys():
+                self.wait(left)
             self.keep(key, came, timerValues)
+            for name, (at, (_, result)) in first.items():
+                n, wait = waiting[name][0], at - name[0]
+                yield from self.outcomes(key, name, n, True, result, wait)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = expiredTimerInfo.getExpiryTimeInMs()
-            if clock == "event" and now == self.end(key):
+            if clock == "event" and self.usable(key) and now == self.end(key):
                 # All requests of the slot are over before, so no reply matters.
                 self.replies.clear()
                 return
-            over = [(tuple(k), v) for k, v in self.requests.iterator() if v[1] <= now]
-            for name, (n, _) in over:
-                self.requests.removeKey(name)
-                yield from self.outcomes(key, name, n, False, None, None)
+            waiting = self.waiting()
+            left = {name: own for name, own in waiting.items() if own[1] > now}
+            if len(left) < len(waiting):
+                self.wait(left)
+            for name, (n, _) in waiting.items():
+                if name not in left:
+                    yield from self.outcomes(key, name, n, False, None, None)
             if clock == "wall":
-                for at in [tuple(k) for k, v in self.replies.iterator() if v[1] <= now]:
-                    self.replies.removeKey(at)
+                kept = [tuple(r) for r in self.replies.get()]
+                stay = [r for r in kept if r[2] > now]
+                if not stay and kept:
+                    self.replies.clear()
+                elif len(stay) < len(kept):
+                    self.replies.put(stay)
+
+        def usable(self, key) -> bool:
+            return bool(key[0]) and (not match_instance or key[1] is not None)
+
+        def waiting(self) -> dict:
+            held = self.requests.get()
+            return {(ts, inst): (n, due) for ts, inst, n, due in held[0]} if held else {}
+
+        def wait(self, left) -> None:
+            if left:
+                self.requests.update(([(*name, *own) for name, own in left.items()],))
+            else:
+                self.requests.clear()
 
         def end(self, key) -> int:
             """The millisecond by which every request of the key's slot has timed out."""
-            return (key[-1] + 2) * width // 1000 + 1
+            return ((key[-1] + 1) * SLOT + 1) * width // 1000 + 2
 
         def keep(self, key, came, timerValues) -> None:
             """Replies may come before their request; they are kept as long as it can."""
@@ -117,10 +152,7 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
                 due = self.end(key)
             else:
                 due = timerValues.getCurrentProcessingTimeInMs() + 2 * width // 1000
-            for at, result in came.items():
-                if self.replies.containsKey((at,)):
-                    result = min(self.replies.getValue((at,))[0], result, key=rank)
-                self.replies.updateValue((at,), (result, due))
+            self.replies.appendList([(at, result, due) for at, result in came.items()])
             self.handle.registerTimer(due)
 
         def due(self, ts, timerValues) -> int:
@@ -167,7 +199,7 @@ def reply_outcomes_live(
         return rows.where(F.col(at).isNotNull()).withWatermark(at, lateness)
 
     def slot(rows: DataFrame, at: str):
-        return F.floor(epoch_micros(rows, at) / F.lit(width)).cast("bigint")
+        return F.floor(epoch_micros(rows, at) / F.lit(SLOT * width)).cast("bigint")
 
     usable = F.coalesce(F.col("cid").cast("string"), F.lit("")) != ""
     if match_instance:
@@ -182,11 +214,14 @@ def reply_outcomes_live(
         F.lit(None).cast(kinds["result"]).alias("result"),
         F.col("ts").alias("time"),
     )
+    # A reply early in its slot can be one to a request of the slot before.
     own = slot(replies, "reply_ts")
+    early = epoch_micros(replies, "reply_ts") - own * (SLOT * width) < F.lit(width)
+    slots = F.when(early, F.array(own, own - 1)).otherwise(F.array(own))
     answers = marked(replies.where(usable), "reply_ts").select(
         F.col("cid").cast(kinds["cid"]).alias("cid"),
         F.col("inst").cast(kinds["inst"]).alias("inst"),
-        F.explode(F.array(own, own - 1)).alias("slot"),
+        F.explode(slots).alias("slot"),
         epoch_micros(replies, "reply_ts").alias("at"),
         F.lit(False).alias("asked"),
         "result",
@@ -214,11 +249,12 @@ def pending_requests(session: SparkSession, checkpoint: str) -> DataFrame:
     entries = (
         session.read.format("statestore").option("stateVarName", "requests").load(checkpoint)
     )
-    return entries.select(
-        F.col("key.cid").alias("cid"),
-        F.col("user_map_key.inst").alias("inst"),
-        F.timestamp_micros("user_map_key.ts").alias("ts"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), "user_map_value.n")).alias("_nth"),
+    one = entries.select(F.col("key.cid").alias("cid"), F.explode("value.waiting").alias("r"))
+    return one.select(
+        "cid",
+        "r.inst",
+        F.timestamp_micros("r.ts").alias("ts"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "r.n")).alias("_nth"),
     ).drop("_nth")
 
 
