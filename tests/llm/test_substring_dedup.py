@@ -83,6 +83,29 @@ def test_matching_statistics(seed):
         assert place == next(i for i in range(len(line)) if line[i : i + depth] == part)
 
 
+def test_suffixes_are_sorted_as_deep_as_searched():
+    """A long repeat costs no more rounds than the span asks for."""
+    text = np.append(np.ones(5000, np.int64), 0)
+    order = sd._suffix_array(text, 20)
+    # By 32 words of 5,001, so most suffixes are still equal and in any order.
+    assert sorted(order.tolist()) == list(range(5001))
+    words = [np.full(400, 7, np.uint64), np.arange(30, dtype=np.uint64)]
+    first, other = sd.repeated_windows(words, 20)
+    assert first.tolist() == [False] + [True] * 380 and not other.any()
+
+
+def test_stretches_of_several_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, k, n).astype(np.uint64) for k, n in ((5, 90), (900, 20), (3, 41))]
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    least, starts, windows, twice = sd.stretches(np.concatenate(texts), 20, 6, sizes)
+    each = [sd.stretches(t, 20, 6) for t in texts]
+    assert starts.tolist() == [b + s for b, e in zip(begins, each) for s in e[1].tolist()]
+    for own, nth in ((least, 0), (windows, 2), (twice, 3)):
+        assert own.tolist() == [v for e in each for v in e[nth].tolist()]
+
+
 def test_stretches_take_every_window_once():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 5, 400).astype(np.uint64)

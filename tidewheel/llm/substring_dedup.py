@@ -18,6 +18,7 @@ What is left is a repeat, and its interval's first suffix is the one that stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import utf8_column, written
+from tidewheel.llm.common import by_bytes, utf8_column, written
 from tidewheel.llm.pruning import KeyFilter
 
 SPAN = 20
 GRAM = 6
 SHARD_WORDS = 300_000
+# Texts that are cut into stretches at once.
+RANGE_BYTES = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -73,13 +76,23 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(words: np.ndarray, span: int, gram: int):
+def stretches(words: np.ndarray, span: int, gram: int, texts: np.ndarray | None = None):
     """Runs of windows with one least n-gram: its hash, first word, windows, and
-    whether the run has it more than once, as one with a repeat inside must."""
+    whether the run has it more than once, as one with a repeat inside must. The words
+    are those of texts of ``span`` words or more, of which each has its own runs."""
+    texts = np.array([len(words)]) if texts is None else texts
     grams = _run_hash(words, gram)
     least = _sliding_min(grams, span - gram + 1)
-    starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    least, windows = least[starts], np.diff(np.append(starts, len(least)))
+    ends = np.cumsum(texts)
+    opens = np.append(True, least[1:] != least[:-1])
+    opens[ends[:-1]] = True
+    # Windows that reach into the next text are none.
+    across = (ends[:-1, None] - np.arange(1, span)).ravel()
+    opens[across] = False
+    starts = np.flatnonzero(opens)
+    stops = np.append(starts[1:], len(words))
+    stops[np.searchsorted(starts, ends) - 1] -= span - 1
+    least, windows = least[starts], stops - starts
     sizes = windows + span - gram
     begins = np.cumsum(sizes) - sizes
     inside = np.arange(int(sizes.sum())) + np.repeat(starts - begins, sizes)
@@ -129,11 +142,12 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """FM-index of texts of numbers from 1 on, each text ended by its own mark."""
+    """FM-index of texts of numbers from 1 on, each text ended by its own mark; for
+    searches of up to ``depth`` words if that is given."""
 
-    def __init__(self, text: np.ndarray, top: int):
+    def __init__(self, text: np.ndarray, top: int, depth: int | None = None):
         """``text`` holds 0 where texts end; ``top`` is the largest number."""
-        self.suffixes = _suffix_array(text)
+        self.suffixes = _suffix_array(text, depth or len(text))
         last = text[self.suffixes - 1]  # wraps to the last mark for the first suffix
         bits = max(1, int(top).bit_length())
         self.wavelet = WaveletMatrix(last, bits)
@@ -178,8 +192,9 @@ class FmIndex:
         return np.minimum.reduceat(padded, cuts)[::2][back.ravel()]
 
 
-def _suffix_array(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes, by doubling; end marks sort by place, before all words."""
+def _suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by ``depth`` words at least, by doubling; end marks sort by place,
+    before all words. What is equal that far stays in any order."""
     n = len(text)
     marks = np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(marks)
@@ -189,13 +204,14 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
         ahead = np.full(n, -1, np.int64)
         ahead[: n - width] = rank[width:]
         pair = rank * (n + len(marks) + int(text.max(initial=0)) + 2) + ahead + 1
-        order = np.argsort(pair, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(False, pair[order][1:] != pair[order][:-1]))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
-            return order
+        order = np.argsort(pair)
+        pair = pair[order]
+        places = np.cumsum(np.append(False, pair[1:] != pair[:-1]))
         width *= 2
+        if width >= depth or n == 0 or places[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = places
 
 
 def repeated_windows(words: list[np.ndarray], span: int = SPAN) -> list[np.ndarray]:
@@ -206,7 +222,7 @@ def repeated_windows(words: list[np.ndarray], span: int = SPAN) -> list[np.ndarr
     inside = np.ones(len(text), bool)
     inside[np.cumsum(sizes + 1) - 1] = False
     text[inside] = numbers
-    index = FmIndex(text, int(numbers.max()))
+    index = FmIndex(text, int(numbers.max()), span)
     begins = np.cumsum(sizes + 1) - sizes - 1
     windows = sizes - span + 1
     starts = np.repeat(begins - (np.cumsum(windows) - windows), windows)
@@ -236,36 +252,36 @@ def repeated_spans(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            row, least, digest, start, many, inner = [], [], [], [], [], []
-            for i, doc in enumerate(utf8_column(batch, "text")):
-                words = cache.of(doc.split())
-                if len(words) < span:
+            texts = utf8_column(batch, "text")
+            for low, high in by_bytes(texts, RANGE_BYTES):
+                split = [doc.split() for doc in texts[low:high]]
+                sizes = np.array([len(own) for own in split])
+                long = sizes >= span
+                if not long.any():
                     continue
-                own, at, windows, twice = stretches(words, span, gram)
-                upto = at + windows + span - 1
+                sizes = sizes[long]
+                words = cache.of(
+                    list(chain.from_iterable(own for own in split if len(own) >= span))
+                )
+                least, at, many, inner = stretches(words, span, gram, sizes)
                 # Hash of a stretch: difference of running sums, kept apart by length.
-                mixed = _positional(words, at, upto)
-                row.append(np.full(len(at), i))
-                least.append(own)
-                digest.append(mixed)
-                start.append(at)
-                many.append(windows)
-                inner.append(twice)
-            if not row:
-                continue
-            take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(np.concatenate(least).view(np.int64)),
-                    pa.array(np.concatenate(digest).view(np.int64)),
-                    pa.array(np.concatenate(start).astype(np.int32)),
-                    pa.array(np.concatenate(many).astype(np.int32)),
-                    pa.array(np.concatenate(inner)),
-                ],
-                names=cut_schema.fieldNames(),
-            )
+                digest = _positional(words, at, at + many + span - 1)
+                ends = np.cumsum(sizes)
+                text = np.searchsorted(ends, at, "right")
+                start = at - (ends - sizes)[text]
+                take = pa.array((low + np.flatnonzero(long))[text])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(take),
+                        batch.column(1).take(take),
+                        pa.array(least.view(np.int64)),
+                        pa.array(digest.view(np.int64)),
+                        pa.array(start.astype(np.int32)),
+                        pa.array(many.astype(np.int32)),
+                        pa.array(inner),
+                    ],
+                    names=cut_schema.fieldNames(),
+                )
 
     longs, ints = T.LongType(), T.IntegerType()
     cut_schema = T.StructType(
