@@ -127,3 +127,13 @@ def test_tens_of_thousands_of_variants_of_a_template(spark):
     found = {r["doc_id"]: r["component_id"] for r in jj.near_duplicates(docs).collect()}
     expected = {i: i for i in range(SETS)} | {SETS: 7, SETS + 1: 9}
     assert found == expected
+
+
+def test_equal_sets_are_one_after_few_are_left(spark):
+    """Sets come as rows are, and of equal ones that share enough one stays."""
+    rows = [(bytes([k]), 10, [1, 2, 3, 4, 5, 6, 7]) for k in (1, 1, 2)]
+    rows += [(b"x", 10, [90, 91, 92, 93, 94, 95, 96])]
+    sets = spark.createDataFrame(rows, "digest binary, n bigint, tokens array<bigint>")
+    found = jj._shared_tokens(sets, 80).collect()
+    assert sorted(bytes(r.digest) for r in found) == [bytes([1]), bytes([2])]
+    assert all(r.tokens == [1, 2, 3, 4, 5, 6, 7] for r in found)

@@ -463,15 +463,15 @@ def near_duplicates(
         F.col(text).cast("string").alias("text"),
     )
     found = written(_sets(source, percent, width, whole=False), "sets")
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "place", "tokens")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "place")
     kinds = written(
         found.where("n > 0")
         .groupBy("digest", "n")
         .agg(F.min(first).alias("first"))
-        .select("digest", "n", "first.id", "first.place", "first.tokens"),
+        .select("digest", "n", "first.id", "first.place"),
         "kinds",
     )
-    prefixes = _shared_tokens(kinds, percent)
+    prefixes = _shared_tokens(found.where("n > 0"), percent)
     needed = _small(
         written(
             kinds.join(prefixes.select("digest"), "digest").select(
@@ -610,16 +610,21 @@ def _several(rows: DataFrame) -> DataFrame:
     return written(counts.where("kinds > 1").select("token"), "several")
 
 
-def _shared_tokens(kinds: DataFrame, percent: int) -> DataFrame:
-    """(digest, n, tokens): the kinds that share as many prefix tokens with others as a
-    link asks for, and those tokens."""
+def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(digest, n, tokens): the kinds of sets that share as many prefix tokens with others
+    as a link asks for, and those tokens. Most sets go before equal ones are made one, so
+    that few prefixes are shuffled."""
 
     def least(n: np.ndarray) -> np.ndarray:
         return np.minimum((percent * n + 99) // 100, np.maximum(1 + CELLS, n // EXTEND_BY))
 
-    rows = kinds.select("digest", "n", "tokens")
+    def passed(rows: DataFrame) -> DataFrame:
+        return _with_enough(rows, _several(rows), least, trim=True)
+
+    kinds = passed(sets.select("digest", "n", "tokens")).dropDuplicates(["digest"])
+    rows = written(kinds, "shared-kinds")
     for _ in range(2):
-        rows = written(_with_enough(rows, _several(rows), least, trim=True), "shared")
+        rows = written(passed(rows), "shared")
     return rows
 
 
