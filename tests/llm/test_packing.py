@@ -32,6 +32,25 @@ def test_pieces_are_the_librarys_ids(corpus, nothing):
     assert packing.tokenised_pieces(nothing, VOCABULARY).count() == 0
 
 
+def test_words_are_encoded_without_their_places():
+    class Fast:
+        """The tokenizer without the slower call that also gives places."""
+
+        def __init__(self, tok):
+            self.tok = tok
+
+        def __getattr__(self, name):
+            assert name != "encode_batch"
+            return getattr(self.tok, name)
+
+    words = packing.WordParts(VOCABULARY)
+    words.tok = Fast(words.tok)
+    found = words._encode([b"Hello", b"hello,", "\u00c9t\u00e9.".encode(), b"<|x|>", b"a1!"])
+    whole = ["Hello", "hello,", "\u00c9t\u00e9.", "<|x|>", "a1!"]
+    tok = tokenizer(VOCABULARY)
+    assert found == [tok.encode(w, add_special_tokens=False).ids for w in whole]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_a_packing_and_a_tight_one(seed):
     rng = random.Random(seed)

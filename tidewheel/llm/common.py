@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -155,7 +156,7 @@ class WordTokens(dict):
             return
         lists = self.encode(self.new)
         counts = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
         n, filled = len(self), self.filled + len(flat)
         self.start, self.count = _room(self.start, n), _room(self.count, n)
         self.pool = _room(self.pool, filled)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,8 @@ class WordParts:
             return word, b""
         if self.folds:
             word = word.lower()
+        if word.isalpha():
+            return word, b""
         core = word.rstrip(TAIL)
         if len(core) == len(word) or not core:
             return word, b""
@@ -151,15 +154,15 @@ class WordParts:
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         if len(self.ids) > self.cache.limit:
             self.ids.clear()
-        split = [self.parts(word) for word in words]
-        new = list({part for pair in split for part in pair if part not in self.ids})
-        found = self.tok.encode_batch(
+        split = list(map(self.parts, words))
+        new = list(set(chain.from_iterable(split)).difference(self.ids))
+        # Where tokens lie in their word is not asked for.
+        found = self.tok.encode_batch_fast(
             [part.decode("utf-8", "replace") for part in new], add_special_tokens=False
         )
-        self.ids.update((part, own.ids) for part, own in zip(new, found))
-        return [
-            self.ids[core] + self.ids[tail] if tail else self.ids[core] for core, tail in split
-        ]
+        ids = self.ids
+        ids.update((part, own.ids) for part, own in zip(new, found))
+        return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
 
     def tokens(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts behind each other, each text's followed by ``end_id``, and
