@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tidewheel.llm import packing
 from tidewheel.llm.common import public_path, tokenizer
@@ -51,6 +52,33 @@ def test_words_are_encoded_without_their_places():
     assert found == [tok.encode(w, add_special_tokens=False).ids for w in whole]
 
 
+def test_latin_letters_go_straight_to_the_model():
+    class Counted:
+        """The tokenizer, and the words that went through all of its steps."""
+
+        def __init__(self, tok):
+            self.tok, self.words = tok, []
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, words, **options):
+            self.words += words
+            return self.tok.encode_batch_fast(words, **options)
+
+    words = packing.WordParts(VOCABULARY)
+    words.tok = counted = Counted(words.tok)
+    rare = "".join(packing.LETTERS)
+    texts = ["Hello, HELLO \u00c9t\u00e9s; na\u00efve!", rare, f"{rare[::-1]}? e\u0301te x1 \u0130i it's"]
+    texts += ["\u03a3\u03c2 \u1100\u1161 AB<|endoftext|>Cd Ef.", ""]
+    tokens, upto = words.tokens(pa.array(texts), packing.END_ID)
+    tok = tokenizer(VOCABULARY)
+    for text, begin, stop in zip(texts, upto, upto[1:]):
+        assert tokens[begin:stop].tolist() == ids_of(text, tok)
+    assert "x1" in counted.words
+    assert not {"hello", "ab", "\u00e9t\u00e9s", "\u00c9t\u00e9s", "na\u00efve"} & set(counted.words)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_a_packing_and_a_tight_one(seed):
     rng = random.Random(seed)

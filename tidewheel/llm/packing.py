@@ -14,9 +14,9 @@ share is sorted in many tasks.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,22 +109,48 @@ def _is_letter(char: str) -> bool:
     return char.isalpha() and len(char.lower()) == 1
 
 
+# Letters that neither the composition of marks nor their neighbours change.
+LETTERS = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+
+
 class WordParts:
-    """Ids of words. A word that is new falls into a core and the punctuation behind it,
-    where the tokenizer parts them itself: most rare words come with and without
-    punctuation, and in either case, so fewer are encoded. What is known ends with the
-    task: kept by the workers it would take memory from the stages that follow."""
+    """Ids of words. A word falls into a core and the punctuation behind it, where the
+    tokenizer parts them itself: most rare words come with and without punctuation, and
+    in either case, so fewer are encoded. A core of Latin letters goes straight to the
+    tokenizer's model, as its other steps only map such letters one by one. What is known
+    ends with the task: kept by the workers it would take memory from the stages that
+    follow."""
 
     def __init__(self, vocabulary: str):
         self.tok = tokenizer(vocabulary)
         self.folds = self._normal("Ab") == "ab"
         self.tails: dict[bytes, bool] = {}
-        self.ids: dict[bytes, list[int]] = {}
+        self.model, self.letters = self.tok.model, self._letters()
+        self.plain = re.compile("[%s]+" % "".join(map(chr, self.letters)) if self.letters else "(?!)")
         self.cache = WordTokens(self._encode)
 
     def _normal(self, text: str) -> str:
         return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
 
+    def _letters(self) -> dict[int, str]:
+        """What the model sees of each Latin letter, if it sees a run of them whole."""
+        split = self.tok.pre_tokenizer
+        added = self.tok.get_added_tokens_decoder().values()
+        if split is None or any("<|" not in token.content for token in added):
+            return {}
+        seen = {}
+        for char in LETTERS:
+            normal = self._normal(char)
+            pieces = split.pre_tokenize_str(normal)
+            if len(normal) == 1 and len(pieces) == 1:
+                seen[ord(char)] = pieces[0][0]
+        run = "".join(map(chr, seen))
+        for text in (run, run[::-1], run + run):
+            whole = [piece for piece, _ in split.pre_tokenize_str(self._normal(text))]
+            if whole != [text.translate(seen)]:
+                return {}
+        return seen
+
     def _parts_off(self, tail: bytes) -> bool:
         """Whether the tokenizer parts such punctuation from letters before it."""
         if tail not in self.tails:
@@ -136,48 +162,60 @@ class WordParts:
             self.tails[tail] = bool(cuts) and cuts[0] == (0, len(ahead)) and len(cuts) == 2
         return self.tails[tail]
 
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        # Special tokens are looked for in the text as it is.
-        if b"<|" in word:
-            return word, b""
-        if self.folds:
-            word = word.lower()
-        if word.isalpha():
-            return word, b""
-        core = word.rstrip(TAIL)
-        if len(core) == len(word) or not core:
-            return word, b""
-        tail = word[len(core) :]
-        letter = core[-1:].isalpha() or (core[-1] > 127 and _is_letter(core.decode()[-1]))
-        return (core, tail) if letter and self._parts_off(tail) else (word, b"")
+    def folded(self, texts: pa.Array) -> pa.Array:
+        """The texts in lower case, if the tokenizer takes them so. Special tokens are
+        looked for in the text as it is."""
+        if not self.folds:
+            return texts
+        special = pc.match_substring(texts, "<|")
+        return pc.if_else(special, texts, pc.ascii_lower(texts))
+
+    def parts(self, words: pa.Array) -> tuple[list[bytes], list[bytes]]:
+        """Each word's core and the punctuation behind it, or the word and nothing."""
+        trimmed = pc.ascii_rtrim(words, characters=TAIL.decode())
+        cores = words.cast(pa.binary()).to_pylist()
+        tails = [b""] * len(cores)
+        shorter = pc.not_equal(pc.binary_length(trimmed), pc.binary_length(words))
+        for i in np.flatnonzero(shorter.to_numpy(zero_copy_only=False)).tolist():
+            word = cores[i]
+            core = word.rstrip(TAIL)
+            if not core or b"<|" in word:
+                continue
+            letter = core[-1:].isalpha() or (core[-1] > 127 and _is_letter(core.decode()[-1]))
+            if letter and self._parts_off(word[len(core) :]):
+                cores[i], tails[i] = core, word[len(core) :]
+        return cores, tails
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.ids) > self.cache.limit:
-            self.ids.clear()
-        split = list(map(self.parts, words))
-        new = list(set(chain.from_iterable(split)).difference(self.ids))
+        texts = [word.decode("utf-8", "replace") for word in words]
+        whole, model, letters = self.plain.fullmatch, self.model.tokenize, self.letters
+        ids = [
+            [token.id for token in model(text.translate(letters))] if whole(text) else None
+            for text in texts
+        ]
+        rest = [i for i, own in enumerate(ids) if own is None]
         # Where tokens lie in their word is not asked for.
-        found = self.tok.encode_batch_fast(
-            [part.decode("utf-8", "replace") for part in new], add_special_tokens=False
-        )
-        ids = self.ids
-        ids.update((part, own.ids) for part, own in zip(new, found))
-        return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
+        found = self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, own in zip(rest, found):
+            ids[i] = own.ids
+        return ids
 
     def tokens(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts behind each other, each text's followed by ``end_id``, and
         where each begins, with the end of all. The texts are split and their distinct
         words found for all at once; empty words, around a text, have no ids."""
         self.cache.make_room()
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(self.folded(texts))
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        known = self.cache.numbers(distinct, len(distinct))
+        cores, tails = self.parts(coded.dictionary)
+        known = np.empty((len(cores), 2), np.int32)
+        known[:, 0] = self.cache.numbers(cores, len(cores))
+        known[:, 1] = self.cache.numbers(tails, len(tails))
         self.cache.settle()
-        numbers = known[coded.indices.to_numpy(zero_copy_only=False)]
+        numbers = known[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         ends = np.concatenate([[0], np.cumsum(self.cache.count[numbers], dtype=np.int64)])
         words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        upto = ends[np.concatenate([[0], np.cumsum(words, dtype=np.int64)])]
+        upto = ends[2 * np.concatenate([[0], np.cumsum(words, dtype=np.int64)])]
         # Behind each text one place is left for its end.
         upto += np.arange(len(upto))
         tokens = np.full(int(upto[-1]), end_id, "<u4")
