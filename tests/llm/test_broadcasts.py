@@ -25,3 +25,25 @@ def test_long_lines_are_not_broadcast(spark, monkeypatch):
         clean = line_dedup.drop_boilerplate(docs, F.col("host"), F.col("text"))
         assert ("broadcast" in plan(clean)) is way
         assert sorted(r["clean_text"] for r in clean.collect()) == sorted(f"own {i}" for i in range(20))
+
+
+def test_whole_sets_do_not_shuffle_to_meet_few_keys(spark, monkeypatch):
+    """Nor do they lose a link where the keys are too many to be broadcast."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:40], f"x{i}", *words[41:]])) for i in range(3)]
+    rows += [(9, " ".join(f"y{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plans, written = {}, jaccard_join.written
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(plan(df))
+        return written(df, label)
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    for most, way in ((jaccard_join.BROADCAST_BYTES, True), (-1, False)):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", most)
+        plans.clear()
+        found = jaccard_join.near_duplicates(docs).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 0, 9: 9}
+        for label in ("maybe-links", "block-sets"):
+            assert all(("broadcast" in p) is way for p in plans[label])

@@ -130,3 +130,30 @@ def test_word_cache_starts_over_when_full():
         numbers = cache.numbers(words, len(words))
         cache.settle()
         assert cache.ids(numbers).tolist() == list(b"".join(words))
+
+
+def test_a_task_works_on_few_rows_and_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+    from tidewheel.llm import common
+
+    seen, given = [], []
+
+    def run(batches):
+        for batch in batches:
+            seen.append(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(common, "release", lambda: given.append(len(seen)))
+    whole = [pa.record_batch({"id": list(range(2500))}), pa.record_batch({"id": [7]})]
+    out = [v for b in common.lean(run)(iter(whole)) for v in b.column(0).to_pylist()]
+    assert out == [*range(2500), 7]
+    assert seen == [1000, 1000, 500, 1] and given == [4]
+
+
+def test_memory_that_arrow_keeps_is_given_back():
+    import pyarrow as pa
+    from tidewheel.llm import common
+
+    held = pa.array(range(100_000))
+    common.release()
+    assert held[99_999].as_py() == 99_999

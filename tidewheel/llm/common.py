@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, wraps
 from itertools import chain
 from pathlib import Path
 
@@ -49,6 +50,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a batch that are worked on at a time.
+ROWS = 1_000
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` on a few rows at a time, so that texts are not there several times over by
+    the batch. What its task had is given back to the system at its end: else the
+    worker would hold it beside the stages that follow."""
+
+    @wraps(run)
+    def steps(batches: Batches) -> Batches:
+        yield from run(
+            whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)
+        )
+        release()
+
+    return steps
+
+
+def release() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # Bytes of strings and numbers that may be broadcast.
 BROADCAST_BYTES = 1 << 27
 

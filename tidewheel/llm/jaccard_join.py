@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import BROADCAST_BYTES, WORD, octets, utf8_column, written
+from tidewheel.llm.common import BROADCAST_BYTES, ROWS, WORD, lean, octets, utf8_column, written
 from tidewheel.llm.components import components
-from tidewheel.llm.pruning import ROWS, KeyFilter, known
+from tidewheel.llm.pruning import KeyFilter, known
 
 WIDTH = 5
 PERCENT = 80
@@ -47,6 +47,8 @@ FREQUENT = 32
 EXTEND_BY = 16
 # Rows that may be broadcast, within BROADCAST_BYTES.
 BROADCAST_ROWS = 4_000_000
+# Keys of sets: a quarter of that, as in memory they are several times as long.
+KEYS = 4
 # Blocks of 8 bytes of a filter of tokens, at most.
 FILTER_BLOCKS = BROADCAST_BYTES // 8
 # Sets of under so many tokens have CELLS cells; beyond, cells grow with the extension.
@@ -54,8 +56,8 @@ FEW_TOKENS = 6 * EXTEND_BY
 # Tokens and sets that are loaded together to be verified, and rows and columns of a matrix.
 BLOCK_TOKENS = 1 << 20
 BLOCK_SETS = 4096
-STRIP = 1024
-COLUMNS = 4096
+STRIP = 512
+COLUMNS = 2048
 # Parts of the blocks, by pairs of which candidates are verified: so many at least, and
 # more where one would hold more tokens than this.
 GROUPS = 32
@@ -103,11 +105,11 @@ def extension(n: int) -> int:
     return max(1 + CELLS, n // EXTEND_BY)
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """The rows, to be broadcast if they are few and small enough; else Spark shuffles
-    them."""
+def _small(rows: DataFrame, share: int = 1) -> DataFrame:
+    """The rows, to be broadcast if they are few and small enough, that is within one of
+    ``share`` parts of the bound; else Spark shuffles them."""
     n, size = rows.agg(F.count(F.lit(1)), F.sum(octets(rows))).first()
-    few = n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    few = n <= BROADCAST_ROWS // share and (size or 0) <= BROADCAST_BYTES // share
     return F.broadcast(rows) if few else rows
 
 
@@ -149,7 +151,7 @@ def _sets(docs: DataFrame, percent: int, width: int, whole: bool) -> DataFrame:
                 names=schema.fieldNames(),
             )
 
-    return docs.select("id", "place", "text").mapInArrow(run, schema)
+    return docs.select("id", "place", "text").mapInArrow(lean(run), schema)
 
 
 def _near(n: Column, m: Column, percent: int) -> Column:
@@ -206,6 +208,8 @@ def _similar(
         .union(keyed.select("x", "y", "b"))
         .distinct()
     )
+    # Few enough of them save a shuffle of whole sets.
+    needed = _small(written(needed, "needed"), KEYS)
 
     def judge(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         # Tokens are sorted as numbers without a sign.
@@ -403,8 +407,10 @@ def links_between(low: pd.DataFrame, high: pd.DataFrame, percent: int) -> pd.Dat
     for start in range(0, len(low), STRIP):
         strip = slice(start, start + STRIP)
         both = overlaps(tokens[0][strip], tokens[1])
-        union = sizes[0][strip, None] + sizes[1][None, :] - both
-        linked = (100 * both >= percent * union) & (roots[0][strip, None] != roots[1][None, :])
+        # Of n and m tokens, k shared: 100 k >= percent (n + m - k).
+        both *= 100 + percent
+        least = percent * (sizes[0][strip, None] + sizes[1][None, :])
+        linked = (both >= least) & (roots[0][strip, None] != roots[1][None, :])
         for i, j in np.argwhere(linked):
             a, b = find(roots[0][start + i]), find(roots[1][j])
             if a != b:
@@ -416,7 +422,7 @@ def links_between(low: pd.DataFrame, high: pd.DataFrame, percent: int) -> pd.Dat
 def _links_within(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Links between different groups of the sets (digest, root, tokens) of each family,
     as many as hold together what they hold together."""
-    held = blocks.join(sets.select("digest", "root", "tokens"), "digest")
+    held = sets.select("digest", "root", "tokens").join(_small(blocks, KEYS), "digest")
     held = written(held, "block-sets")
     pairs = written(_pairs_within(held), "block-pairs")
     own = held.select(
@@ -490,7 +496,7 @@ def near_duplicates(
     enough = _with_enough(sets, _several(sets), _overlap(percent))
     sets = written(enough.dropDuplicates(["digest"]), "whole-sets")
     shared = written(
-        prefixes.join(sets.select("digest"), "digest").select(
+        prefixes.join(_small(sets.select("digest"), KEYS), "digest").select(
             "digest", "n", F.explode("tokens").alias("token")
         ),
         "shared",
@@ -503,8 +509,9 @@ def near_duplicates(
     links = written(
         verified(star, sets, written(_blocks(named), "blocks"), percent), "star-links"
     )
-    held = _rooted(sets.join(named.select("digest", "family"), "digest"), components(links))
-    held = written(_linkable(written(held, "grouped"), "root", percent), "linkable")
+    grouped = written(_rooted(named, components(links)), "grouped").drop("n")
+    held = sets.join(_small(grouped, KEYS), "digest")
+    held = written(_linkable(held, "root", percent), "linkable")
     blocks = written(_blocks(held.select("digest", "n", "family")), "blocks")
     within = written(_links_within(held, blocks, percent), "family-links")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import WordTokens, tokenizer, written
+from tidewheel.llm.common import WordTokens, lean, tokenizer, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -92,7 +92,7 @@ def tokenised_pieces(
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def by_size(sizes: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

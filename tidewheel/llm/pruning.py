@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import ROWS
+
 # Blocks per key, and blocks at most: 8 bytes each in the broadcast.
 BLOCKS_PER_KEY = 0.25
 BLOCKS = 1 << 22
 # Shifts of the key that name a block's bits, and the one that names the block.
 BIT_SHIFTS, BLOCK_SHIFT = (0, 6, 12, 18), 24
-# Rows of a batch that are chosen from at a time.
-ROWS = 1_000
 
 
 def known(table: np.ndarray, key: np.ndarray) -> np.ndarray:

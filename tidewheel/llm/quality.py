@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import WordTokens, by_bytes, utf8_column
+from tidewheel.llm.common import WordTokens, by_bytes, lean, utf8_column
 
 WINDOW = 8
 ENTROPY_TOKENS = 256
@@ -263,4 +263,4 @@ def fertility_quality(
                 batch.columns[:-2] + arrays, names=[*[f.name for f in kept], *names]
             )
 
-    return source.mapInArrow(run, T.StructType([*kept, *added]))
+    return source.mapInArrow(lean(run), T.StructType([*kept, *added]))
