@@ -1,0 +1,102 @@
+"""Words found and hashed on arrays, against bytes.split()."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tidewheel.llm import jaccard_join as jj
+from tidewheel.llm.common import ROWS, small_batches
+from tidewheel.llm.words import joined, word_ranges, words_of
+
+
+@pytest.fixture(scope="module")
+def odd():
+    rng = random.Random(4)
+    out = [None, "", " ", "a", "A b", "\x1c\x85 \x0b\x0cz", "ü 　 x\xa0y", "w" * 7, "w" * 8, "w" * 9]
+    out += ["p" * 63, "p" * 64, "p" * 65, "p" * 300 + " q", "x" * 16 + " " + "x" * 17]
+    for _ in range(200):
+        words = ["ab"[: rng.randint(1, 2)] * rng.randint(1, 40) for _ in range(rng.randint(0, 30))]
+        out.append("".join(w + rng.choice([" ", "\t\n", "\r", "  "]) for w in words) + rng.choice(["", "End"]))
+    return out
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+
+@pytest.mark.parametrize("limit", [1, 300, 1 << 19])
+def test_words_and_their_hashes(odd, limit):
+    # Rows before and behind the slice are not looked at.
+    batch = batch_of(["before", *odd, "behind"]).slice(1, len(odd))
+    seen, places, rows = {}, [], 0
+    for low, high, words in word_ranges(batch, "text", limit):
+        assert low == rows and high > low
+        rows = high
+        flat = [bytes(words.data[a:b]) for a, b in zip(words.starts, words.stops)]
+        assert flat == [w for t in odd[low:high] for w in (t or "").encode().split()]
+        assert words.counts.tolist() == [len((t or "").encode().split()) for t in odd[low:high]]
+        places += list(zip(flat, words.hashes().tolist()))
+        lower = [bytes(words.lowered().data[a:b]) for a, b in zip(words.starts, words.stops)]
+        assert lower == [w.lower() for w in flat]
+    assert rows == len(odd)
+    # One hash for a word wherever it stands, and another for each word.
+    for word, number in places:
+        assert seen.setdefault(word, number) == number
+    assert len(set(seen.values())) == len(seen) > 60
+
+
+def test_words_that_stay_are_joined(odd):
+    rng = np.random.default_rng(3)
+    for low, high, words in word_ranges(batch_of(odd), "text", 400):
+        stay = rng.random(len(words.starts)) < 0.6
+        left = iter(stay.tolist())
+        expected = [b" ".join([w for w in (t or "").encode().split() if next(left)]) for t in odd[low:high]]
+        assert joined(words, stay).to_pylist() == [e.decode() for e in expected]
+    # No UTF-8: as Python replaces it.
+    broken = words_of(np.frombuffer(b"a \xff\xfe  b", np.uint8), np.array([0, 7]))
+    assert joined(broken, np.ones(3, bool)).to_pylist() == [b"a \xff\xfe b".decode("utf-8", "replace")]
+
+
+def test_empty_batches_have_no_words():
+    assert not list(word_ranges(batch_of([]), "text"))
+    ((low, high, words),) = word_ranges(batch_of([None, None]), "text")
+    assert (low, high, words.counts.tolist()) == (0, 2, [0, 0])
+    assert joined(words, np.zeros(0, bool)).to_pylist() == ["", ""]
+
+
+def test_shingle_sets_are_those_of_each_text(odd):
+    """As many tokens, and as many in common, as by the plain version."""
+    cache = jj.WordHashes()
+    plain = [jj.shingles((t or "").encode(), cache) for t in odd]
+    found = [s for _, _, words in word_ranges(batch_of(odd), "text", 500) for s in jj.shingle_sets(words)]
+    assert [len(s) for s in found] == [len(s) for s in plain]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in found)
+    for _ in range(2000):
+        i, j = np.random.default_rng(_).integers(0, len(odd), 2)
+        assert len(np.intersect1d(found[i], found[j])) == len(np.intersect1d(plain[i], plain[j]))
+
+
+def test_no_word_becomes_an_object(spark, monkeypatch):
+    """The join keeps no cache of words in a worker."""
+    monkeypatch.setattr(jj, "WordHashes", None)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f")], "doc_id int, text string")
+    found = jj.near_duplicates(docs).select("n_shingles", "component_id").collect()
+    assert [tuple(r) for r in found] == [(2, 1), (2, 1)]
+
+
+def test_rows_go_to_python_by_few(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        rows = spark.range(0, 3 * ROWS + 5, 1, 1).mapInArrow(sizes, "n bigint")
+        assert [r["n"] for r in rows.collect()] == [ROWS] * 3 + [5]
+        1 / 0
+    assert spark.conf.get(key) == before
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id int, text string")
+    assert jj.near_duplicates(docs).count() == 2 and spark.conf.get(key) == before

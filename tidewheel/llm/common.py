@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 from itertools import chain
 from pathlib import Path
@@ -70,6 +71,19 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return steps
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to Python by ROWS rows at most: Spark's 10,000 texts
+    or sets would be held by the executor, and by its worker, at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), ROWS) if int(before) > 0 else ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release() -> None:
     """Memory that Arrow and the C library keep for later goes back to the system."""
     pa.default_memory_pool().release_unused()

@@ -34,9 +34,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import BROADCAST_BYTES, ROWS, WORD, lean, octets, utf8_column, written
+from tidewheel.llm.common import (
+    BROADCAST_BYTES,
+    ROWS,
+    WORD,
+    lean,
+    octets,
+    release,
+    small_batches,
+    written,
+)
 from tidewheel.llm.components import components
 from tidewheel.llm.pruning import KeyFilter, known
+from tidewheel.llm.words import Words, word_ranges
 
 WIDTH = 5
 PERCENT = 80
@@ -86,15 +96,30 @@ def shingles(text: bytes, cache: WordHashes, width: int = WIDTH) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    size = min(n, width)
-    many = n - size + 1
+    return np.unique(_runs(hashes, min(n, width)))
+
+
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    many = max(len(hashes) - size + 1, 0)
     mixed = np.full(many, size, np.uint64)
     for i in range(size):
         mixed = (mixed ^ hashes[i : i + many]) * _FACTOR
         mixed ^= mixed >> np.uint64(32)
     mixed *= _MIX
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingle_sets(words: Words, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """``shingles`` of each of many texts, by hashes of their own."""
+    hashes = words.lowered().hashes()
+    mixed = _runs(hashes, width)
+    for first, n in zip(words.firsts().tolist(), words.counts.tolist()):
+        if n >= width:
+            yield np.unique(mixed[first : first + n - width + 1])
+        else:
+            yield _runs(hashes[first : first + n], n) if n else np.zeros(0, np.uint64)
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -127,29 +152,31 @@ def _sets(docs: DataFrame, percent: int, width: int, whole: bool) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            sizes, digests, tokens = [], [], []
-            for doc in utf8_column(batch, "text"):
-                own = shingles(doc, cache, width)
-                n = len(own)
-                sizes.append(n)
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                if not whole:
-                    errors = n - _least_overlap(n, percent)
-                    alone = percent * (n + 1) > 100 * n
-                    own = own[: 0 if alone else errors + extension(n)]
-                tokens.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(tokens, pa.list_(pa.int64())),
-                ],
-                names=schema.fieldNames(),
-            )
+            for low, high, words in word_ranges(batch, "text"):
+                sizes, digests, tokens = [], [], []
+                for own in shingle_sets(words, width):
+                    n = len(own)
+                    sizes.append(n)
+                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    if not whole:
+                        errors = n - _least_overlap(n, percent)
+                        alone = percent * (n + 1) > 100 * n
+                        own = own[: 0 if alone else errors + extension(n)]
+                    tokens.append(own)
+                offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(low, high - low),
+                        batch.column(1).slice(low, high - low),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.ListArray.from_arrays(
+                            pa.array(offsets), pa.array(np.concatenate(tokens).view(np.int64))
+                        ),
+                    ],
+                    names=schema.fieldNames(),
+                )
 
     return docs.select("id", "place", "text").mapInArrow(lean(run), schema)
 
@@ -225,6 +252,8 @@ def _similar(
             both = int((y[place] == x).sum())
             if 100 * both >= percent * (n + m - both):
                 links.append((a, b))
+        del known, held
+        release()
         return pd.DataFrame(links, columns=["a", "b"])
 
     return (
@@ -439,7 +468,9 @@ def _links_within(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame
         sides = [part[~part["other"]], part[part["other"]]]
         if not len(sides[1]):
             sides[1] = sides[0]
-        return links_between(*sides, percent)
+        links = links_between(*sides, percent)
+        release()
+        return links
 
     return loaded.groupBy("low", "high").applyInPandas(judge, "a binary, b binary")
 
@@ -463,6 +494,13 @@ def near_duplicates(
     reachable like any other but is no component's id unless all of its ids are null.
     Other columns are not looked at; an empty table gives no row.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, doc_id, text, percent, width, frequent)
+
+
+def _near_duplicates(
+    docs: DataFrame, doc_id: str, text: str, percent: int, width: int, frequent: int
+) -> DataFrame:
     source = docs.select(
         F.col(doc_id).alias("id"),
         F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("place"),
@@ -605,6 +643,7 @@ def _with_enough(
                     columns[place] = pa.ListArray.from_arrays(offsets, flat[hit])
                 kept = pa.RecordBatch.from_arrays(columns, names=names)
                 yield kept.filter(pa.array(enough))
+        release()
 
     return rows.mapInArrow(choose, rows.schema)
 
