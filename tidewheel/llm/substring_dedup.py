@@ -18,43 +18,27 @@ What is left is a repeat, and its interval's first suffix is the one that stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import by_bytes, utf8_column, written
+from tidewheel.llm.common import lean, written
 from tidewheel.llm.pruning import KeyFilter
+from tidewheel.llm.words import joined, word_ranges
 
 SPAN = 20
 GRAM = 6
 SHARD_WORDS = 300_000
-# Texts that are cut into stretches at once.
-RANGE_BYTES = 1 << 19
+# Bits of a word's number that a level of the wavelet matrix tells apart.
+DIGIT = 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def _run_hash(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` words."""
     many = len(words) - size + 1
@@ -101,40 +85,42 @@ def stretches(words: np.ndarray, span: int, gram: int, texts: np.ndarray | None
 
 
 class BitRank:
-    """Bits in 64-bit blocks with the ones before each block."""
+    """How many of the bits before each place are ones, as running counts."""
 
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros(len(bits) // 64 * 64 + 64, bool)
-        padded[: len(bits)] = bits
-        self.blocks = np.packbits(padded, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(self.blocks)
-        self.before = np.concatenate([[0], np.cumsum(ones[:-1], dtype=np.int64)])
-        self.ones = int(ones.sum())
+        kind = np.int32 if len(bits) < 1 << 31 else np.int64
+        self.before = np.zeros(len(bits) + 1, kind)
+        np.cumsum(bits, out=self.before[1:])
+        self.ones = int(self.before[-1])
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        block = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[block] + np.bitwise_count(self.blocks[block] & mask)
+        return self.before[at]
 
 
 class WaveletMatrix:
-    """How often a symbol occurs before a place, from one bit vector per symbol bit."""
+    """How often a symbol occurs before a place, by a level per DIGIT bits of the symbols.
+    Each level sorts them stably by their digit there and holds, for each digit and place,
+    where the next symbol of that digit goes: one look-up a level and place."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.levels: list[tuple[int, BitRank, int]] = []
-        for level in reversed(range(bits)):
-            ones = (symbols >> level) & 1 == 1
-            zeros = int(len(ones) - ones.sum())
-            self.levels.append((level, BitRank(ones), zeros))
-            symbols = np.concatenate([symbols[~ones], symbols[ones]])
+        self.size = len(symbols) + 1
+        self.levels: list[tuple[int, np.ndarray]] = []
+        for level in reversed(range(0, bits, DIGIT)):
+            digits = (symbols >> level) & ((1 << DIGIT) - 1)
+            own = [digits == d for d in range(1 << DIGIT)]
+            ranks = [BitRank(o) for o in own]
+            begins = np.cumsum([0] + [r.ones for r in ranks[:-1]])
+            goes = [r.before + r.before.dtype.type(b) for r, b in zip(ranks, begins)]
+            self.levels.append((level, np.concatenate(goes)))
+            symbols = np.concatenate([symbols[o] for o in own])
 
     def count(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Occurrences of each symbol before its place, on top of a start per symbol."""
-        for level, bits, zeros in self.levels:
-            ones = bits.rank(at)
-            one = (symbol >> level) & 1 == 1
-            at = np.where(one, zeros + ones, at - ones)
+        """Occurrences of each symbol before its place, on top of a start per symbol;
+        ``at`` may have several rows of places."""
+        for level, goes in self.levels:
+            digit = (symbol >> level) & ((1 << DIGIT) - 1)
+            at = goes[digit * self.size + at]
         return at
 
     def begin(self, symbol: np.ndarray) -> np.ndarray:
@@ -174,8 +160,7 @@ class FmIndex:
             within = word > 0
             active, low, high, word = (x[within] for x in (active, low, high, word))
             base = self.first[word] - self.begin[word]
-            low = base + self.wavelet.count(word, low)
-            high = base + self.wavelet.count(word, high)
+            low, high = base + self.wavelet.count(word, np.stack([low, high]))
             on = high - low > 1
             active, low, high = active[on], low[on], high[on]
             matched[active] = step
@@ -185,8 +170,9 @@ class FmIndex:
         """First place in the text among the suffixes of each interval."""
         if not len(low):
             return low
-        known, back = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
-        cuts = known.T.ravel()
+        pairs = low * (len(self.suffixes) + 1) + high
+        _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+        cuts = np.stack([low[first], high[first]], axis=1).ravel()
         padded = np.append(self.suffixes, np.iinfo(np.int64).max)
         # Every second of the reduced pieces is an interval, the others lie between.
         return np.minimum.reduceat(padded, cuts)[::2][back.ravel()]
@@ -204,8 +190,7 @@ def _suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         ahead = np.full(n, -1, np.int64)
         ahead[: n - width] = rank[width:]
         pair = rank * (n + len(marks) + int(text.max(initial=0)) + 2) + ahead + 1
-        order = np.argsort(pair)
-        pair = pair[order]
+        order, pair = _sorted(pair)
         places = np.cumsum(np.append(False, pair[1:] != pair[:-1]))
         width *= 2
         if width >= depth or n == 0 or places[-1] == n - 1:
@@ -214,11 +199,29 @@ def _suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = places
 
 
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the numbers, from 0 on, in their order, and the numbers in it. Where
+    a place fits into the number as well, plain numbers are sorted, which is faster."""
+    bits = max(len(values) - 1, 1).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(values)
+        return order, values[order]
+    both = np.sort(values << bits | np.arange(len(values)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def repeated_windows(words: list[np.ndarray], span: int = SPAN) -> list[np.ndarray]:
     """For each stretch, in order, which of its windows occur earlier in the shard."""
     sizes = np.array([len(w) for w in words], np.int64)
-    numbers = np.unique(np.concatenate(words), return_inverse=True)[1].ravel() + 1
-    text = np.zeros(int(sizes.sum()) + len(words), np.int64)
+    earlier = _earlier(np.concatenate(words), sizes, span)
+    return np.split(earlier, np.cumsum(sizes - span + 1)[:-1])
+
+
+def _earlier(words: np.ndarray, sizes: np.ndarray, span: int) -> np.ndarray:
+    """Which windows of the stretches, ``sizes`` words each behind each other, occur
+    earlier."""
+    numbers = np.unique(words, return_inverse=True)[1].ravel() + 1
+    text = np.zeros(len(words) + len(sizes), np.int64)
     inside = np.ones(len(text), bool)
     inside[np.cumsum(sizes + 1) - 1] = False
     text[inside] = numbers
@@ -230,16 +233,21 @@ def repeated_windows(words: list[np.ndarray], span: int = SPAN) -> list[np.ndarr
     _, found, low, high = index.search(text, starts + span, span)
     earlier = np.zeros(len(starts), bool)
     earlier[found] = index.earliest(low, high) < starts[found]
-    return np.split(earlier, np.cumsum(windows)[:-1])
+    return earlier
 
 
-def _spans(start: int, earlier: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """Runs of windows as word intervals."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], earlier.astype(np.int8), [0]])))
-    return [
-        (start + int(a), start + int(b) + span - 1)
-        for a, b in zip(edges[::2], edges[1::2])
-    ]
+def _spans(earlier: np.ndarray, windows: np.ndarray, span: int):
+    """Runs of windows within one stretch, as word intervals of it: the stretch's number,
+    first word and the one behind the last."""
+    ends = np.cumsum(windows)
+    begins = ends - windows
+    opens, closes = earlier.copy(), earlier.copy()
+    opens[1:] &= ~earlier[:-1]
+    closes[:-1] &= ~earlier[1:]
+    opens[begins], closes[ends - 1] = earlier[begins], earlier[ends - 1]
+    opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+    row = np.searchsorted(ends, opens, "right")
+    return row, opens - begins[row], closes - begins[row] + span
 
 
 def repeated_spans(
@@ -250,19 +258,14 @@ def repeated_spans(
     key = [docs.schema["id"], docs.schema["tie"]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            texts = utf8_column(batch, "text")
-            for low, high in by_bytes(texts, RANGE_BYTES):
-                split = [doc.split() for doc in texts[low:high]]
-                sizes = np.array([len(own) for own in split])
+            for low, _, found in word_ranges(batch, "text"):
+                sizes = found.counts
                 long = sizes >= span
                 if not long.any():
                     continue
+                words = found.hashes()[np.repeat(long, sizes)]
                 sizes = sizes[long]
-                words = cache.of(
-                    list(chain.from_iterable(own for own in split if len(own) >= span))
-                )
                 least, at, many, inner = stretches(words, span, gram, sizes)
                 # Hash of a stretch: difference of running sums, kept apart by length.
                 digest = _positional(words, at, at + many + span - 1)
@@ -295,7 +298,7 @@ def repeated_spans(
         ]
     )
     runs = written(
-        docs.select("id", "tie", "text").mapInArrow(cut, cut_schema), "stretches"
+        docs.select("id", "tie", "text").mapInArrow(lean(cut), cut_schema), "stretches"
     )
     several = (
         runs.groupBy("least")
@@ -381,43 +384,46 @@ def _indexed(
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            row, start, bucket, large, out = [], [], [], [], []
-            leasts, places = batch.column(3), batch.column(4)
-            for i, doc in enumerate(utf8_column(batch, "text")):
-                words = cache.of(doc.split())
-                hashes = None
-                for own, place in zip(leasts[i].as_py(), places[i].as_py()):
-                    at, many, split = place >> 32, (place & 0xFFFFFFFF) >> 1, bool(place & 1)
-                    if not split:
-                        cuts = [(at, at + many + span - 1, own)]
-                    else:
-                        if hashes is None:
-                            hashes = _run_hash(words, span, 1).view(np.int64)
-                        cuts = [
-                            (w, w + span, int(hashes[w])) for w in range(at, at + many)
-                        ]
-                    for low, high, key_ in cuts:
-                        row.append(i)
-                        start.append(low)
-                        bucket.append(key_)
-                        large.append(split)
-                        out.append(words[low:high].view(np.int64))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(start, pa.int32()),
-                    pa.array(bucket, pa.int64()),
-                    pa.array(large, pa.bool_()),
-                    pa.array(out, pa.list_(pa.int64())),
-                ],
-                names=schema.fieldNames(),
-            )
+            lists = [batch.column(i) for i in (3, 4)]
+            ends = np.cumsum(_lengths(lists[0]))
+            own, place = (_flat(column) for column in lists)
+            for low, high, found in word_ranges(batch, "text"):
+                part = slice(int(ends[low - 1]) if low else 0, int(ends[high - 1]))
+                text = np.searchsorted(ends, np.arange(part.start, part.stop), "right") - low
+                at, many = place[part] >> 32, (place[part] & 0xFFFFFFFF) >> 1
+                split = (place[part] & 1).astype(bool)
+                # A split stretch is cut into each of its windows.
+                cuts = np.where(split, many, 1)
+                nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                text, at, split = (np.repeat(v, cuts) for v in (text, at, split))
+                at = at + nth
+                sizes = np.where(split, 1, np.repeat(many, cuts)) + span - 1
+                words = found.hashes()
+                begins = found.firsts()[text] + at
+                bucket = np.repeat(own[part], cuts)
+                if split.any():
+                    windows = _run_hash(words, span, 1).view(np.int64)
+                    bucket[split] = windows[begins[split]]
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                inside = np.arange(int(offsets[-1])) + np.repeat(begins - offsets[:-1], sizes)
+                take = pa.array(text + low)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(take),
+                        batch.column(1).take(take),
+                        pa.array(at.astype(np.int32)),
+                        pa.array(bucket),
+                        pa.array(split),
+                        pa.ListArray.from_arrays(
+                            pa.array(offsets.astype(np.int32)),
+                            pa.array(words[inside].view(np.int64)),
+                        ),
+                    ],
+                    names=schema.fieldNames(),
+                )
 
-    indexed = texts.mapInArrow(fetch, schema)
+    indexed = texts.mapInArrow(lean(fetch), schema)
     again = None
     if not large.isEmpty():
         # Equal single windows are one before they go to a shard, the others repeats.
@@ -452,22 +458,16 @@ def _indexed(
         # Rows that repeat a document bring its stretches again.
         rows = rows.filter(pa.array(~_repeated(rows.select(keys))))
         words = rows.column("words").combine_chunks()
-        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        cuts = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        earlier = repeated_windows(np.split(flat, cuts[:-1]), span)
-        found = [
-            (i, a, b)
-            for i, (start, own) in enumerate(zip(rows.column("start").to_pylist(), earlier))
-            if own.any()
-            for a, b in _spans(start, own, span)
-        ]
-        at = pa.array([i for i, _, _ in found], pa.int64())
+        sizes = _lengths(words)
+        earlier = _earlier(_flat(words).view(np.uint64), sizes, span)
+        row, first, stop = _spans(earlier, sizes - span + 1, span)
+        start = rows.column("start").to_numpy()[row]
         return pa.table(
             {
-                "id": rows.column("id").take(at),
-                "tie": rows.column("tie").take(at),
-                "start": pa.array([a for _, a, _ in found], pa.int32()),
-                "stop": pa.array([b for _, _, b in found], pa.int32()),
+                "id": rows.column("id").take(pa.array(row)),
+                "tie": rows.column("tie").take(pa.array(row)),
+                "start": pa.array((start + first).astype(np.int32)),
+                "stop": pa.array((start + stop).astype(np.int32)),
             }
         )
 
@@ -479,6 +479,15 @@ def _indexed(
     return repeats if again is None else repeats.unionByName(again)
 
 
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    """Elements of each list, none of null."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def _repeated(rows: pa.Table) -> np.ndarray:
     """Whether each row equals the one before it; nulls are equal."""
     same = np.ones(max(rows.num_rows - 1, 0), bool)
@@ -547,32 +556,32 @@ def without_repeats(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, removed, kept = [], [], []
-            spans = batch.column(3).to_pylist()
-            for doc, gone in zip(utf8_column(batch, "text"), spans):
-                own = doc.split()
-                n = len(own)
-                if gone:
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, [s["start"] for s in gone], 1)
-                    np.add.at(edge, [s["stop"] for s in gone], -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    own = [w for w, s in zip(own, stay.tolist()) if s]
-                words.append(n)
-                removed.append(n - len(own))
-                kept.append(b" ".join(own).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(words, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.string()),
-                ],
-                names=schema.fieldNames(),
+            ends = np.cumsum(_lengths(batch.column(3)))
+            start, stop = (
+                v.to_numpy(zero_copy_only=False) for v in batch.column(3).flatten().flatten()
             )
+            for low, high, words in word_ranges(batch, "text"):
+                part = slice(int(ends[low - 1]) if low else 0, int(ends[high - 1]))
+                text = np.searchsorted(ends, np.arange(part.start, part.stop), "right") - low
+                first, n = words.firsts(), len(words.starts)
+                edge = np.bincount(first[text] + start[part], minlength=n + 1)
+                edge -= np.bincount(first[text] + stop[part], minlength=n + 1)
+                gone = np.cumsum(edge[:n]) > 0
+                before = np.concatenate([[0], np.cumsum(gone)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(low, high - low),
+                        batch.column(1).slice(low, high - low),
+                        pa.array(words.counts),
+                        pa.array(before[first + words.counts] - before[first]),
+                        joined(words, ~gone),
+                    ],
+                    names=schema.fieldNames(),
+                )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return keep(choose(batches))
 
-    return maybe.mapInArrow(keep, schema).unionByName(others.mapInArrow(whole, schema))
+    return maybe.mapInArrow(lean(keep), schema).unionByName(
+        others.mapInArrow(lean(whole), schema)
+    )
