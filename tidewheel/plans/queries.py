@@ -31,7 +31,7 @@ from tidewheel.sources import lake, load, model_store, topics
 from tidewheel.streaming import counts
 from tidewheel.streaming import scoring as st
 from tidewheel.streaming.correlation import replay_roundtrip
-from tidewheel.streaming.pending import replay_outcomes
+from tidewheel.streaming.pending import PACK_ROWS, replay_outcomes
 from tidewheel.streaming.progress import ProgressLog, live_backlog, observed
 from tidewheel.streaming.runner import finished, run_available
 
@@ -683,7 +683,12 @@ def reply_roundtrip_stream(spark, sf_dir):
 
 def _live_outcomes(spark, sf_dir, label: str) -> DataFrame:
     events = tb.zoned(tb.table(streaming_session(spark), sf_dir, "events"))
-    return replay_outcomes(tb.requests(events), tb.replies(events), scratch_path(spark, label))
+    return replay_outcomes(
+        tb.requests(events),
+        tb.replies(events),
+        scratch_path(spark, label),
+        pack_rows=PACK_ROWS,
+    )
 
 
 @query

@@ -1,9 +1,11 @@
-"""Requests that wait for their reply, each with its own timer.
+"""Requests that wait for their reply, each with its own time-out.
 
-A waiting request is an entry of keyed state with a timer. The reply in time settles it
-at once and the entry and its timer go; else the timer goes off and the time-out comes
-out at that moment, with no later message of that id. Time is cut into slots of a few
-time-outs, so a busy id soon is a new key again, and few replies matter in two slots.
+Waiting requests are an entry of keyed state with a timer for the next time-out. The reply
+in time settles a request at once, and the timer goes with the last of a key; else the
+time-out comes out when the timer goes off, with no later message of that id. Time is cut
+into slots of a few time-outs, so a busy id soon is a new key again, and few replies matter
+in two slots. An id has keys of its own, or ids are dealt to packs that share them: a key
+costs several calls between Python and the state store, however much it holds.
 
 Two clocks can drive the timers. ``event`` is the watermark: what comes out does not
 depend on when the stream runs, so stored streams are replayed with it. ``wall`` is the
@@ -12,6 +14,7 @@ machines' clock from a request's arrival on: a live time-out needs no other mess
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from itertools import chain, islice
 
@@ -32,9 +35,13 @@ LONE_SLOTS = 1 << 20
 SLOT = 4
 # Replies of a key held in memory; beyond that they go to the state as they come.
 HELD = 10_000
+# Rows of both sides that share a key where ids are packed, on average.
+PACK_ROWS = 1_000
 
 
-def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]):
+def _pending(
+    width: int, clock: str, match_instance: bool, packed: bool, slot: int, kinds: dict[str, str]
+):
     """The processor for a time-out of ``width`` microseconds. The class is made here so
     that it travels to the workers by value."""
     from pyspark.sql import Row
@@ -44,105 +51,136 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
         """Of replies at one instant a missing result wins, else the smallest."""
         return (result is not None, result)
 
+    def usable(cid, inst) -> bool:
+        return cid not in (None, "", b"") and (not match_instance or inst is not None)
+
     def earliest(names, replies):
         """The first reply in time of each request that has one."""
         first, replies = {}, iter(replies)
         while part := list(islice(replies, HELD)):
             at_once = {}
-            for at, result in part:
-                at_once[at] = min(at_once.get(at, result), result, key=rank)
-            times = sorted(at_once)
-            for name in names:
-                place = bisect_left(times, name[0])
-                if place < len(times) and times[place] < name[0] + width:
-                    new = (times[place], rank(at_once[times[place]]))
-                    first[name] = min(first.get(name, new), new)
+            for (cid, inst, at), result in part:
+                if (cid, inst) in names:
+                    own = at_once.setdefault((cid, inst), {})
+                    own[at] = min(own[at], result, key=rank) if at in own else result
+            for who, own in at_once.items():
+                times = sorted(own)
+                for name in names[who]:
+                    place = bisect_left(times, name[2])
+                    if place < len(times) and times[place] < name[2] + width:
+                        new = (times[place], rank(own[times[place]]))
+                        first[name] = min(first.get(name, new), new)
         return first
 
     class Pending(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            # How many requests, or a reply's result, and until when (ms) it is kept.
+            # A request, how often it came and until when (ms) it waits; replies that came
+            # together, and until when they are kept.
+            ids = f"cid array<{kinds['cid']}>, inst array<{kinds['inst']}>"
             self.requests = handle.getValueState(
-                "requests",
-                f"waiting array<struct<ts:bigint,inst:{kinds['inst']},n:bigint,due:bigint>>",
+                "requests", f"{ids}, ts array<bigint>, n array<bigint>, due array<bigint>"
             )
             self.replies = handle.getListState(
-                "replies", f"at bigint, result {kinds['result']}, due bigint"
+                "replies", f"{ids}, at array<bigint>, result array<{kinds['result']}>, due bigint"
             )
 
         def handleInputRows(self, key, rows, timerValues):
-            usable = self.usable(key)
             asked, came, all_held = {}, {}, True
             for row in rows:
-                if row.asked:
-                    name = (row.at, row.inst)
+                cid, inst, at, is_request, result = row[:5]
+                name = (cid, inst, at)
+                if is_request:
                     asked[name] = asked.get(name, 0) + 1
-                elif usable:
-                    came[row.at] = min(came.get(row.at, row.result), row.result, key=rank)
+                else:
+                    came[name] = min(came[name], result, key=rank) if name in came else result
                     if len(came) >= HELD:
                         self.keep(key, came, timerValues)
                         came, all_held = {}, False
             waiting = self.waiting()
-            before = set(waiting)
+            timer = self.next(waiting)
+            known = len(waiting)
             for name, n in asked.items():
-                known = waiting.get(name, (0, self.due(name[0], timerValues)))
-                waiting[name] = (known[0] + n, known[1])
+                if name in waiting:
+                    waiting[name] = (waiting[name][0] + n, waiting[name][1])
+                else:
+                    waiting[name] = (n, self.due(name[2], timerValues))
+            names = {}
+            for name in waiting:
+                cid, inst, _ = name
+                if usable(cid, inst):
+                    names.setdefault((cid, inst if match_instance else None), []).append(name)
             first = {}
-            if waiting and usable:
-                kept = self.replies.get() if asked or not all_held else ()
-                stored = ((r[0], r[1]) for r in kept)
-                first = earliest(waiting, chain(stored, came.items()))
+            if names:
+                kept = self.replies.get() if known < len(waiting) or not all_held else ()
+                first = earliest(names, chain(self.each(kept), came.items()))
             left = {name: own for name, own in waiting.items() if name not in first}
-            over = {waiting[name][1] for name in before if name in first}
-            for due in over.difference(due for _, due in left.values()):
-                self.handle.deleteTimer(due)
-            for due in {left[name][1] for name in asked if name in left}:
-                self.handle.registerTimer(due)
-            if asked.keys() & left.keys() or before & first.keys():
-                self.wait(left)
+            if asked or first:
+                self.wait(left, timer, known > 0)
             self.keep(key, came, timerValues)
-            for name, (at, (_, result)) in first.items():
-                n, wait = waiting[name][0], at - name[0]
-                yield from self.outcomes(key, name, n, True, result, wait)
+            yield from self.outcomes(
+                (name, waiting[name][0], True, result, at - name[2])
+                for name, (at, (_, result)) in first.items()
+            )
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            if clock == "event" and self.usable(key) and now == self.end(key):
-                # All requests of the slot are over before, so no reply matters.
-                self.replies.clear()
-                return
+            timer = expiredTimerInfo.getExpiryTimeInMs()
+            if clock == "event":
+                now = timerValues.getCurrentWatermarkInMs()
+                if self.timed(key) and timer == self.end(key):
+                    # All requests of the slot are over before, so no reply matters.
+                    self.replies.clear()
+                    return
+            else:
+                now = timerValues.getCurrentProcessingTimeInMs()
             waiting = self.waiting()
             left = {name: own for name, own in waiting.items() if own[1] > now}
             if len(left) < len(waiting):
-                self.wait(left)
-            for name, (n, _) in waiting.items():
-                if name not in left:
-                    yield from self.outcomes(key, name, n, False, None, None)
+                # The timer that goes off now goes by itself.
+                self.wait(left, None, True)
+            yield from self.outcomes(
+                (name, n, False, None, None)
+                for name, (n, _) in waiting.items()
+                if name not in left
+            )
             if clock == "wall":
                 kept = [tuple(r) for r in self.replies.get()]
-                stay = [r for r in kept if r[2] > now]
+                stay = [r for r in kept if r[-1] > now]
                 if not stay and kept:
                     self.replies.clear()
                 elif len(stay) < len(kept):
                     self.replies.put(stay)
 
-        def usable(self, key) -> bool:
-            return bool(key[0]) and (not match_instance or key[1] is not None)
+        def timed(self, key) -> bool:
+            """Whether the key's slot is one of time."""
+            return packed or usable(key[0], key[1])
 
         def waiting(self) -> dict:
             held = self.requests.get()
-            return {(ts, inst): (n, due) for ts, inst, n, due in held[0]} if held else {}
+            if not held:
+                return {}
+            cids, insts, times, counts, dues = held
+            return dict(zip(zip(cids, insts, times), zip(counts, dues)))
+
+        def next(self, waiting) -> int | None:
+            return min((due for _, due in waiting.values()), default=None)
 
-        def wait(self, left) -> None:
+        def wait(self, left, timer, stored) -> None:
+            """Store what waits; the timer moves from ``timer`` to the next time-out."""
             if left:
-                self.requests.update(([(*name, *own) for name, own in left.items()],))
-            else:
+                names, own = zip(*left), zip(*left.values())
+                self.requests.update(tuple(map(list, chain(names, own))))
+            elif stored:
                 self.requests.clear()
+            if timer != (due := self.next(left)):
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
 
         def end(self, key) -> int:
             """The millisecond by which every request of the key's slot has timed out."""
-            return ((key[-1] + 1) * SLOT + 1) * width // 1000 + 2
+            return ((key[-1] + 1) * slot + 1) * width // 1000 + 2
 
         def keep(self, key, came, timerValues) -> None:
             """Replies may come before their request; they are kept as long as it can."""
@@ -152,19 +190,30 @@ def _pending(width: int, clock: str, match_instance: bool, kinds: dict[str, str]
                 due = self.end(key)
             else:
                 due = timerValues.getCurrentProcessingTimeInMs() + 2 * width // 1000
-            self.replies.appendList([(at, result, due) for at, result in came.items()])
+            columns = [*map(list, zip(*came)), list(came.values())]
+            self.replies.appendValue((*columns, due))
             self.handle.registerTimer(due)
 
+        def each(self, kept):
+            for cids, insts, times, results, _ in kept:
+                yield from zip(zip(cids, insts, times), results)
+
         def due(self, ts, timerValues) -> int:
             """The millisecond a request of this time has timed out by."""
             if clock == "event":
                 return -(-(ts + width) // 1000)
             return timerValues.getCurrentProcessingTimeInMs() + -(-width // 1000)
 
-        def outcomes(self, key, name, n, ok, result, wait):
-            ts, inst = name
-            for _ in range(n):
-                yield Row(cid=key[0], inst=inst, at=ts, ok=ok, result=result, wait_us=wait)
+        def outcomes(self, settled):
+            """Outcomes as rows of lists; a request that came n times has n."""
+            each = (
+                (*name, ok, result, wait)
+                for name, n, ok, result, wait in settled
+                for _ in range(n)
+            )
+            while part := list(islice(each, HELD)):
+                columns = map(list, zip(*part))
+                yield Row(**dict(zip(("cid", "inst", "at", "ok", "result", "wait_us"), columns)))
 
         def close(self) -> None:
             pass
@@ -179,6 +228,8 @@ def reply_outcomes_live(
     lateness: str = "10 seconds",
     match_instance: bool = True,
     clock: str = "event",
+    packs: int | None = None,
+    slot_timeouts: int = SLOT,
 ) -> DataFrame:
     """Every request (cid, inst, ts) of a stream once, with ``ok``, ``result`` and
     ``wait_us``: as soon as its reply is there, or when its time is out.
@@ -186,59 +237,72 @@ def reply_outcomes_live(
     A reply counts as in ``reply_roundtrip``. Of replies in one micro-batch the earliest
     counts; one that comes in a later micro-batch than another is too late, whatever its
     time. A request without a time has no timer and does not come out.
+
+    An id is a key of state for each slot of ``slot_timeouts`` time-outs. Where there are
+    many more ids than a micro-batch should make keys, ``packs`` deals them to so many
+    keys a slot; what comes out is the same. Both are fixed by a query's first run.
     """
     width = int(timeout_seconds * 1_000_000)
-    keys = correlation_keys(match_instance)
     kinds = {
         "cid": requests.schema["cid"].dataType.simpleString(),
         "inst": requests.schema["inst"].dataType.simpleString(),
         "result": replies.schema["result"].dataType.simpleString(),
     }
+    span = slot_timeouts * width
 
     def marked(rows: DataFrame, at: str) -> DataFrame:
         return rows.where(F.col(at).isNotNull()).withWatermark(at, lateness)
 
     def slot(rows: DataFrame, at: str):
-        return F.floor(epoch_micros(rows, at) / F.lit(SLOT * width)).cast("bigint")
+        return F.floor(epoch_micros(rows, at) / F.lit(span)).cast("bigint")
+
+    def pack(*names: str):
+        return F.pmod(F.xxhash64(*names), F.lit(packs or 1))
 
+    keys = correlation_keys(match_instance)
     usable = F.coalesce(F.col("cid").cast("string"), F.lit("")) != ""
     if match_instance:
         usable &= F.col("inst").isNotNull()
-    alone = F.pmod(F.xxhash64("cid", "inst", "ts"), F.lit(LONE_SLOTS))
+    own = slot(requests, "ts")
+    if packs is None:
+        alone = F.pmod(F.xxhash64("cid", "inst", "ts"), F.lit(LONE_SLOTS))
+        own = F.when(usable, own).otherwise(alone)
     asked = marked(requests, "ts").select(
         "cid",
         "inst",
-        F.when(usable, slot(requests, "ts")).otherwise(alone).alias("slot"),
         epoch_micros(requests, "ts").alias("at"),
         F.lit(True).alias("asked"),
         F.lit(None).cast(kinds["result"]).alias("result"),
+        own.alias("slot"),
+        F.when(usable, pack(*keys)).otherwise(pack("cid", "inst", "ts")).alias("pack"),
         F.col("ts").alias("time"),
     )
     # A reply early in its slot can be one to a request of the slot before.
     own = slot(replies, "reply_ts")
-    early = epoch_micros(replies, "reply_ts") - own * (SLOT * width) < F.lit(width)
+    early = epoch_micros(replies, "reply_ts") - own * span < F.lit(width)
     slots = F.when(early, F.array(own, own - 1)).otherwise(F.array(own))
+    inst = F.col("inst") if match_instance else F.lit(None)
     answers = marked(replies.where(usable), "reply_ts").select(
         F.col("cid").cast(kinds["cid"]).alias("cid"),
-        F.col("inst").cast(kinds["inst"]).alias("inst"),
-        F.explode(slots).alias("slot"),
+        inst.cast(kinds["inst"]).alias("inst"),
         epoch_micros(replies, "reply_ts").alias("at"),
         F.lit(False).alias("asked"),
         "result",
+        F.explode(slots).alias("slot"),
         F.col("reply_ts").alias("time"),
     )
-    found = (
-        asked.unionByName(answers)
-        .groupBy(*keys, "slot")
-        .transformWithState(
-            _pending(width, clock, match_instance, kinds),
-            f"cid {kinds['cid']}, inst {kinds['inst']}, at bigint, ok boolean, "
-            f"result {kinds['result']}, wait_us bigint",
-            "Append",
-            MODES[clock],
-        )
+    answers = answers.withColumn("pack", pack(*keys))
+    rows = asked.unionByName(answers)
+    rows = rows.drop("pack") if packs is None else rows
+    found = rows.groupBy(*(keys if packs is None else ["pack"]), "slot").transformWithState(
+        _pending(width, clock, match_instance, packs is not None, slot_timeouts, kinds),
+        f"cid array<{kinds['cid']}>, inst array<{kinds['inst']}>, at array<bigint>, "
+        f"ok array<boolean>, result array<{kinds['result']}>, wait_us array<bigint>",
+        "Append",
+        MODES[clock],
     )
-    return found.select(
+    each = found.select(F.inline(F.arrays_zip(*found.columns)))
+    return each.select(
         "cid", "inst", F.timestamp_micros("at").alias("ts"), "ok", "result", "wait_us"
     )
 
@@ -249,27 +313,39 @@ def pending_requests(session: SparkSession, checkpoint: str) -> DataFrame:
     entries = (
         session.read.format("statestore").option("stateVarName", "requests").load(checkpoint)
     )
-    one = entries.select(F.col("key.cid").alias("cid"), F.explode("value.waiting").alias("r"))
-    return one.select(
+    each = F.arrays_zip(*[F.col(f"value.{c}") for c in ("cid", "inst", "ts", "n")])
+    return entries.select(F.inline(each)).select(
         "cid",
-        "r.inst",
-        F.timestamp_micros("r.ts").alias("ts"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), "r.n")).alias("_nth"),
+        "inst",
+        F.timestamp_micros("ts").alias("ts"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_nth"),
     ).drop("_nth")
 
 
+def pack_sizes(times: DataFrame, rows: int, pack_rows: int, width: float) -> dict[str, int]:
+    """Packs, and time-outs in a slot, by which about ``pack_rows`` of the ``rows`` of
+    ``times`` (ts) share a key. Ids and time are cut into equally many parts, so neither a
+    busy id nor a busy time is a single key."""
+    ways = max(1, math.ceil(math.sqrt(rows / pack_rows)))
+    (ends,) = times.agg(F.percentile_approx("ts", [0.01, 0.99], 1000)).first()
+    seconds = (ends[1] - ends[0]).total_seconds() if ends else 0
+    return {"packs": ways, "slot_timeouts": max(SLOT, math.ceil(seconds / width / ways))}
+
+
 def replay_outcomes(
     requests: DataFrame,
     replies: DataFrame,
     folder: str,
     piece_rows: int = PIECE_ROWS,
     timeout: float | None = None,
+    pack_rows: int | None = None,
     **options,
 ) -> DataFrame:
     """Replay stored streams through ``reply_outcomes_live`` by the event clock.
 
     Rows arrive in time order in pieces of about ``piece_rows``. At the end the watermark
     has not passed the last requests; they are what the state still holds, unanswered.
+    With ``pack_rows`` ids share keys, each of about so many rows.
     """
     session = requests.sparkSession
     sides = (
@@ -279,7 +355,11 @@ def replay_outcomes(
     times = sides[0][0].select("ts").unionByName(
         sides[1][0].select(F.col("reply_ts").alias("ts"))
     )
-    for _ in arrivals(sides, times, times.count(), piece_rows):
+    rows = times.count()
+    if pack_rows:
+        width = options.get("timeout_seconds", REPLY_TIMEOUT_SECONDS)
+        options |= pack_sizes(times, rows, pack_rows, width)
+    for _ in arrivals(sides, times, rows, piece_rows):
         streams = [file_topic(session, path, side.schema) for side, _, path in sides]
         run_available(
             reply_outcomes_live(*streams, **options),
