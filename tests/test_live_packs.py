@@ -129,7 +129,7 @@ def test_a_pack_by_the_wall_clock(session, folder):
 
 @pytest.mark.parametrize(
     "name,label",
-    [("reply_outcomes_live", "live-outcomes")],
+    [("reply_outcomes_live", "live-outcomes"), ("reply_timeouts_live", "live-timeouts")],
 )
 def test_the_query_packs_its_ids(spark, sf_dir, name, label):
     root = Path(scratch_root(spark).removeprefix("file:")) / "tidewheel"

@@ -189,7 +189,8 @@ def _pending(
             if clock == "event":
                 due = self.end(key)
             else:
-                due = timerValues.getCurrentProcessingTimeInMs() + 2 * width // 1000
+                # Odd, and a request's is even: no request takes the replies' timer along.
+                due = (timerValues.getCurrentProcessingTimeInMs() + 2 * width // 1000) | 1
             columns = [*map(list, zip(*came)), list(came.values())]
             self.replies.appendValue((*columns, due))
             self.handle.registerTimer(due)
@@ -202,7 +203,8 @@ def _pending(
             """The millisecond a request of this time has timed out by."""
             if clock == "event":
                 return -(-(ts + width) // 1000)
-            return timerValues.getCurrentProcessingTimeInMs() + -(-width // 1000)
+            due = timerValues.getCurrentProcessingTimeInMs() + -(-width // 1000)
+            return due + due % 2
 
         def outcomes(self, settled):
             """Outcomes as rows of lists; a request that came n times has n."""
